@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import RECENT_HOURS, ZONE_OFFSETS
+from feedloom.functions.once import let
 
 Instant = datetime | str | Column
 
@@ -77,19 +78,25 @@ def parse_feed_date(raw: Column) -> Column:
     Zone names become fixed offsets first, because Spark would apply daylight
     saving rules to a name such as EST.
     """
-    text = F.trim(raw)
-    dated = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
     zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
-    zone = F.regexp_extract(dated, r"\s([A-Za-z]{1,3})$", 1)
-    offset = F.try_element_at(zones, F.upper(zone))
-    dated = F.when(
-        offset.isNotNull(),
-        F.concat(F.regexp_replace(dated, r"[A-Za-z]{1,3}$", ""), offset),
-    ).otherwise(dated)
-    rfc = [F.try_to_timestamp(dated, F.lit(pattern)) for pattern in _PATTERNS]
-    # A bare time of day would also pass as ISO text, so a year is demanded.
-    iso = F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))
-    return F.coalesce(iso, *rfc)
+
+    def with_offset(dated: Column) -> Column:
+        zone = F.upper(F.regexp_extract(dated, r"\s([A-Za-z]{1,3})$", 1))
+        return F.coalesce(
+            F.concat(F.regexp_replace(dated, r"[A-Za-z]{1,3}$", ""), F.try_element_at(zones, zone)),
+            dated,
+        )
+
+    def rfc(dated: Column) -> Column:
+        return F.coalesce(*[F.try_to_timestamp(dated, F.lit(pattern)) for pattern in _PATTERNS])
+
+    def either(text: Column) -> Column:
+        # A bare time of day would also pass as ISO text, so a year is demanded.
+        return F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text)).otherwise(
+            let(let(F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", ""), with_offset), rfc)
+        )
+
+    return let(F.trim(raw), either)
 
 
 def entry_date(raw: Column, now: Instant) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import ANSWER_KEYS
+from feedloom.functions.once import let, with_once_where
 
 
 def parse_object(text: Column) -> Column:
@@ -15,12 +16,17 @@ def parse_object(text: Column) -> Column:
     as the inside of an array exposes that: exactly one element must come out.
     A trailing ``]`` would close the array early, hence the last test.
     """
-    inside = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")),
-        "array<map<string,string>>",
-        {"allowSingleQuotes": "false"},
-    )
-    return F.when((F.size(inside) == 1) & text.rlike(r"\}\s*\z"), F.get(inside, F.lit(0)))
+
+    def parsed(t: Column) -> Column:
+        inside = F.from_json(
+            F.concat(F.lit("["), t, F.lit("]")),
+            "array<map<string,string>>",
+            {"allowSingleQuotes": "false"},
+        )
+        only = let(inside, lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0))))
+        return F.when(t.rlike(r"\}\s*\z"), only)
+
+    return let(text, parsed)
 
 
 def parse_response(envelope: Column) -> Column:
@@ -35,7 +41,12 @@ def parse_response(envelope: Column) -> Column:
 
 def has_answer(answer: Column) -> Column:
     """True unless the answer is NULL or empty; never NULL."""
-    return answer.isNotNull() & (F.size(F.coalesce(answer, F.create_map().cast("map<string,string>"))) > 0)
+    return F.coalesce(F.cardinality(answer) > 0, F.lit(False))
+
+
+def with_answers(df: DataFrame, envelope: str, out: str = "answer") -> DataFrame:
+    """Decode a column of envelopes and keep the rows that have an answer."""
+    return with_once_where(df, out, parse_response(F.col(envelope)), has_answer)
 
 
 def field_or(answer: Column, key: str, default: Column) -> Column:
@@ -56,8 +67,6 @@ def contract_violations(text: Column) -> Column:
     ``not_json``, ``missing:<key>``, ``extra:<key>``, ``emoji`` and ``fence``;
     an empty array means the answer keeps to them.
     """
-    answer = parse_object(text)
-    keys = F.map_keys(answer)
     wanted = F.array(*[F.lit(key) for key in ANSWER_KEYS])
     none = F.array().cast("array<string>")
 
@@ -67,12 +76,14 @@ def contract_violations(text: Column) -> Column:
     def flag(code: str, condition: Column) -> Column:
         return F.when(condition, F.array(F.lit(code))).otherwise(none)
 
-    return F.array_sort(
-        F.concat(
+    def violations(answer: Column) -> Column:
+        keys = F.map_keys(answer)
+        return F.concat(
             flag("not_json", answer.isNull()),
             coded("missing:", F.array_except(wanted, keys)),
             coded("extra:", F.array_except(keys, wanted)),
             flag("emoji", text.rlike(_EMOJI)),
             flag("fence", F.contains(text, F.lit("```"))),
         )
-    )
+
+    return F.array_sort(let(parse_object(text), violations))

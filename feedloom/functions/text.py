@@ -9,17 +9,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import CONTENT_CHARS, MODEL, PROMPT_HEAD, PROMPT_TAIL
+from feedloom.functions.once import let
 
 _BREAK = "\x01"
 
 # One left-to-right pass over everything that is not text: comments, elements
 # whose content is never shown, end tags and declarations, start tags with
-# quoted attribute values. Possessive repetition keeps it linear.
+# quoted attribute values. What is not closed runs to the end of the text, as in
+# a browser, and possessive repetition never goes back: both keep it linear.
 _MARKUP = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<(script|style|template|rt|rp)(?:\s[^>]*+)?(?<!/)>.*?(?:</\1\s*>|\z)"
-    r"|<[/!?][^>]*+>"
-    r"|<[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+>"
+    r"|<[/!?][^>]*+(?:>|\z)"
+    r"|<[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+(?:>|\z)"
 )
 
 # White space as a Unicode-aware strip sees it.
@@ -37,20 +39,25 @@ def _entity_map(names) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def _numeric(code: Column) -> Column:
-    """Character of a numeric reference; 128-159 are read as windows-1252."""
+def _numeric(name: Column) -> Column:
+    """Character of ``#233`` or ``#xE9``; 128-159 are read as windows-1252."""
     legacy = {}
     for byte in range(128, 160):
         try:
             legacy[str(byte)] = bytes([byte]).decode("cp1252")
         except UnicodeDecodeError:
             continue
-    remapped = F.try_element_at(
-        F.from_json(F.lit(json.dumps(legacy)), "map<string,string>"), code.cast("string")
-    )
-    valid = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    scalar = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(remapped, F.when(valid, scalar), F.lit("�"))
+    remap = F.from_json(F.lit(json.dumps(legacy)), "map<string,string>")
+    digits = F.regexp_replace(name, r"\A#[xX]?", "")
+    decimal = F.when(name.rlike(r"\A#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+
+    def character(code: Column) -> Column:
+        valid = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        scalar = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        remapped = F.try_element_at(remap, code.cast("string"))
+        return F.coalesce(remapped, F.when(valid, scalar), F.lit("\ufffd"))
+
+    return let(decimal.try_cast("bigint"), character)
 
 
 def decode_entities(text: Column) -> Column:
@@ -60,28 +67,31 @@ def decode_entities(text: Column) -> Column:
     """
     everything = _entity_map(n[:-1] for n in html.entities.html5 if n.endswith(";"))
     frequent = _entity_map(_FREQUENT)
+    reference = r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
 
-    def piece(part: Column) -> Column:
-        name = F.regexp_extract(
-            part, r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)", 1
-        )
-        rest = F.regexp_replace(F.substring(part, F.length(name) + 1, F.length(part)), r"\A;", "")
-        digits = F.regexp_replace(name, r"\A#[xX]?", "")
-        code = F.when(name.rlike(r"\A#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
-        character = F.when(
-            name.startswith("#"), _numeric(code.try_cast("bigint"))
-        ).otherwise(
+    def named(part: Column, name: Column) -> Column:
+        after = F.length(name) + 1
+        after = after + F.when(F.substring(part, after, F.lit(1)) == ";", 1).otherwise(0)
+        character = F.when(name.startswith("#"), _numeric(name)).otherwise(
             F.coalesce(
                 F.try_element_at(frequent, name),
                 F.try_element_at(everything, name),
                 F.concat(F.lit("&"), name),
             )
         )
-        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(F.concat(character, rest))
+        return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(
+            F.concat(character, F.substring(part, after, F.length(part)))
+        )
+
+    def piece(part: Column) -> Column:
+        return let(F.regexp_extract(part, reference, 1), lambda name: named(part, name))
+
+    def decoded(t: Column) -> Column:
+        parts = F.split(t, "&")
+        pieces = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(piece(part)))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
 
-    parts = F.split(text, "&")
-    decoded = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(piece(part)))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+    return let(text, decoded)
 
 
 def html_to_text(markup: Column) -> Column:

@@ -168,7 +168,7 @@ def enrich_capped(
             "asked",
         )
         asked_rounds.append(asked.drop("_rank", "_need", "_text"))
-        short = materialize(feed_state(asked, end), "short")
+        short = feed_state(asked, end)
         start = end
         if short.isEmpty():
             short = None
@@ -177,7 +177,7 @@ def enrich_capped(
     if short is not None:
         rest = join_by_key(df, short.drop("_need"), feed_cols, "inner", order_cols)
         rest = rest.where(F.struct(*order_cols) > F.col("_last")).drop("_last")
-        asked_rounds.append(materialize(enrich(rest, client, text, out), "asked"))
+        asked_rounds.append(materialize(enrich(rest, client, text, out), "asked-rest"))
 
     answered = asked_rounds[0]
     for more in asked_rounds[1:]:

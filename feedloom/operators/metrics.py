@@ -11,7 +11,12 @@ from feedloom.functions.fixed import DASHBOARD_DAYS, OTHER_CATEGORY
 
 
 def since(df: DataFrame, bound: Column, ts: str = "published_at") -> DataFrame:
-    """Rows at or after ``bound``; rows without a time are out."""
+    """Rows at or after ``bound``; rows without a time are out.
+
+    In the stored table the bound also skips the folders of earlier days.
+    """
+    if ts == "published_at" and "published_date" in df.columns:
+        df = df.where(F.col("published_date") >= day_key(bound))
     return df.where(F.col(ts) >= like(df, ts, bound))
 
 
@@ -113,9 +118,9 @@ def daily_volume(
     """
     first, end = _spine_bounds(now)
     # Bounds on the timestamp itself, so that they reach the scan.
-    inside = (F.col(ts) >= like(news, ts, first)) & (F.col(ts) < like(news, ts, end))
     counts = (
-        news.where(inside)
+        since(news, first, ts)
+        .where(F.col(ts) < like(news, ts, end))
         .groupBy(day_key(F.col(ts)).alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

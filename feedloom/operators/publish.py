@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import Instant, day_key, instant
 from feedloom.functions.fixed import DUPLICATE_MARKERS
 from feedloom.operators.harvest import first_by_key
-from feedloom.operators.skew import join_by_key
+from feedloom.operators.skew import fits_broadcast, join_by_key
 from feedloom.schema import NEWS
 from feedloom.session import materialize
 from feedloom.sources.news import append_news, read_news
@@ -22,12 +22,16 @@ KEY = "source_url"
 def known_keys(batch: DataFrame, news: DataFrame) -> DataFrame:
     """The batch's URLs that the table has, each once.
 
-    The table is only asked for one column and only for URLs of the batch. A
-    batch whose distinct URLs fit the broadcast threshold leaves the table
-    unshuffled; otherwise both sides are shuffled by URL.
+    Only one column of the table is read. The usual batch is small next to the
+    table: if its distinct URLs are measured to fit, they are broadcast and the
+    table is not shuffled at all. Otherwise both sides are reduced to distinct
+    URLs before they meet, so copies of a URL never travel.
     """
     wanted = batch.select(KEY).where(F.col(KEY).isNotNull()).distinct()
-    return news.select(KEY).join(wanted, KEY, "left_semi").distinct()
+    present = news.select(KEY)
+    if fits_broadcast(wanted, KEY):
+        return present.join(F.broadcast(wanted), KEY, "left_semi").distinct()
+    return wanted.join(present.distinct(), KEY, "left_semi")
 
 
 def new_only(batch: DataFrame, news: DataFrame) -> DataFrame:

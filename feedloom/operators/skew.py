@@ -15,9 +15,22 @@ from feedloom.session import materialize
 HOT_SHARE = 1000
 
 
+# Largest side that is broadcast on purpose, after it has been measured.
+BROADCAST_BYTES = 64 << 20
+
+
+def fits_broadcast(keys: DataFrame, column: str) -> bool:
+    """Whether the text column ``keys[column]`` is small enough to broadcast.
+
+    Measured, not estimated: this runs a job that brings one number back.
+    """
+    per_row = F.octet_length(column) + F.lit(32)
+    return keys.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
 def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
     """Keys with more than one row in ``HOT_SHARE``; fewer than ``HOT_SHARE`` rows."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot"))
 
@@ -29,16 +42,16 @@ def join_by_key(
 
     ``keys`` has each key once and ``how`` is inner, left, left_semi or left_anti.
     Rows of a hot key are dealt over the shuffle partitions by a hash of the
-    ``spread`` columns, and its one ``keys`` row is repeated for each share. The
-    other keys are joined as usual.
+    ``spread`` columns, and its one ``keys`` row is repeated for each share. Rows
+    without a key match nothing wherever they are, so they are dealt out as well.
+    The other keys are joined as usual.
     """
     spark = rows.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(rows.select(*on), on))
+    dealt_out = reduce(Column.__or__, [F.col(c).isNull() for c in on], F.col("_hot").isNotNull())
     share = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")
-    dealt = rows.join(hot, on, "left").withColumn(
-        "_share", F.when(F.col("_hot"), share).otherwise(0)
-    )
+    dealt = rows.join(hot, on, "left").withColumn("_share", F.when(dealt_out, share).otherwise(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(
         F.array(F.lit(0))
     )

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import Instant, entry_date
+from feedloom.functions.once import with_once
 from feedloom.functions.text import html_to_text, truncate
 from feedloom.operators.enrich import Client, enrich_capped
 from feedloom.operators.harvest import content, recent, to_article
-from feedloom.sources.feeds import parse_feeds, split_rejects
+from feedloom.sources.feeds import read_entries, split_rejects
 from feedloom.sources.payload import write_payload
 
 # Position of an article in a run: catalogue order, then document, then entry.
@@ -19,8 +20,8 @@ HARVEST_ORDER = ("category_pos", "feed_pos", "fetched_at", "pos")
 def candidates(payloads: DataFrame, catalog: DataFrame, now: Instant) -> DataFrame:
     """Recent, complete entries of the feeds in the catalogue."""
     listed = payloads.join(catalog, ["category", "feed_url"])
-    entries, _ = split_rejects(parse_feeds(listed))
-    dated = entries.withColumn("entry_published_at", entry_date(F.col("published_raw"), now))
+    entries, _ = split_rejects(read_entries(listed))
+    dated = with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
     return recent(dated, "entry_published_at", now)
 
 

@@ -5,20 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.once import with_once
 from feedloom.schema import FEED_XML
 
 
-def _parsed(payloads: DataFrame) -> DataFrame:
-    return payloads.withColumn("_doc", F.from_xml("payload", FEED_XML))
-
-
-def _unreadable() -> Column:
-    """No XML, broken XML, or XML without any part of a feed."""
-    doc = F.col("_doc")
-    parts = [doc[name].isNotNull() for name in ("channel", "item", "entry", "title")]
-    return doc.isNull() | doc["_corrupt_record"].isNotNull() | ~F.greatest(*parts)
-
-
 def _rss_entry(item: Column) -> Column:
     # A guid stands in for the link unless it says that it is not one, and the
     # full content for a description that is absent (not for an empty one).
@@ -47,38 +37,49 @@ def _atom_entry(entry: Column) -> Column:
     )
 
 
-def parse_feeds(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Entries of every readable document in ``payload``, numbered from 0.
+def read_entries(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Entries of every document in ``payload``, numbered from 0, with a ``reject`` reason.
+
+    ``reject`` is ``unreadable`` on the one row of a document that is no XML, broken
+    XML or not a feed; ``incomplete`` on an entry without a title or a link; and
+    NULL on a good entry. A readable document without entries has no row. One bad
+    document does not affect the others, and each is parsed once.
 
-    ``keep`` names the columns carried along, by default all but the payload. A
-    document that cannot be read yields no rows here and one row in
-    :func:`unreadable_feeds`; the others are not affected.
+    ``keep`` names the columns carried along, by default all but the payload.
     """
     keep = [c for c in payloads.columns if c != "payload"] if keep is None else list(keep)
     doc = F.col("_doc")
+    parts = [doc[name].isNotNull() for name in ("channel", "item", "entry", "title")]
+    unreadable = doc.isNull() | doc["_corrupt_record"].isNotNull() | ~F.greatest(*parts)
     entries = F.coalesce(
         F.transform(doc["channel"]["item"], _rss_entry),
         F.transform(doc["item"], _rss_entry),
         F.transform(doc["entry"], _atom_entry),
     )
+    reject = F.when(F.col("_unreadable"), "unreadable").when(
+        F.col("col.title").isNull() | F.col("col.link").isNull(), "incomplete"
+    )
     return (
-        _parsed(payloads)
-        .where(~_unreadable())
+        with_once(payloads, "_doc", F.from_xml("payload", FEED_XML), keep)
         .select(
             *keep,
             F.coalesce(doc["channel"]["title"], doc["title"]).alias("feed_title"),
-            F.posexplode(entries),
+            unreadable.alias("_unreadable"),
+            F.posexplode_outer(entries),
         )
-        .select(*keep, "feed_title", "pos", "col.*")
+        .where(F.col("_unreadable") | F.col("pos").isNotNull())
+        .select(*keep, "feed_title", "pos", "col.*", reject.alias("reject"))
     )
 
 
-def unreadable_feeds(payloads: DataFrame) -> DataFrame:
-    """The payload rows :func:`parse_feeds` skips."""
-    return _parsed(payloads).where(_unreadable()).drop("_doc")
+def parse_feeds(payloads: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The entries of the readable documents; see :func:`read_entries`."""
+    entries = read_entries(payloads, keep)
+    readable = F.col("reject").isNull() | (F.col("reject") == "incomplete")
+    return entries.where(readable).drop("reject")
 
 
 def split_rejects(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries that have both a title and a link, and those that lack one."""
-    lacking = F.col("title").isNull() | F.col("link").isNull()
-    return entries.where(~lacking), entries.where(lacking)
+    """Good rows of :func:`read_entries`, and those with a reason to reject them."""
+    rejected = F.col("reject").isNotNull()
+    return entries.where(~rejected).drop("reject"), entries.where(rejected)

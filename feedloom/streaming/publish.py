@@ -64,13 +64,29 @@ def stream_publish(
     )
 
 
-def stream_dedupe(sdf: DataFrame, key: str = KEY, ts: str = "published_at", delay: str = "24 hours") -> DataFrame:
+def stream_dedupe(
+    sdf: DataFrame,
+    key: str = KEY,
+    ts: str = "published_at",
+    delay: str = "24 hours",
+    shares: int = 16,
+) -> DataFrame:
     """Drop repeats of a key that arrive within ``delay`` of each other.
 
     State is dropped behind the watermark, so this is not uniqueness for all
-    time; the anti-join in :func:`stream_publish` is.
+    time; the anti-join in :func:`stream_publish` is. Rows are shuffled by key, and
+    a key with very many rows would load one task, so repeats are first dropped
+    within ``shares`` groups of input tasks. Only one row per group is left for the
+    second step. A single group leaves the first step out.
     """
-    return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    marked = sdf.withWatermark(ts, delay)
+    if shares > 1:
+        # The same on every attempt of a task, unlike a random number, and spread
+        # also when the rows are exact copies, unlike a hash of them.
+        part = F.pmod(F.spark_partition_id(), F.lit(shares))
+        marked = marked.withColumn("_part", part).dropDuplicatesWithinWatermark([key, "_part"])
+        marked = marked.drop("_part")
+    return marked.dropDuplicatesWithinWatermark([key])
 
 
 def stream_recent(

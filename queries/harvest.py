@@ -10,14 +10,13 @@ from feedloom.functions.response import (
     contract_violations,
     field_or,
     has_answer,
-    parse_response,
+    with_answers,
 )
 from feedloom.functions.text import html_to_text, render_prompt, to_request, truncate
 from feedloom.operators.enrich import enrich, enrich_capped
 from feedloom.operators.harvest import (
     cap_per_feed,
     content,
-    enriched_only,
     harvest_report,
     recent,
     source_name,
@@ -26,7 +25,7 @@ from feedloom.operators.harvest import (
 from feedloom.operators.skew import union_batches
 from feedloom.plans.harvest import harvest
 from feedloom.sources.catalog import flatten_catalog
-from feedloom.sources.feeds import parse_feeds, split_rejects, unreadable_feeds
+from feedloom.sources.feeds import parse_feeds, read_entries, split_rejects
 from queries import query
 from queries.inputs import (
     ISSUE,
@@ -112,18 +111,9 @@ def feed_rejects(spark, sf_dir):
         F.col("issue") % 3 == 0, F.substring("payload", F.lit(1), F.length("payload") - 10)
     ).otherwise(F.col("payload"))
     landed = feed_documents(spark, sf_dir, title=title).withColumn("payload", cut)
-    _, incomplete = split_rejects(parse_feeds(landed))
-    unreadable = unreadable_feeds(landed).select(
-        F.lit("unreadable").alias("reason"),
-        "category",
-        "feed_url",
-        "issue",
-        F.lit(None).cast("string").alias("link"),
-    )
-    return unreadable.unionByName(
-        incomplete.select(
-            F.lit("incomplete").alias("reason"), "category", "feed_url", "issue", "link"
-        )
+    _, rejects = split_rejects(read_entries(landed))
+    return rejects.select(
+        F.col("reject").alias("reason"), "category", "feed_url", "issue", "link"
     )
 
 
@@ -299,9 +289,8 @@ def _responses(spark, sf_dir):
     """
 )
 def response_parse(spark, sf_dir):
-    answered = _responses(spark, sf_dir).withColumn("answer", parse_response(F.col("envelope")))
     answer = F.col("answer")
-    return enriched_only(answered).select(
+    return with_answers(_responses(spark, sf_dir), "envelope").select(
         "doc_id",
         field_or(answer, "title_en", F.col("text")).alias("title_en"),
         field_or(answer, "title_pt", F.lit("")).alias("title_pt"),

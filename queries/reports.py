@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from feedloom.functions.dates import latest_instant
+from feedloom.functions.dates import days_ago, latest_instant
 from feedloom.functions.display import fmt_day, fmt_int, fmt_long, fmt_numeric, fmt_short, weekday
 from feedloom.operators.metrics import (
     active_sources,
@@ -18,7 +19,6 @@ from feedloom.operators.metrics import (
     total,
     week_total,
 )
-from feedloom.functions.dates import days_ago
 from feedloom.operators.serve import admin_rows, newest_first
 from feedloom.operators.skew import ranked
 from feedloom.plans.backoffice import record
@@ -185,7 +185,9 @@ def _sql_day_pt(ts: str, months: str) -> str:
     """
 )
 def latest_20(spark, sf_dir):
-    page = ranked(front_page(_undated(spark, sf_dir), "pt"), newest_first())
+    # At most 20 rows are left to number.
+    rank = F.row_number().over(Window.orderBy(*newest_first())).cast("bigint")
+    page = front_page(_undated(spark, sf_dir), "pt").withColumn("rank", rank)
     return page.select("rank", "id", "category", "source_name", "date", "title", "summary")
 
 
