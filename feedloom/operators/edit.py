@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.operators.skew import broadcast_if_small
 from feedloom.schema import EDITABLE
 from feedloom.session import materialize
 from feedloom.sources.news import drop_days, read_news, replace_days
@@ -31,15 +32,16 @@ def update_news(news: DataFrame, patches: DataFrame, seq: str = "seq") -> DataFr
 
     Only the editable columns can change.
     """
+    return apply_merged(news, merge_patches(patches, seq))
+
+
+def apply_merged(news: DataFrame, merged: DataFrame) -> DataFrame:
+    """:func:`update_news` for patches from :func:`merge_patches`."""
     edited = {
         c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.value")).otherwise(F.col(c))
         for c in EDITABLE
     }
-    return (
-        news.join(merge_patches(patches, seq), "id", "left")
-        .withColumns(edited)
-        .select(*news.columns)
-    )
+    return news.join(merged, "id", "left").withColumns(edited).select(*news.columns)
 
 
 def delete_news(news: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def _touched_days(news: DataFrame, ids: DataFrame) -> list[str | None]:
     """Days that hold any of the ids; at most one value per calendar day."""
     days = (
         news.select("id", "published_date")
-        .join(ids.select("id").distinct(), "id", "left_semi")
+        .join(ids, "id", "left_semi")
         .select(F.col("published_date").cast("string"))
         .distinct()
     )
@@ -66,23 +68,29 @@ def _in_days(news: DataFrame, days: list[str | None]) -> DataFrame:
     return news.where(condition)
 
 
+# The edits of one call are few next to the table. Once measured to be so they are
+# broadcast, which leaves the table's rows where they are read.
+
+
 def apply_updates(spark: SparkSession, path: str, patches: DataFrame, seq: str = "seq") -> int:
     """Rewrite the days the patched rows are in; returns the number of days."""
     news = read_news(spark, path)
-    days = _touched_days(news, patches)
+    merged = broadcast_if_small(materialize(merge_patches(patches, seq), "patches"))
+    days = _touched_days(news, merged.select("id"))
     if days:
-        replace_days(update_news(_in_days(news, days), patches, seq), path)
+        replace_days(apply_merged(_in_days(news, days), merged), path)
     return len(days)
 
 
 def apply_deletes(spark: SparkSession, path: str, ids: DataFrame) -> int:
     """Rewrite the days the deleted rows are in; returns the number of days."""
     news = read_news(spark, path)
-    days = _touched_days(news, ids)
+    gone = broadcast_if_small(materialize(ids.select("id").distinct(), "ids"))
+    days = _touched_days(news, gone)
     if days:
         # Days that keep no row are not replaced by the write below, so they are
         # looked up in the result and dropped.
-        kept = materialize(delete_news(_in_days(news, days), ids), "kept")
+        kept = materialize(_in_days(news, days).join(gone, "id", "left_anti"), "kept")
         left = {r[0] for r in kept.select(F.col("published_date").cast("string")).distinct().collect()}
         replace_days(kept, path)
         drop_days(spark, path, [d for d in days if d not in left])

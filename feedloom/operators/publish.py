@@ -20,7 +20,12 @@ KEY = "source_url"
 
 
 def known_keys(batch: DataFrame, news: DataFrame) -> DataFrame:
-    """The batch's URLs that the table has, each once.
+    """The batch's URLs that the table has, each once."""
+    return _known_keys(batch, news)[0]
+
+
+def _known_keys(batch: DataFrame, news: DataFrame) -> tuple[DataFrame, bool]:
+    """:func:`known_keys`, and whether they fit a broadcast.
 
     Only one column of the table is read. The usual batch is small next to the
     table: if its distinct URLs are measured to fit, they are broadcast and the
@@ -29,9 +34,9 @@ def known_keys(batch: DataFrame, news: DataFrame) -> DataFrame:
     """
     wanted = batch.select(KEY).where(F.col(KEY).isNotNull()).distinct()
     present = news.select(KEY)
-    if fits_broadcast(wanted, KEY):
-        return present.join(F.broadcast(wanted), KEY, "left_semi").distinct()
-    return wanted.join(present.distinct(), KEY, "left_semi")
+    if fits_broadcast(wanted):
+        return present.join(F.broadcast(wanted), KEY, "left_semi").distinct(), True
+    return wanted.join(present.distinct(), KEY, "left_semi"), False
 
 
 def new_only(batch: DataFrame, news: DataFrame) -> DataFrame:
@@ -41,7 +46,8 @@ def new_only(batch: DataFrame, news: DataFrame) -> DataFrame:
 
 def already_known(batch: DataFrame, news: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows of the batch whose URL the table has; URLs may repeat in the batch."""
-    return join_by_key(batch, known_keys(batch, news), [KEY], "left_semi", list(order))
+    known, fits = _known_keys(batch, news)
+    return join_by_key(batch, known, [KEY], "left_semi", list(order), fits)
 
 
 def classify_error(message: Column) -> Column:
@@ -102,6 +108,21 @@ def publish_report(outcome_rows: DataFrame) -> DataFrame:
     )
 
 
+def append_new(
+    spark: SparkSession,
+    batch: DataFrame,
+    path: str,
+    now: Instant,
+    order: Sequence[str] = PAYLOAD_ORDER,
+) -> None:
+    """Publish into the table at ``path``.
+
+    Safe to repeat: rows that got in are skipped the next time. One writer at a
+    time, since nothing but this keeps URLs unique.
+    """
+    append_news(publish(batch, read_news(spark, path), now, order), path)
+
+
 def publish_to(
     spark: SparkSession,
     batch: DataFrame,
@@ -109,11 +130,10 @@ def publish_to(
     now: Instant,
     order: Sequence[str] = PAYLOAD_ORDER,
 ) -> DataFrame:
-    """Publish into the table at ``path`` and return the batch's outcomes.
+    """Like :func:`append_new`, returning the batch's outcomes.
 
     What is new is written down before the table changes, since asking the
-    changed table again would call every row a duplicate. One writer at a time:
-    nothing but this function keeps URLs unique.
+    changed table again would call every row a duplicate.
     """
     fresh = materialize(publish(batch, read_news(spark, path), now, order), "fresh")
     append_news(fresh, path)

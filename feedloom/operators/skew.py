@@ -19,13 +19,18 @@ HOT_SHARE = 1000
 BROADCAST_BYTES = 64 << 20
 
 
-def fits_broadcast(keys: DataFrame, column: str) -> bool:
-    """Whether the text column ``keys[column]`` is small enough to broadcast.
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether ``df`` is small enough to broadcast.
 
     Measured, not estimated: this runs a job that brings one number back.
     """
-    per_row = F.octet_length(column) + F.lit(32)
-    return keys.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    per_row = F.octet_length(F.to_json(F.struct("*"))) + F.lit(32)
+    return df.agg(F.coalesce(F.sum(per_row), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it was measured to fit, else as it is."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
@@ -36,16 +41,28 @@ def hot_keys(df: DataFrame, on: list[str]) -> DataFrame:
 
 
 def join_by_key(
-    rows: DataFrame, keys: DataFrame, on: list[str], how: str, spread: list[str]
+    rows: DataFrame,
+    keys: DataFrame,
+    on: list[str],
+    how: str,
+    spread: list[str],
+    fits: bool | None = None,
 ) -> DataFrame:
     """``rows.join(keys, on, how)`` for ``rows`` that may have hot keys.
 
     ``keys`` has each key once and ``how`` is inner, left, left_semi or left_anti.
-    Rows of a hot key are dealt over the shuffle partitions by a hash of the
-    ``spread`` columns, and its one ``keys`` row is repeated for each share. Rows
-    without a key match nothing wherever they are, so they are dealt out as well.
-    The other keys are joined as usual.
+    ``keys`` that fit are broadcast; ``fits`` says so if the caller knows, else they
+    are measured.
+
+    Keys that do not fit are joined by a shuffle. Rows of a hot key are dealt over
+    the shuffle partitions by a hash of the ``spread`` columns, and its one ``keys``
+    row is repeated for each share. Rows without a key match nothing wherever they
+    are, so they are dealt out as well.
     """
+    if fits is None:
+        fits = fits_broadcast(keys)
+    if fits:
+        return rows.join(F.broadcast(keys), on, how)
     spark = rows.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(rows.select(*on), on))

@@ -10,6 +10,7 @@ from feedloom.functions.once import with_once
 from feedloom.functions.text import html_to_text, truncate
 from feedloom.operators.enrich import Client, enrich_capped
 from feedloom.operators.harvest import content, recent, to_article
+from feedloom.operators.skew import join_by_key
 from feedloom.sources.feeds import read_entries, split_rejects
 from feedloom.sources.payload import write_payload
 
@@ -19,10 +20,10 @@ HARVEST_ORDER = ("category_pos", "feed_pos", "fetched_at", "pos")
 
 def candidates(payloads: DataFrame, catalog: DataFrame, now: Instant) -> DataFrame:
     """Recent, complete entries of the feeds in the catalogue."""
-    listed = payloads.join(catalog, ["category", "feed_url"])
+    listed = join_by_key(payloads, catalog, ["category", "feed_url"], "inner", ["fetched_at"])
     entries, _ = split_rejects(read_entries(listed))
     dated = with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
-    return recent(dated, "entry_published_at", now)
+    return recent(dated, "entry_published_at", now).drop("published_raw")
 
 
 def harvest(payloads: DataFrame, catalog: DataFrame, client: Client, now: Instant) -> DataFrame:

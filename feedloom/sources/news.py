@@ -26,8 +26,19 @@ def _laid_out(df: DataFrame) -> DataFrame:
     return dated.hint("rebalance", "published_date")
 
 
+# Ids are hashes, so the least and greatest of a row group say nothing about it. A
+# Bloom filter lets a lookup by id skip the row groups that cannot hold it.
+_LOOKUP = {"parquet.bloom.filter.enabled#id": "true"}
+
+
 def append_news(df: DataFrame, path: str) -> None:
-    _laid_out(df).write.mode("append").partitionBy("published_date").parquet(path)
+    (
+        _laid_out(df)
+        .write.mode("append")
+        .options(**_LOOKUP)
+        .partitionBy("published_date")
+        .parquet(path)
+    )
 
 
 def replace_days(df: DataFrame, path: str) -> None:
@@ -39,7 +50,7 @@ def replace_days(df: DataFrame, path: str) -> None:
     (
         _laid_out(df)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .options(partitionOverwriteMode="dynamic", **_LOOKUP)
         .partitionBy("published_date")
         .parquet(path)
     )

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions.dates import Instant, recent_cutoff
 from feedloom.functions.fixed import RECENT_HOURS
-from feedloom.operators.publish import KEY, publish_to
+from feedloom.operators.publish import KEY, append_new
 from feedloom.schema import ARTICLE
 
 
@@ -27,6 +27,7 @@ def stream_publish(
     clock: Callable[[], Instant] = _utc_now,
     array: bool = False,
     rejects: str | None = None,
+    archive: str | None = None,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Publish the payload files under ``landing`` that were not published yet.
@@ -34,10 +35,13 @@ def stream_publish(
     Each file is consumed once, as recorded in ``checkpoint``; the query stops when
     all present files are done. Within a batch rows go by file name and position.
     A batch that is replayed after a crash finds its URLs in the table and adds
-    nothing twice. Rows without a URL go to ``rejects``, if given.
+    nothing twice. Rows without a URL go to ``rejects``, if given. With ``archive``
+    consumed files are moved there some time later.
     """
+    cleaning = {"cleanSource": "archive", "sourceArchiveDir": archive} if archive else {}
     files = (
         spark.readStream.schema(ARTICLE)
+        .options(**cleaning)
         .option("multiLine", array)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(landing)
@@ -49,12 +53,13 @@ def stream_publish(
     )
 
     def publish_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        numbered = batch.withColumn("payload_row", F.monotonically_increasing_id())
-        publish_to(session, numbered, news, clock())
+        # Read once; publishing looks at the batch several times.
+        numbered = batch.withColumn("payload_row", F.monotonically_increasing_id()).persist()
+        append_new(batch.sparkSession, numbered, news, clock())
         if rejects:
-            unkeyed = batch.where(F.col(KEY).isNull())
+            unkeyed = numbered.where(F.col(KEY).isNull()).select(*ARTICLE.names)
             unkeyed.write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
+        numbered.unpersist()
 
     return (
         files.writeStream.foreachBatch(publish_batch)

@@ -16,9 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, name: str | None = None):
+    """Register under ``name``, by default the function's own."""
+
     def register(function: Query) -> Query:
-        REGISTRY[function.__name__] = (function, oracle)
+        REGISTRY[name or function.__name__] = (function, oracle)
         return function
 
     return register

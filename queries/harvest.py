@@ -378,7 +378,8 @@ def article_records(spark, sf_dir):
     """
     SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0
     QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2
-    """
+    """,
+    name="cap_per_feed",
 )
 def capped_articles(spark, sf_dir):
     succeeded = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0)
@@ -410,7 +411,8 @@ def enrich_rows(spark, sf_dir):
     SELECT doc_id, lang, source, split_part(text, '.', 1) AS title_en
     FROM documents WHERE {SQL_ANSWERED.format('text')}
     QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2
-    """
+    """,
+    name="enrich_capped",
 )
 def capped_enrichment(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
@@ -483,7 +485,7 @@ def harvest_rollup(spark, sf_dir):
     return harvest_report(articles)
 
 
-@query("SELECT doc_id, lang, source, text FROM documents UNION ALL SELECT doc_id, lang, source, text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, lang, source, text FROM documents UNION ALL SELECT doc_id, lang, source, text FROM documents WHERE lang = 'en'", name="union_batches")
 def union_batches_by_language(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     english = documents.where(F.col("lang") == "en")

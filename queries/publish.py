@@ -187,7 +187,7 @@ _SQL_UPDATED = f"""
 _EDITED = ["id", "category", "source_url", "title_en", "title_pt", "summary_en", "summary_pt"]
 
 
-@query(f"SELECT * EXCLUDE (doc_id) FROM ({_SQL_UPDATED})")
+@query(f"SELECT * EXCLUDE (doc_id) FROM ({_SQL_UPDATED})", name="update_news")
 def edited_news(spark, sf_dir):
     news = news_view(spark, sf_dir)
     return update_news(news, _patches(news)).select(*_EDITED)
@@ -198,7 +198,7 @@ def _deleted_ids(news):
     return ids.unionByName(ids).unionByName(ids.select(F.concat(F.lit("no-"), "id").alias("id")))
 
 
-@query(f"SELECT id, source_url FROM ({SQL_NEWS}) WHERE doc_id % 4 <> 0")
+@query(f"SELECT id, source_url FROM ({SQL_NEWS}) WHERE doc_id % 4 <> 0", name="delete_news")
 def remaining_news(spark, sf_dir):
     news = news_view(spark, sf_dir)
     return delete_news(news, _deleted_ids(news)).select("id", "source_url")

@@ -105,7 +105,7 @@ def _sql_daily(rows: str, ts: str, names: str) -> str:
     """
 
 
-@query(_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']"))
+@query(_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']"), name="daily_volume")
 def daily_bars(spark, sf_dir):
     events, now = _events(spark, sf_dir)
     return daily_volume(events, now, ts="ts").withColumn("day", F.col("day").cast("string"))
@@ -114,7 +114,8 @@ def daily_bars(spark, sf_dir):
 @query(
     _sql_daily(
         f"({SQL_NEWS})", "published_at", "['Dom', 'Seg', 'Ter', 'Qua', 'Qui', 'Sex', 'Sab']"
-    )
+    ),
+    name="daily_volume_sparse",
 )
 def daily_bars_sparse(spark, sf_dir):
     """Documents cover the first days of the month only, so most bars are zero."""
@@ -140,14 +141,15 @@ def _categorized(spark, sf_dir):
     f"""
     SELECT name, value, row_number() OVER (ORDER BY value DESC, name) AS rank
     FROM ({_SQL_CATEGORIES})
-    """
+    """,
+    name="category_distribution",
 )
 def category_counts_ranked(spark, sf_dir):
     counts = category_distribution(_categorized(spark, sf_dir))
     return ranked(counts, [F.desc("value"), F.asc("name")])
 
 
-@query(f"SELECT name, value, value / sum(value) OVER () AS share FROM ({_SQL_CATEGORIES})")
+@query(f"SELECT name, value, value / sum(value) OVER () AS share FROM ({_SQL_CATEGORIES})", name="category_share")
 def category_shares(spark, sf_dir):
     return category_share(_categorized(spark, sf_dir))
 

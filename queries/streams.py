@@ -48,7 +48,8 @@ def _run_to_table(spark, sdf, name):
     SELECT sha256(source_url) AS id, source_url, category, source_name, title_en, summary_en
     FROM ({SQL_NEWS})
     QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY doc_id % 2, doc_id) = 1
-    """
+    """,
+    name="stream_publish",
 )
 def stream_published(spark, sf_dir):
     """Two payloads land one after the other; a third run finds nothing new."""
@@ -111,7 +112,7 @@ def stream_day_counts(spark, sf_dir):
     return counts.withColumn("day", F.col("day").cast("string"))
 
 
-@query(_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']"))
+@query(_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']"), name="stream_daily")
 def stream_daily_bars(spark, sf_dir):
     now = latest_instant(table(spark, sf_dir, "events"), "ts")
     bars = fill_days(_stream_day_counts(spark, sf_dir), now)

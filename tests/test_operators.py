@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,8 +116,10 @@ def expected_cap():
     }
 
 
+@pytest.mark.parametrize("limit", [skew.BROADCAST_BYTES, -1])
 @pytest.mark.parametrize("blocks", [(1,), (2, 3), (32, 256), (4, 4, 4, 64)])
-def test_capped_enrichment_equals_full_enrichment(spark, blocks):
+def test_capped_enrichment_equals_full_enrichment(spark, monkeypatch, blocks, limit):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
     calls, capped_calls = (spark.sparkContext.accumulator(0) for _ in range(2))
     rows = feed_rows(spark)
     full = cap_per_feed(enriched_only(enrich(rows, counting_client(calls))))
@@ -185,7 +188,8 @@ def test_harvest_report(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_by_key_equals_join(spark, how):
+@pytest.mark.parametrize("fits", [True, False, None])
+def test_join_by_key_equals_join(spark, how, fits):
     n = F.col("id")
     rows = spark.range(6000).select(
         "id",
@@ -193,7 +197,7 @@ def test_join_by_key_equals_join(spark, how):
     )
     keys = spark.createDataFrame([("hot", 1), ("k5", 2), ("k8", 3), ("none", 4)], "k string, v int")
     plain = rows.join(keys, "k", how)
-    spread = join_by_key(rows, keys, ["k"], how, ["id"])
+    spread = join_by_key(rows, keys, ["k"], how, ["id"], fits)
     assert Counter(spread.select(plain.columns).collect()) == Counter(plain.collect())
 
 
@@ -203,7 +207,7 @@ def test_hot_keys_are_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = join_by_key(rows, keys, ["k"], "inner", ["id"])
+        joined = join_by_key(rows, keys, ["k"], "inner", ["id"], fits=False)
         sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -268,6 +272,15 @@ def test_publish_semantics(spark, monkeypatch, limit):
     assert tuple(report) == (0, 0, 0, 0)
 
 
+def test_lookups_can_skip_row_groups(spark, tmp_path):
+    append_news(table(spark, "u"), str(tmp_path / "news"))
+    filtered = duckdb.sql(
+        f"SELECT path_in_schema FROM parquet_metadata('{tmp_path}/news/*/*.parquet')"
+        " WHERE bloom_filter_offset IS NOT NULL"
+    ).fetchall()
+    assert filtered == [("id",)]
+
+
 def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     append_news(table(spark, "old"), str(tmp_path / "news"))
     news = read_news(spark, str(tmp_path / "news"))
