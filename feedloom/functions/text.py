@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,16 +19,15 @@ _BREAK = "\x01"
 # quoted attribute values. What is not closed runs to the end of the text, as in
 # a browser, and possessive repetition never goes back: both keep it linear.
 _MARKUP = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<(script|style|template|rt|rp)(?:\s[^>]*+)?(?<!/)>.*?(?:</\1\s*>|\z)"
-    r"|<[/!?][^>]*+(?:>|\z)"
-    r"|<[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+(?:>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|(script|style|template|rt|rp)(?:\s[^>]*+)?(?<!/)>.*?(?:</\1\s*>|\z)"
+    r"|[/!?][^>]*+(?:>|\z)"
+    r"|[a-z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+(?:>|\z))"
 )
 
-# White space as a Unicode-aware strip sees it.
-_SPACE = r"\s\x1c-\x1f"
-_GAP = rf"(?U)(?<![{_SPACE}\x01])[{_SPACE}]*+\x01[{_SPACE}\x01]*+"
-_ENDS = rf"(?U)\A[{_SPACE}\x01]++|(?<![{_SPACE}\x01])[{_SPACE}\x01]++\z"
+# All characters of the Basic Multilingual Plane that Unicode calls white space,
+# and the four ASCII separators.
+_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 # Looked up first; the full table is a linear search.
 _FREQUENT = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "mdash", "ndash",
@@ -60,49 +60,76 @@ def _numeric(name: Column) -> Column:
     return let(decimal.try_cast("bigint"), character)
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references in one pass, so ``&amp;lt;`` gives ``&lt;``.
+def _replace_references(text: Column, character: Callable[[Column, Column], Column]) -> Column:
+    """Replace each ``&name`` or ``&name;`` by ``character(name, reference)``.
 
-    The semicolon is optional. An unknown name stays, without its semicolon.
+    ``name`` is ``#233``, ``#xE9`` or a word, and ``reference`` the text as it stands.
     """
-    everything = _entity_map(n[:-1] for n in html.entities.html5 if n.endswith(";"))
-    frequent = _entity_map(_FREQUENT)
-    reference = r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
+    pattern = r"\A(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][-.a-zA-Z0-9]*)"
 
     def named(part: Column, name: Column) -> Column:
-        after = F.length(name) + 1
-        after = after + F.when(F.substring(part, after, F.lit(1)) == ";", 1).otherwise(0)
-        character = F.when(name.startswith("#"), _numeric(name)).otherwise(
-            F.coalesce(
-                F.try_element_at(frequent, name),
-                F.try_element_at(everything, name),
-                F.concat(F.lit("&"), name),
-            )
-        )
+        end = F.length(name)
+        end = end + F.when(F.substring(part, end + 1, F.lit(1)) == ";", 1).otherwise(0)
+        reference = F.concat(F.lit("&"), F.substring(part, F.lit(1), end))
         return F.when(name == "", F.concat(F.lit("&"), part)).otherwise(
-            F.concat(character, F.substring(part, after, F.length(part)))
+            F.concat(character(name, reference), F.substring(part, end + 1, F.length(part)))
         )
 
     def piece(part: Column) -> Column:
-        return let(F.regexp_extract(part, reference, 1), lambda name: named(part, name))
+        return let(F.regexp_extract(part, pattern, 1), lambda name: named(part, name))
 
-    def decoded(t: Column) -> Column:
+    def replaced(t: Column) -> Column:
         parts = F.split(t, "&")
         pieces = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(piece(part)))
         return F.when(F.contains(t, F.lit("&")), F.array_join(pieces, "")).otherwise(t)
 
-    return let(text, decoded)
+    return let(text, replaced)
+
+
+def _named_character(name: Column) -> Column:
+    everything = _entity_map(n[:-1] for n in html.entities.html5 if n.endswith(";"))
+    return F.coalesce(
+        F.try_element_at(_entity_map(_FREQUENT), name), F.try_element_at(everything, name)
+    )
+
+
+def decode_entities(text: Column) -> Column:
+    """Replace character references in one pass, so ``&amp;lt;`` gives ``&lt;``.
+
+    The semicolon is optional. An unknown name stays, without its semicolon.
+    """
+
+    def character(name: Column, reference: Column) -> Column:
+        return F.when(name.startswith("#"), _numeric(name)).otherwise(
+            F.coalesce(_named_character(name), F.concat(F.lit("&"), name))
+        )
+
+    return _replace_references(text, character)
+
+
+def xml_entities_only(text: Column) -> Column:
+    """Replace HTML's named references that XML does not know, such as ``&nbsp;``.
+
+    XML's own five and numeric references stay for the XML reader.
+    """
+
+    def character(name: Column, reference: Column) -> Column:
+        own = name.isin("amp", "lt", "gt", "quot", "apos") | name.startswith("#")
+        return F.when(own, reference).otherwise(F.coalesce(_named_character(name), reference))
+
+    foreign = text.rlike("&(?!(?:amp|lt|gt|quot|apos);)[a-zA-Z]")
+    return F.when(foreign, _replace_references(text, character)).otherwise(text)
 
 
 def html_to_text(markup: Column) -> Column:
     """Text nodes of an HTML fragment, each stripped, joined by one space.
 
     Scripts, styles, templates, ruby annotations, comments and declarations are
-    not text. Stripping every node and dropping the empty ones equals closing
-    each run of white space that contains a tag to a single space.
+    not text.
     """
-    text = decode_entities(F.regexp_replace(markup, _MARKUP, _BREAK))
-    return F.regexp_replace(F.regexp_replace(text, _ENDS, ""), _GAP, " ")
+    nodes = F.split(decode_entities(F.regexp_replace(markup, _MARKUP, _BREAK)), _BREAK)
+    stripped = F.transform(nodes, lambda node: F.btrim(node, F.lit(_SPACE)))
+    return F.array_join(F.filter(stripped, lambda node: node != ""), " ")
 
 
 def truncate(text: Column, n: int = CONTENT_CHARS) -> Column:

@@ -95,7 +95,7 @@ def enrich_capped(
     text: str | Column = "clean",
     out: str = "answer",
     n: int = ARTICLES_PER_FEED,
-    blocks: tuple[int, ...] = (32, 256),
+    blocks: tuple[int, ...] = (32, 256, 704),
 ) -> DataFrame:
     """The first ``n`` rows of each feed that get an answer, with few calls.
 
@@ -109,7 +109,8 @@ def enrich_capped(
 
     Answers of a round are written to the shared folder before the next begins: no
     call is repeated when a later round is planned or an executor is lost.
-    ``text`` may be an expression; it is evaluated for the rows of a block only.
+    ``blocks`` add up to less than 1000, up to which Spark limits groups before the
+    shuffle. ``text`` may be an expression; it is evaluated for the rows of a block only.
     ``feed`` columns must not be NULL and ``order`` must be unique within a feed.
     Each round is a Spark job, so this runs when called.
     """

@@ -41,7 +41,11 @@ def _known_keys(batch: DataFrame, news: DataFrame) -> tuple[DataFrame, bool]:
 
 def new_only(batch: DataFrame, news: DataFrame) -> DataFrame:
     """Rows of a batch with unique URLs whose URL the table does not have."""
-    return batch.join(known_keys(batch, news), KEY, "left_anti")
+    return _without_known(batch, *_known_keys(batch, news))
+
+
+def _without_known(unique: DataFrame, known: DataFrame, fits: bool) -> DataFrame:
+    return unique.join(F.broadcast(known) if fits else known, KEY, "left_anti")
 
 
 def already_known(batch: DataFrame, news: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -68,7 +72,7 @@ def publish(batch: DataFrame, news: DataFrame, now: Instant, order: Sequence[str
     are kept behind the table's columns.
     """
     keyed = batch.where(F.col(KEY).isNotNull())
-    fresh = first_by_key(keyed, KEY, list(order)).join(known_keys(keyed, news), KEY, "left_anti")
+    fresh = _without_known(first_by_key(keyed, KEY, list(order)), *_known_keys(keyed, news))
     published_at = instant(now)
     derived = {
         "id": F.sha2(F.col(KEY), 256),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedloom.functions.display import fmt_numeric, language
 from feedloom.functions.fixed import LATEST_ARTICLES, STATUS_LABEL
@@ -32,12 +31,13 @@ def oldest_first(news: DataFrame, ts: str = "published_at") -> DataFrame:
 
 def get_article(news: DataFrame, id: str) -> DataFrame:
     """The row with this id. No row, or more than one, gives an empty result."""
-    # Two rows are enough to know that there is more than one.
-    found = news.where(F.col("id") == id).limit(2)
+    row = F.any_value(F.struct(*news.columns)).alias("row")
     return (
-        found.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
-        .where(F.col("_n") == 1)
-        .drop("_n")
+        news.where(F.col("id") == id)
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("n"), row)
+        .where(F.col("n") == 1)
+        .select("row.*")
     )
 
 

@@ -18,14 +18,23 @@ from feedloom.sources.payload import write_payload
 HARVEST_ORDER = ("category_pos", "feed_pos", "fetched_at", "pos")
 
 
+def _entries(payloads: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    listed = join_by_key(payloads, catalog, ["category", "feed_url"], "inner", ["fetched_at"])
+    return split_rejects(read_entries(listed))
+
+
 def candidates(payloads: DataFrame, catalog: DataFrame, now: Instant) -> DataFrame:
     """Recent, complete entries of the feeds in the catalogue."""
-    listed = join_by_key(payloads, catalog, ["category", "feed_url"], "inner", ["fetched_at"])
-    entries, _ = split_rejects(read_entries(listed))
+    entries, _ = _entries(payloads, catalog)
     dated = with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
     return recent(dated, "entry_published_at", now).drop("published_raw")
 
 
+def rejects(payloads: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Documents and entries a run passes over, with the reason in ``reject``."""
+    return _entries(payloads, catalog)[1]
+
+
 def harvest(payloads: DataFrame, catalog: DataFrame, client: Client, now: Instant) -> DataFrame:
     """Article records of one run, with :data:`HARVEST_ORDER`.
 

@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.once import with_once
+from feedloom.functions.text import xml_entities_only
 from feedloom.schema import FEED_XML
 
 
+def _readable(payload: Column) -> Column:
+    """The payload without what feeds contain and XML readers stumble over."""
+    return xml_entities_only(F.btrim(payload, F.lit("\ufeff \t\r\n")))
+
+
 def _rss_entry(item: Column) -> Column:
     # A guid stands in for the link unless it says that it is not one, and the
     # full content for a description that is absent (not for an empty one).
@@ -60,7 +66,7 @@ def read_entries(payloads: DataFrame, keep: list[str] | None = None) -> DataFram
         F.col("col.title").isNull() | F.col("col.link").isNull(), "incomplete"
     )
     return (
-        with_once(payloads, "_doc", F.from_xml("payload", FEED_XML), keep)
+        with_once(payloads, "_doc", F.from_xml(_readable(F.col("payload")), FEED_XML), keep)
         .select(
             *keep,
             F.coalesce(doc["channel"]["title"], doc["title"]).alias("feed_title"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.plans.backoffice import editor_list, record
 from feedloom.plans.dashboard import dashboard
-from feedloom.plans.harvest import HARVEST_ORDER, harvest, harvest_to
+from feedloom.plans.harvest import HARVEST_ORDER, harvest, harvest_to, rejects
 from feedloom.plans.portal import article_page, front_page
 from feedloom.plans.publish import publish_payload
 from feedloom.sources.catalog import read_catalog
@@ -69,6 +69,7 @@ def test_harvest(spark, tmp_path):
     ]
     assert got[0].title_en == "b" and got[0].title_pt == "PT B & b" and got[0].summary_pt is None
     # Without a summary the title is the text, and without a date an entry is new.
+    assert [(r.feed_url, r.reject) for r in rejects(payloads, catalog).collect()] == [("u3", "unreadable")]
     assert got[1].summary_en == "c" and str(got[1].entry_published_at) == NOW
 
 

@@ -58,6 +58,15 @@ def test_rejects(spark):
     assert got == {(f"bad{i}", "unreadable") for i in range(len(BAD))} | {("rss", "incomplete")}
 
 
+def test_near_xml_is_read(spark):
+    text = (
+        "\ufeff\n<?xml version='1.0'?><rss><channel><item><title>a&nbsp;&mdash;&eacute; &amp; &#233;</title>"
+        "<link>l</link><description><![CDATA[x&nbsp;&lt;&amp;nbsp;]]></description></item></channel></rss>"
+    )
+    row = parse_feeds(spark.createDataFrame([(text,)], "payload string")).first()
+    assert row.title == "a\xa0—é & é" and row.summary == "x\xa0&lt;&amp;nbsp;"
+
+
 def test_documents_are_parsed_once(spark):
     good, _ = split_rejects(read_entries(payloads(spark)))
     plan = good._jdf.queryExecution().executedPlan().toString()
