@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.fixed import RECENT_HOURS, ZONE_OFFSETS
+from feedloom.functions.fixed import MONTHS_RFC_822, RECENT_HOURS, ZONE_OFFSETS
 from feedloom.functions.once import let
 
 Instant = datetime | str | Column
@@ -63,38 +63,54 @@ def day_spine(now: Instant, days: int) -> Column:
     return F.sequence(F.date_sub(today, days - 1), today, F.expr("INTERVAL 1 DAY"))
 
 
-# Tried in this order after the weekday is cut off and a zone name is replaced.
-_PATTERNS = (
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm Z",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yy HH:mm:ss Z",
+# Day, month, year, hour, minute, second and zone of an RFC 822 date. The weekday,
+# the time, the seconds and the zone may be missing.
+_RFC_822 = (
+    r"\A(?:[A-Za-z]+\.?,?\s*)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*\.?,?[\s-]+(\d{4}|\d{2})\b"
+    r"(?:,?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]+|[+-](?:0\d|1[0-8]):?[0-5]\d)?)?.*\z"
 )
+# The C library's order, as in `Sun May  3 14:05:00 2026`.
+_ASCTIME = r"\A[A-Za-z]{3} ([A-Za-z]{3})\s+(\d{1,2}) (\d\d:\d\d:\d\d) (\d{4})\z"
+_FIELDS = "\x01".join(f"${i}" for i in range(1, 8))
 
 
-def parse_feed_date(raw: Column) -> Column:
-    """RFC 822 or ISO 8601 text to TIMESTAMP; NULL when it is neither.
-
-    Zone names become fixed offsets first, because Spark would apply daylight
-    saving rules to a name such as EST.
-    """
+def _rfc_822(text: Column) -> Column:
+    months = F.array(*[F.lit(m) for m in MONTHS_RFC_822])
     zones = F.create_map(*[F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
 
-    def with_offset(dated: Column) -> Column:
-        zone = F.upper(F.regexp_extract(dated, r"\s([A-Za-z]{1,3})$", 1))
-        return F.coalesce(
-            F.concat(F.regexp_replace(dated, r"[A-Za-z]{1,3}$", ""), F.try_element_at(zones, zone)),
-            dated,
+    def from_fields(field: Column) -> Column:
+        def number(i: int, missing: int | None = None) -> Column:
+            return F.coalesce(field[i].try_cast("int"), F.lit(missing))
+
+        year, month = number(2), F.array_position(months, F.lower(field[1]))
+        century = F.when(F.length(field[2]) > 2, 0).when(year < 90, 2000).otherwise(1900)
+        zone = F.when(
+            field[6].rlike("^[+-]"), F.regexp_replace(field[6], r"(\d\d):?(\d\d)", "$1:$2")
+        ).otherwise(F.coalesce(F.try_element_at(zones, F.upper(field[6])), F.lit("+00:00")))
+        return F.when(
+            (F.size(field) == 7) & (month > 0),
+            F.try_make_timestamp(
+                year + century, month.cast("int"), number(0),
+                number(3, 0), number(4, 0), number(5, 0), zone,
+            ),
         )
 
-    def rfc(dated: Column) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(dated, F.lit(pattern)) for pattern in _PATTERNS])
+    ordered = F.regexp_replace(text, _ASCTIME, "$2 $1 $4 $3")
+    return let(F.split(F.regexp_replace(ordered, _RFC_822, _FIELDS), "\x01"), from_fields)
+
+
+def parse_feed_date(raw: Column) -> Column:
+    """RFC 822 or ISO 8601 text to TIMESTAMP; NULL when it is neither.
+
+    Zone names are fixed offsets: Spark would apply daylight saving rules to a name
+    such as EST. Names that are not known, and no zone at all, mean UTC.
+    """
 
     def either(text: Column) -> Column:
         # A bare time of day would also pass as ISO text, so a year is demanded.
-        return F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text)).otherwise(
-            let(let(F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", ""), with_offset), rfc)
-        )
+        # Spark wants seconds before a zone.
+        full = F.regexp_replace(text, r"(T\d\d:\d\d)(?=[Z+-])", "$1:00")
+        return F.when(text.rlike(r"\A\d{4}-"), F.try_to_timestamp(full)).otherwise(_rfc_822(text))
 
     return let(F.trim(raw), either)
 

@@ -40,11 +40,14 @@ MONTHS_LONG_PT = (
     "julho", "agosto", "setembro", "outubro", "novembro", "dezembro",
 )
 
-# RFC 822 zone names and their offsets.
+# Names in RFC 822 dates: months, and zones with their offsets.
+MONTHS_RFC_822 = (
+    "jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec",
+)
 ZONE_OFFSETS = {
-    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000",
-    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
-    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+    "UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "Z": "+00:00",
+    "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00",
+    "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
 }
 
 # Request text around an article.

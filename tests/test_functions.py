@@ -37,6 +37,20 @@ def apply(spark, function, values, result="string"):
         ("2026-05-03T14:05:00Z", "2026-05-03 14:05:00"),
         ("2026-05-03T14:05:00+02:00", "2026-05-03 12:05:00"),
         ("  2026-05-03T14:05:00.250Z ", "2026-05-03 14:05:00.25"),
+        ("Thu, 01 Jan 04 19:48:21 GMT", "2004-01-01 19:48:21"),
+        ("Fri, 01 Jan 99 19:48:21 GMT", "1999-01-01 19:48:21"),
+        ("Thu, 01 Jan 2004", "2004-01-01 00:00:00"),
+        ("Sun,03 May 2026 14:05:00+0200", "2026-05-03 12:05:00"),
+        ("Sun, 03 may 2026  4:05:00  -02:30", "2026-05-03 06:35:00"),
+        ("Thursday, 03 September 2026 14:05:00 gmt", "2026-09-03 14:05:00"),
+        ("Sun, 03 May 2026 14:05:00 CEST", "2026-05-03 14:05:00"),
+        ("Sun May  3 14:05:00 2026", "2026-05-03 14:05:00"),
+        ("2026-05-03T14:05Z", "2026-05-03 14:05:00"),
+        ("2026-05-03", "2026-05-03 00:00:00"),
+        ("Sun, 31 Feb 2026 14:05:00 GMT", None),
+        ("Sun, 03 Foo 2026 14:05:00 GMT", None),
+        ("Sun, 03 May 2026 25:05:00 GMT", None),
+        ("2026-13-45T00:00:00Z", None),
         ("garbage", None),
         ("14:05", None),
         ("", None),
