@@ -96,6 +96,7 @@ def enrich_capped(
     out: str = "answer",
     n: int = ARTICLES_PER_FEED,
     blocks: tuple[int, ...] = (32, 256, 704),
+    parallelism: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each feed that get an answer, with few calls.
 
@@ -112,11 +113,14 @@ def enrich_capped(
     ``blocks`` add up to less than 1000, up to which Spark limits groups before the
     shuffle. ``text`` may be an expression; it is evaluated for the rows of a block only.
     ``feed`` columns must not be NULL and ``order`` must be unique within a feed.
-    Each round is a Spark job, so this runs when called.
+    Each round is a Spark job, so this runs when called; it has ``parallelism`` tasks,
+    by default twice the shuffle partitions.
     """
     feed_cols, order_cols = list(feed), list(order)
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A block is small in bytes but long in calls, so AQE must not merge its
+    # partitions. It leaves alone those of a fixed number, and a number other than
+    # the window's keeps this exchange from being dropped as redundant.
+    tasks = parallelism or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     window = Window.partitionBy(*feed_cols).orderBy(*order_cols)
 
     ask, answer_type = _asker()

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import instant
@@ -146,6 +147,18 @@ def test_capped_enrichment_calls_as_few_times_as_a_sequential_run(spark):
     assert calls.value == needed
 
 
+def test_small_blocks_are_not_asked_one_after_the_other(spark):
+    def client():
+        return lambda text: {"task": str(TaskContext.get().partitionId())}
+
+    rows = spark.range(200).select(
+        F.lit("c").alias("category"), F.col("id").cast("string").alias("feed_url"),
+        F.lit(0).alias("pos"), F.lit("t").alias("clean"),
+    )
+    asked = enrich_capped(rows, client)
+    assert asked.select("answer.task").distinct().count() > 8
+
+
 def test_one_feed_may_hold_nearly_all_rows(spark):
     calls = spark.sparkContext.accumulator(0)
     hot = spark.range(20_000).select(
