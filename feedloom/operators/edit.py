@@ -49,14 +49,20 @@ def delete_news(news: DataFrame, ids: DataFrame) -> DataFrame:
     return news.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+# Spark hands lists of up to this many values to Parquet as they are, where the
+# table's Bloom filters on ids can rule out row groups.
+_PUSHED_VALUES = 10
+
+
 def _touched_days(news: DataFrame, ids: DataFrame) -> list[str | None]:
     """Days that hold any of the ids; at most one value per calendar day."""
-    days = (
-        news.select("id", "published_date")
-        .join(ids, "id", "left_semi")
-        .select(F.col("published_date").cast("string"))
-        .distinct()
-    )
+    rows = news.select("id", "published_date")
+    few = [row[0] for row in ids.limit(_PUSHED_VALUES + 1).collect()]
+    if len(few) <= _PUSHED_VALUES:
+        rows = rows.where(F.col("id").isin(few))
+    else:
+        rows = rows.join(ids, "id", "left_semi")
+    days = rows.select(F.col("published_date").cast("string")).distinct()
     return [row[0] for row in days.collect()]
 
 
@@ -88,10 +94,11 @@ def apply_deletes(spark: SparkSession, path: str, ids: DataFrame) -> int:
     gone = broadcast_if_small(materialize(ids.select("id").distinct(), "ids"))
     days = _touched_days(news, gone)
     if days:
-        # Days that keep no row are not replaced by the write below, so they are
-        # looked up in the result and dropped.
-        kept = materialize(_in_days(news, days).join(gone, "id", "left_anti"), "kept")
+        kept = _in_days(news, days).join(gone, "id", "left_anti")
+        # Days that keep no row do not occur in the write, so they are dropped. They
+        # are looked up first, since the write changes what `kept` reads.
         left = {r[0] for r in kept.select(F.col("published_date").cast("string")).distinct().collect()}
-        replace_days(kept, path)
+        if left:
+            replace_days(kept, path)
         drop_days(spark, path, [d for d in days if d not in left])
     return len(days)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.dates import Instant, day_key, days_ago
 from feedloom.functions.display import fmt_numeric, language
 from feedloom.functions.fixed import LATEST_ARTICLES, STATUS_LABEL
 
@@ -14,8 +15,30 @@ def newest_first(ts: str = "published_at", tie: str = "id") -> list[Column]:
     return [F.desc_nulls_first(ts), F.asc(tie)]
 
 
-def latest(news: DataFrame, n: int = LATEST_ARTICLES, ts: str = "published_at") -> DataFrame:
-    """The newest ``n`` rows; each task keeps ``n`` and nothing is sorted in full."""
+# Reaches back this many days, one after the other, for the newest rows.
+_LOOK_BACK = (1, 7, 31, 366)
+
+
+def latest(
+    news: DataFrame,
+    n: int = LATEST_ARTICLES,
+    ts: str = "published_at",
+    now: Instant | None = None,
+) -> DataFrame:
+    """The newest ``n`` rows; each task keeps ``n`` and nothing is sorted in full.
+
+    With ``now``, the stored table is only read as far back as needed: the folders of
+    the last day, week, month or year are used if they are counted to hold ``n``
+    rows, and all of them otherwise. The result is the same.
+    """
+    if now is not None and "published_date" in news.columns:
+        for days in _LOOK_BACK:
+            first = day_key(days_ago(now, days))
+            undated = F.col("published_date").isNull()
+            part = news.where(undated | (F.col("published_date") >= first))
+            if part.limit(n).count() == n:
+                news = part
+                break
     return news.orderBy(*newest_first(ts)).limit(n)
 
 

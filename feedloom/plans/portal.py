@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.dates import Instant
 from feedloom.functions.display import fmt_long, fmt_short
 from feedloom.operators.serve import get_article, latest, localize
 
@@ -22,8 +23,9 @@ def _page(articles: DataFrame, lang: str, text_of) -> DataFrame:
     )
 
 
-def front_page(news: DataFrame, lang: str) -> DataFrame:
-    return _page(latest(news), lang, fmt_short)
+def front_page(news: DataFrame, lang: str, now: Instant | None = None) -> DataFrame:
+    """The newest articles; ``now`` saves reading old days of the stored table."""
+    return _page(latest(news, now=now), lang, fmt_short)
 
 
 def article_page(news: DataFrame, id: str, lang: str) -> DataFrame:

@@ -429,6 +429,29 @@ def test_latest_and_listing(spark):
     assert [r.id for r in latest(same).collect()] == ["a", "b", "c"]
 
 
+def test_latest_reads_only_the_days_it_needs(spark, tmp_path):
+    path = str(tmp_path / "news")
+    for day, urls in {"2026-05-04": "ab", "2026-05-01": "cdef", "2025-01-01": "ghijkl", None: "m"}.items():
+        rows = table(spark, *urls).withColumn("published_at", F.lit(day).cast("timestamp"))
+        append_news(rows, path)
+    news = read_news(spark, path)
+    for n, folders in ((2, 2), (3, 2), (4, 3), (7, 3), (8, 4), (13, 4), (20, 4)):
+        narrow, full = latest(news, n, now=NOW), latest(news, n)
+        assert narrow.collect() == full.collect() and narrow.count() == min(n, 13)
+        read = narrow.select("published_date").distinct().count()
+        assert read <= folders
+    text = plan(latest(news, 3, now=NOW))
+    assert "PartitionFilters: [(isnull(published_date" in text and "2026-05-03" in text
+
+
+def test_edits_of_many_ids(spark, tmp_path):
+    path = str(tmp_path / "news")
+    append_news(table(spark, *[f"u{i}" for i in range(40)]), path)
+    ids = read_news(spark, path).where("source_url not in ('u1', 'u2')").select("id")
+    assert apply_deletes(spark, path, materialize(ids, "ids")) == 1
+    assert {r.source_url for r in read_news(spark, path).collect()} == {"u1", "u2"}
+
+
 def test_lookup(spark):
     rows = news_rows(spark).unionByName(news_rows(spark).where("id = '2'"))
     assert get_article(rows, "1").count() == 1
