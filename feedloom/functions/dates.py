@@ -80,13 +80,13 @@ def _rfc_822(text: Column) -> Column:
 
     def from_fields(field: Column) -> Column:
         def number(i: int, missing: int | None = None) -> Column:
-            return F.coalesce(field[i].try_cast("int"), F.lit(missing))
+            return F.coalesce(F.get(field, F.lit(i)).try_cast("int"), F.lit(missing))
 
-        year, month = number(2), F.array_position(months, F.lower(field[1]))
-        century = F.when(F.length(field[2]) > 2, 0).when(year < 90, 2000).otherwise(1900)
+        year, month = number(2), F.array_position(months, F.lower(F.get(field, F.lit(1))))
+        century = F.when(F.length(F.get(field, F.lit(2))) > 2, 0).when(year < 90, 2000).otherwise(1900)
         zone = F.when(
-            field[6].rlike("^[+-]"), F.regexp_replace(field[6], r"(\d\d):?(\d\d)", "$1:$2")
-        ).otherwise(F.coalesce(F.try_element_at(zones, F.upper(field[6])), F.lit("+00:00")))
+            F.get(field, F.lit(6)).rlike("^[+-]"), F.regexp_replace(F.get(field, F.lit(6)), r"(\d\d):?(\d\d)", "$1:$2")
+        ).otherwise(F.coalesce(F.try_element_at(zones, F.upper(F.get(field, F.lit(6)))), F.lit("+00:00")))
         return F.when(
             (F.size(field) == 7) & (month > 0),
             F.try_make_timestamp(

@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from feedloom.sources.catalog import read_catalog
+from feedloom.sources.catalog import flatten_catalog, read_catalog
 from feedloom.sources.feeds import parse_feeds, read_entries, split_rejects
 from feedloom.sources.payload import read_payload, write_payload
 
@@ -79,6 +80,11 @@ def test_catalog(spark, tmp_path):
     got = [tuple(r) for r in read_catalog(spark, str(path)).orderBy("category_pos", "feed_pos").collect()]
     assert got == [("B", 0, "u1", 0), ("B", 0, "u2", 1), ("A", 1, "u3", 0)]
     assert read_catalog(spark, str(tmp_path / "missing.json")).count() == 0
+    path.write_text('{"B": ["u1"')
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_catalog(spark, str(path)).collect()
+    rows = spark.createDataFrame([('{"B": ["u1"',), ('{"A": ["u"]}',)], "t string")
+    assert [r.feed_url for r in flatten_catalog(rows, "t").collect()] == ["u"]
 
 
 def article(i, **changes):
