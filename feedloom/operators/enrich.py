@@ -114,13 +114,13 @@ def enrich_capped(
     shuffle. ``text`` may be an expression; it is evaluated for the rows of a block only.
     ``feed`` columns must not be NULL and ``order`` must be unique within a feed.
     Each round is a Spark job, so this runs when called; it has ``parallelism`` tasks,
-    by default twice the shuffle partitions.
+    by default about as many as there are shuffle partitions.
     """
     feed_cols, order_cols = list(feed), list(order)
     # A block is small in bytes but long in calls, so AQE must not merge its
     # partitions. It leaves alone those of a fixed number, and a number other than
     # the window's keeps this exchange from being dropped as redundant.
-    tasks = parallelism or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     window = Window.partitionBy(*feed_cols).orderBy(*order_cols)
 
     ask, answer_type = _asker()
