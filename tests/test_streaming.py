@@ -62,6 +62,19 @@ def test_payload_files_are_published_once(spark, tmp_path):
     assert [r.title_en for r in spark.read.json(f"{rejects}/batch_id=0").collect()] == ["no url"]
 
 
+def test_consumed_files_can_be_archived(spark, tmp_path):
+    landing, archive, news = tmp_path / "in", tmp_path / "done", str(tmp_path / "news")
+    for name in ("1.json", "2.json", "3.json"):
+        land(landing, name, (name, "t"))
+    for _ in range(2):
+        stream_publish(
+            spark, str(landing), news, str(tmp_path / "cp"),
+            clock=lambda: NOW, archive=str(archive), files_per_batch=1,
+        ).awaitTermination()
+    assert set(titles(spark, news)) == {"1.json", "2.json", "3.json"}
+    assert {p.name for p in archive.rglob("*.json")} & {"1.json", "2.json"}
+
+
 def test_payload_run(spark, tmp_path):
     news, path = str(tmp_path / "news"), tmp_path / "payload.json"
     rows = [dict.fromkeys(ARTICLE.names, "x") | {"source_url": u} for u in ("a", "b", "a")]
