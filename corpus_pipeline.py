@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.llm.exact import drop_exact_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.queries import BYTE_BPE
 from feedloom.session import materialize
@@ -12,12 +13,17 @@ from feedloom.session import materialize
 ORACLE_SQL = None
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return drop_exact_duplicates(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of sequences of 1024 tokens, with their ids."""
     return pack(docs, BYTE_BPE, end_id=0, capacity=1024)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("exact_dedup", exact_dedup), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

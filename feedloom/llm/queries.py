@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import table
+from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.packing import pack
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,7 +18,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
+
+
+QUERIES = {"op1_packing": op1_packing, "op9_exact_dedup": op9_exact_dedup}
 
 # Queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        SELECT doc_id, first(doc_id) OVER w AS keep_id,
+               count(*) OVER (PARTITION BY norm) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+        FROM (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+              FROM documents)
+        WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
+    """,
+}
