@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import table
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.packing import pack
+from feedloom.llm.wavelet import read_tokens, write_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,11 +19,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
+    return read_tokens(manifest, ids=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
 
 
-QUERIES = {"op1_packing": op1_packing, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op9_exact_dedup": op9_exact_dedup}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
