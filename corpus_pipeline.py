@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.exact import drop_exact_duplicates
 from feedloom.llm.packing import pack
+from feedloom.llm.quality import keep_quality
 from feedloom.llm.queries import BYTE_BPE
 from feedloom.session import materialize
 
@@ -13,6 +14,11 @@ from feedloom.session import materialize
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return drop_exact_duplicates(docs)
@@ -23,7 +29,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, BYTE_BPE, end_id=0, capacity=1024)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

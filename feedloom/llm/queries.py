@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import table
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.packing import pack
+from feedloom.llm.quality import quality
 from feedloom.llm.wavelet import read_tokens, write_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,11 +25,15 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, ids=False)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op9_exact_dedup": op9_exact_dedup}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
