@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.llm.exact import drop_exact_duplicates
+from feedloom.llm.minhash import drop_near_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.quality import keep_quality
 from feedloom.llm.queries import BYTE_BPE
@@ -24,12 +25,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return drop_near_duplicates(docs, threshold=0.8, size=5)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of sequences of 1024 tokens, with their ids."""
     return pack(docs, BYTE_BPE, end_id=0, capacity=1024)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

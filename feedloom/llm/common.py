@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.operators.skew import join_by_key
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,3 +51,15 @@ def record(values: dict[str, list | pa.Array], kinds: dict[str, pa.DataType]) ->
         [v if isinstance(v, pa.Array) else pa.array(v, kinds[k]) for k, v in values.items()],
         names=list(values),
     )
+
+
+def keep_rows(docs: DataFrame, fates: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``docs`` that stay, all their other columns as they are.
+
+    ``docs`` carries the columns ``names``, none of them null. ``fates`` has each distinct
+    ``names`` of which a row goes or which several rows share, with ``kept``: whether one
+    row stays. Rows that share all of ``names`` are the same document.
+    """
+    once = join_by_key(docs, fates.select(*names), names, "left_anti", names)
+    shared = join_by_key(docs, fates.where("kept").select(*names), names, "left_semi", names)
+    return once.unionByName(shared.dropDuplicates(names)).drop(*names)

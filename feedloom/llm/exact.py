@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedloom.llm.common import keep_rows
 from feedloom.operators.skew import broadcast_if_small, join_by_key
 from feedloom.session import materialize, scratch_path
 
@@ -198,6 +199,4 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
         .where("NOT kept OR n > 1"),
         "exact-fates",
     )
-    once = join_by_key(rows, fates.select(*names), names, "left_anti", names)
-    repeated = join_by_key(rows, fates.where("kept").select(*names), names, "left_semi", names)
-    return once.unionByName(repeated.dropDuplicates(names)).drop(*names)
+    return keep_rows(rows, fates, names)

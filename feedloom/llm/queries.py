@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import table
 from feedloom.llm.exact import exact_duplicates
+from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.quality import quality
 from feedloom.llm.wavelet import read_tokens, write_tokens
@@ -29,11 +30,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+    return found.drop("text_key", "class_key")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
