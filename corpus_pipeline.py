@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedloom.llm.exact import drop_exact_duplicates
 from feedloom.llm.minhash import drop_near_duplicates
 from feedloom.llm.packing import pack
+from feedloom.llm.passages import drop_repeated_passages
 from feedloom.llm.quality import keep_quality
 from feedloom.llm.queries import BYTE_BPE
 from feedloom.session import materialize
@@ -30,12 +32,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs, threshold=0.8, size=5)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents stay where they come first."""
+    cleaned = drop_repeated_passages(docs, least=3, words=15, enough=50).drop("removed")
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces of sequences of 1024 tokens, with their ids."""
     return pack(docs, BYTE_BPE, end_id=0, capacity=1024)
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("packing", packing)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

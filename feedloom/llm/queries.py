@@ -10,6 +10,7 @@ from feedloom.llm.common import table
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
+from feedloom.llm.passages import drop_repeated_passages
 from feedloom.llm.quality import quality
 from feedloom.llm.wavelet import read_tokens, write_tokens
 
@@ -39,7 +40,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_passages(docs, least=3, words=15, enough=50)
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
