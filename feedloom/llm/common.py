@@ -25,7 +25,8 @@ def write_file(path: str, content: bytes) -> None:
     """Write a file of the shared folder from a task, whatever store the folder is in."""
     store, inner = fs.FileSystem.from_uri(path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(inner) as out:
+    # As it is: by default the ending .gz would have it compressed.
+    with store.open_output_stream(inner, compression=None) as out:
         out.write(content)
 
 

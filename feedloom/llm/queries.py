@@ -12,6 +12,7 @@ from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.passages import drop_repeated_passages
 from feedloom.llm.quality import quality
+from feedloom.llm.warc import read_warc, write_warc
 from feedloom.llm.wavelet import read_tokens, write_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_warc(table(spark, sf_dir, "pages"), least_bytes=1000)
+    return read_warc(files, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
     return found.drop("text_key", "class_key")
@@ -45,10 +53,18 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM m
+    """,
     "op9_exact_dedup": r"""
         SELECT doc_id, first(doc_id) OVER w AS keep_id,
                count(*) OVER (PARTITION BY norm) AS group_size,
