@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.ann import nearest
 from feedloom.llm.common import table
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.minhash import near_duplicates
@@ -44,6 +45,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key", "class_key")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("key", "chars")
 
@@ -53,7 +59,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
+QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
