@@ -12,11 +12,13 @@ from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.passages import drop_repeated_passages
+from feedloom.llm.pieces import decode_pieces, encode_pieces
 from feedloom.llm.quality import quality
 from feedloom.llm.warc import read_warc, write_warc
 from feedloom.llm.wavelet import read_tokens, write_tokens
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded again: the digest is of the text that comes back."""
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), PIECES, n=4)
+    digests = encoded.withColumn("ids_crc32", F.crc32("ids")).withColumn("score", F.get("scores", F.lit(0)))
+    return decode_pieces(digests, PIECES).withColumn("text_sha1", F.sha1("text")).drop("text")
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
     return read_tokens(manifest, ids=False)
@@ -59,7 +68,8 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
+QUERIES = {
+    "op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
