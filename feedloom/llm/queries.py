@@ -14,6 +14,7 @@ from feedloom.llm.packing import pack
 from feedloom.llm.passages import drop_repeated_passages
 from feedloom.llm.pieces import decode_pieces, encode_pieces
 from feedloom.llm.quality import quality
+from feedloom.llm.urlfilter import filter_urls, host_of, path_of
 from feedloom.llm.warc import read_warc, write_warc
 from feedloom.llm.wavelet import read_tokens, write_tokens
 
@@ -54,6 +55,39 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key", "class_key")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is a capture, and a third list user reports something of its URL.
+
+    A page's number gives both moments, in 30 days. What is reported is the page's domain,
+    host, directory or URL by turns, to one of three lists of which the last allows; every
+    fifth report takes a value off its list again.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+
+    def moment(factor: int):
+        return F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("page_id") * factor, F.lit(2_592_000)))
+
+    kind, host = F.col("page_id") % 4, host_of(F.col("url"))
+    directory = F.concat(host, F.lit("/"), F.split_part(path_of(F.col("url")), F.lit("/"), F.lit(2)), F.lit("/"))
+    value = (
+        F.when(kind == 0, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
+        .when(kind == 1, host)
+        .when(kind == 2, directory)
+        .otherwise(F.col("url"))
+    )
+    names = F.when(kind == 0, "domain").when(kind == 1, "host").when(kind == 2, "prefix").otherwise("url")
+    entries = pages.select(
+        F.concat(F.lit("list"), (F.col("page_id") % 3).cast("string")).alias("list"),
+        names.alias("kind"),
+        value.alias("value"),
+        (F.col("page_id") % 3 == 2).alias("allow"),
+        moment(104_729).alias("listed_at"),
+        (F.col("page_id") % 5 != 4).alias("active"),
+    )
+    filtered = filter_urls(pages.withColumn("fetched_at", moment(7_919)), entries)
+    return filtered.withColumn("fetched_at", F.unix_seconds("fetched_at")).drop("url")
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -69,7 +103,7 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
+    "op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_url_filter": op7_url_filter, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -81,6 +115,32 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM m
     """,
+    "op7_url_filter": r"""
+        WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
+                          regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path,
+                          1704067200 + page_id * 7919 % 2592000 AS fetched_at,
+                          1704067200 + page_id * 104729 % 2592000 AS listed_at FROM pages),
+        e AS (SELECT 'list' || (page_id % 3) AS list, page_id % 3 = 2 AS allow, listed_at,
+                     page_id % 5 <> 4 AS active,
+                     CASE page_id % 4 WHEN 0 THEN 'domain:' || regexp_extract(host, '([^.]+\.[^.]+)$', 1)
+                          WHEN 1 THEN 'host:' || host
+                          WHEN 2 THEN 'prefix:' || host || '/' || split_part(path, '/', 2) || '/'
+                          ELSE 'url:' || url END AS key FROM p),
+        u AS (SELECT list, allow, key, listed_at, max(active) AS active FROM e GROUP BY ALL),
+        m AS (SELECT page_id, list, allow, key, arg_max(u.active, u.listed_at) AS active
+              FROM p JOIN u ON u.listed_at <= fetched_at AND (
+                   key = 'url:' || url OR key = 'host:' || host
+                   OR (starts_with(key, 'domain:') AND (ends_with('.' || host, '.' || key[8:])))
+                   OR (starts_with(key, 'prefix:') AND starts_with(host || path, key[8:])))
+              GROUP BY ALL),
+        a AS (SELECT *, CASE split_part(key, ':', 1) WHEN 'url' THEN 1 WHEN 'prefix' THEN 2
+                             WHEN 'host' THEN 3 ELSE 4 END AS kind FROM m WHERE active),
+        r AS (SELECT page_id, count(*) AS n, arg_min(struct_pack(key := key, list := list, allow := allow),
+                     struct_pack(kind := kind, short := -length(key), allow := allow, list := list)) AS rule FROM a GROUP BY page_id)
+        SELECT p.page_id, fetched_at, coalesce(n, 0) AS active_entries, rule.key AS rule,
+               rule.list AS rule_list, coalesce(NOT rule.allow, false) AS blocked
+        FROM p LEFT JOIN r USING (page_id)
+    """,
     "op9_exact_dedup": r"""
         SELECT doc_id, first(doc_id) OVER w AS keep_id,
                count(*) OVER (PARTITION BY norm) AS group_size,
