@@ -170,7 +170,7 @@ def build_index(
     clean = vectors.where(usable() & F.col("vec_id").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("float")).alias("embedding"),
-    )
+    ).distinct()
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     classes = (
         clean.withColumn("rank", F.row_number().over(smallest))

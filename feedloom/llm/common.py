@@ -55,12 +55,13 @@ def record(values: dict[str, list | pa.Array], kinds: dict[str, pa.DataType]) ->
 
 
 def keep_rows(docs: DataFrame, fates: DataFrame, names: list[str]) -> DataFrame:
-    """The rows of ``docs`` that stay, all their other columns as they are.
+    """The rows that stay, with the columns they have in the struct ``row``.
 
-    ``docs`` carries the columns ``names``, none of them null. ``fates`` has each distinct
+    ``docs`` has ``row`` and the columns ``names``, none of them null: apart from the row,
+    so that no column of it can clash with these. ``fates`` has each distinct
     ``names`` of which a row goes or which several rows share, with ``kept``: whether one
     row stays. Rows that share all of ``names`` are the same document.
     """
     once = join_by_key(docs, fates.select(*names), names, "left_anti", names)
     shared = join_by_key(docs, fates.where("kept").select(*names), names, "left_semi", names)
-    return once.unionByName(shared.dropDuplicates(names)).drop(*names)
+    return once.unionByName(shared.dropDuplicates(names)).select("row.*")

@@ -179,15 +179,12 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     marked = exact_duplicates(docs, **options)
     bits = options.get("hash_bits", 63)
     names = ["_id", "_key", "_sha", "_chars"]
-    norm = normalised(F.col("text"))
-    rows = (
-        docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        .withColumn("_norm", norm)
-        .withColumn("_key", _key(F.col("_norm"), bits))
-        .withColumn("_sha", F.sha2("_norm", 256))
-        .withColumn("_chars", F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long"))
-        .drop("_norm")
-    )
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        normalised(F.col("text")).alias("_norm"),
+        F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("_chars"),
+    ).select("row", "_id", _key(F.col("_norm"), bits).alias("_key"), F.sha2("_norm", 256).alias("_sha"), "_chars")
     fates = materialize(
         marked.groupBy(
             F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),

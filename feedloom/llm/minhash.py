@@ -346,5 +346,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         "minhash-fates",
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_id": id_of("doc_id"), "_key": F.unhex(F.md5(text))})
+    rows = docs.select(F.struct("*").alias("row"), id_of("doc_id"), F.unhex(F.md5(text)).alias("_key"))
     return keep_rows(rows, fates, names)

@@ -136,10 +136,13 @@ def _without(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": kept, "removed": gone})
 
 
-def drop_repeated_passages(docs: DataFrame, least: int = 3, words: int = 15, enough: int = 50) -> DataFrame:
-    """``docs`` without repeated passages, with ``removed``, the passages taken out.
+def drop_repeated_passages(
+    docs: DataFrame, least: int = 3, words: int = 15, enough: int = 50, report: str | None = "removed"
+) -> DataFrame:
+    """``docs`` without repeated passages, those taken out being in the column ``report``.
 
-    All other columns stay, and so do all rows: a document that consists of repeated
+    The report takes the place of a column of that name; None makes none. All other
+    columns stay, and so do all rows: a document that consists of repeated
     passages ends with an empty text. Texts without a repeated span, null ones among
     them, are as they were. Short sentences repeat by chance, so only spans of ``least``
     sentences and ``words`` words, or of ``enough`` words, count.
@@ -149,16 +152,22 @@ def drop_repeated_passages(docs: DataFrame, least: int = 3, words: int = 15, eno
     ranges = ranges.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("tie").alias("_tie"), F.col("ranges").alias("_ranges")
     )
-    rows = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_tie": tie_of(F.col("text"))}
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+        tie_of(F.col("text")).alias("_tie"),
     )
     joined = join_by_key(rows, ranges, names, "left", names)
-    touched = F.col("_ranges").isNotNull()
+    touched, text = F.col("_ranges").isNotNull(), F.col("row").getField("text").cast("string")
     without = F.pandas_udf(_without, "text string, removed array<string>")
-    done = joined.withColumn("_done", without(F.when(touched, F.col("text").cast("string")), F.col("_ranges")))
-    return done.withColumns(
-        {
-            "text": F.when(touched, F.col("_done.text")).otherwise(F.col("text").cast("string")),
-            "removed": F.coalesce("_done.removed", F.array().cast("array<string>")),
-        }
-    ).drop(*names, "_ranges", "_done")
+    done = joined.withColumn("_done", without(F.when(touched, text), F.col("_ranges")))
+    kept = [
+        F.when(touched, F.col("_done.text")).otherwise(text).alias(name)
+        if name == "text"
+        else F.col("row").getField(name).alias(name)
+        for name in docs.columns
+        if name != report
+    ]
+    if report:
+        kept.append(F.coalesce("_done.removed", F.array().cast("array<string>")).alias(report))
+    return done.select(*kept)

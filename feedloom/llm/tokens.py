@@ -40,7 +40,10 @@ class _Words(dict):
         self._model, self._dtype = model, dtype
 
     def __missing__(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(_ALPHABET)
+        if word.isascii() and word.isprintable():
+            spelt = word.replace(" ", _ALPHABET[32])
+        else:
+            spelt = word.encode().decode("latin-1").translate(_ALPHABET)
         ids = [token.id for token in self._model.tokenize(spelt)]
         found = self[word] = np.array(ids, self._dtype).tobytes()
         return found
@@ -62,17 +65,19 @@ class _Stretches(dict):
 class WordEncoder:
     """Ids as little-endian bytes, ``dtype`` being the narrowest that holds the vocabulary.
 
-    ``most`` bounds the stretches and words kept; when it is reached the worker starts
-    anew, which changes speed and nothing else.
+    ``most_words`` and ``most_stretches`` bound what is kept; when one is reached the
+    worker starts anew, which changes speed and nothing else.
     """
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 40):
+    def __init__(
+        self, path: str, most_words: int = 800_000, most_stretches: int = 250_000, longest: int = 40
+    ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_file(path)
         # The names of special tokens in a text are ordinary text.
         self._library.encode_special_tokens = True
         self.dtype = dtype_for(self._library.get_vocab_size())
-        self._most = most
+        self._most_words, self._most_stretches = most_words, most_stretches
         self._words = _Words(self._library.model, self.dtype)
         self._stretches = _Stretches(self._words, longest)
 
@@ -83,9 +88,9 @@ class WordEncoder:
         if _OTHER.search(text):
             ids = self._library.encode(text, add_special_tokens=False).ids
             return np.array(ids, self.dtype).tobytes()
-        if len(self._stretches) > self._most:
+        if len(self._stretches) > self._most_stretches:
             self._stretches.clear()
-        if len(self._words) > self._most:
+        if len(self._words) > self._most_words:
             self._words.clear()
         if _SPACE_AFTER_SPACE.search(text):
             return b"".join(map(self._words.__getitem__, _WORD.findall(text)))

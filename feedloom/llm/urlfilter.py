@@ -60,7 +60,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     same list, kind and value. A prefix is a host and directories with a closing slash; a
     domain has two labels or more.
 
-    Adds ``active_entries`` (how many are active), ``rule`` and ``rule_list`` (the most
+    Adds, in place of columns of the same names, ``active_entries`` (how many are active), ``rule`` and ``rule_list`` (the most
     specific of them: by kind, then the longer value; of equal ones a blocking one, then
     the first list by name) and ``blocked``: whether there is a rule and it does not allow.
     Captures without a URL or a time are not blocked; entries with a null are not used.
@@ -97,9 +97,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
         ),
         "urls-verdicts",
     )
-    rows = captures.withColumns({"_url": F.col("url"), "_at": F.col("fetched_at")})
+    rows = captures.select(
+        F.struct("*").alias("row"), F.col("url").alias("_url"), F.col("fetched_at").alias("_at")
+    )
+    added = ("active_entries", "rule", "rule_list", "blocked")
     return join_by_key(rows, verdicts, ["_url", "_at"], "left", ["_url", "_at"]).select(
-        *captures.columns,
+        *(F.col("row").getField(name).alias(name) for name in captures.columns if name not in added),
         F.coalesce("active_entries", F.lit(0).cast("long")).alias("active_entries"),
         F.col("rule.key").alias("rule"),
         F.col("rule.list").alias("rule_list"),
