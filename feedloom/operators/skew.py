@@ -47,6 +47,7 @@ def join_by_key(
     how: str,
     spread: list[str],
     fits: bool | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``rows.join(keys, on, how)`` for ``rows`` that may have hot keys.
 
@@ -57,7 +58,8 @@ def join_by_key(
     Keys that do not fit are joined by a shuffle. Rows of a hot key are dealt over
     the shuffle partitions by a hash of the ``spread`` columns, and its one ``keys``
     row is repeated for each share. Rows without a key match nothing wherever they
-    are, so they are dealt out as well.
+    are, so they are dealt out as well. ``hot`` has the hot keys, fewer than
+    ``HOT_SHARE``, if the caller has counted them; else `hot_keys` does.
     """
     if fits is None:
         fits = fits_broadcast(keys)
@@ -65,7 +67,8 @@ def join_by_key(
         return rows.join(F.broadcast(keys), on, how)
     spark = rows.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(rows.select(*on), on))
+    hot = hot_keys(rows.select(*on), on) if hot is None else hot.select(*on, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
     dealt_out = reduce(Column.__or__, [F.col(c).isNull() for c in on], F.col("_hot").isNotNull())
     share = F.pmod(F.xxhash64(*spread), F.lit(shares)).cast("int")
     dealt = rows.join(hot, on, "left").withColumn("_share", F.when(dealt_out, share).otherwise(0))
