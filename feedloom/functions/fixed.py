@@ -48,6 +48,8 @@ ZONE_OFFSETS = {
     "UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "Z": "+00:00",
     "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00",
     "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+    "AST": "-04:00", "ADT": "-03:00", "AT": "-04:00", "ET": "-05:00",
+    "CT": "-06:00", "MT": "-07:00", "PT": "-08:00", "MET": "+01:00", "MEST": "+02:00",
 }
 
 # Request text around an article.

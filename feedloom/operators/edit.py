@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators.skew import broadcast_if_small
+from feedloom.operators.skew import broadcast_if_small, join_by_key
 from feedloom.schema import EDITABLE
 from feedloom.session import materialize
 from feedloom.sources.news import drop_days, read_news, replace_days
@@ -41,12 +41,13 @@ def apply_merged(news: DataFrame, merged: DataFrame) -> DataFrame:
         c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.value")).otherwise(F.col(c))
         for c in EDITABLE
     }
-    return news.join(merged, "id", "left").withColumns(edited).select(*news.columns)
+    joined = join_by_key(news, merged, ["id"], "left", ["source_url"])
+    return joined.withColumns(edited).select(*news.columns)
 
 
 def delete_news(news: DataFrame, ids: DataFrame) -> DataFrame:
     """The table without the given ids; unknown and repeated ids do no harm."""
-    return news.join(ids.select("id").distinct(), "id", "left_anti")
+    return join_by_key(news, ids.select("id").distinct(), ["id"], "left_anti", ["source_url"])
 
 
 # Spark hands lists of up to this many values to Parquet as they are, where the

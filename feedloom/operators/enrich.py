@@ -104,24 +104,28 @@ def enrich_capped(
     stops being asked once it has ``n`` answers. Work goes in rounds: the first
     takes the first ``blocks[0]`` rows of every feed and asks them one by one in
     feed order; the next takes the following ``blocks[1]`` rows of the feeds that
-    are still short, and so on. A task therefore never holds more than a block of
-    one feed. Feeds still short after the last round have all their other rows
-    asked in parallel, without early stop, so the result is exact.
+    are still short, and so on, the last size being used until no feed is short of
+    answers and has more rows. A task therefore never holds more than a block of one
+    feed, and no row behind a feed's ``n``-th answer is ever asked.
 
     Answers of a round are written to the shared folder before the next begins: no
-    call is repeated when a later round is planned or an executor is lost.
-    ``blocks`` add up to less than 1000, up to which Spark limits groups before the
-    shuffle. ``text`` may be an expression; it is evaluated for the rows of a block only.
-    ``feed`` columns must not be NULL and ``order`` must be unique within a feed.
-    Each round is a Spark job, so this runs when called; it has ``parallelism`` tasks,
-    by default about as many as there are shuffle partitions.
+    call is repeated when a later round is planned or an executor is lost. A later
+    round reads the input again, narrowed to the feeds that are short and to the rows
+    behind those asked, so a dear input should be stored first. ``blocks`` are below
+    1000, up to which Spark limits groups before the shuffle. ``text`` may be an
+    expression; it is evaluated for the rows of a block only. A missing value in
+    ``feed`` is a feed like any other; ``order`` must be unique within a feed. Each
+    round is a Spark job, so this runs when called; it has ``parallelism`` tasks, by
+    default about as many as there are shuffle partitions.
     """
-    feed_cols, order_cols = list(feed), list(order)
+    order_cols = list(order)
+    # One column that is never NULL, so that feeds without a value are joined as well.
+    columns, df = df.columns, df.withColumn("_feed", F.to_json(F.struct(*feed)))
     # A block is small in bytes but long in calls, so AQE must not merge its
     # partitions. It leaves alone those of a fixed number, and a number other than
     # the window's keeps this exchange from being dropped as redundant.
     tasks = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
-    window = Window.partitionBy(*feed_cols).orderBy(*order_cols)
+    window = Window.partitionBy("_feed").orderBy(*order_cols)
 
     ask, answer_type = _asker()
 
@@ -137,54 +141,44 @@ def enrich_capped(
                 break
         return rows.slice(0, len(answers)).append_column(out, pa.array(answers, answer_type))
 
-    def feed_state(asked: DataFrame, last: int) -> DataFrame:
+    def feed_state(asked: DataFrame, size: int) -> DataFrame:
         """Feeds that are short of answers and may have more rows."""
         done = F.count_if(has_answer(F.col(out)))
         return (
-            asked.groupBy(*feed_cols)
+            asked.groupBy("_feed")
             .agg(
                 (F.min("_need") - done).alias("_need"),
                 F.max("_rank").alias("_last_rank"),
                 F.max(F.struct(*order_cols)).alias("_last"),
             )
-            .where((F.col("_need") > 0) & (F.col("_last_rank") == last))
+            .where((F.col("_need") > 0) & (F.col("_last_rank") == size))
             .drop("_last_rank")
         )
 
     asked_rounds: list[DataFrame] = []
-    short: DataFrame | None = None
-    start = 0
-    for size in blocks:
-        end = start + size
-        block = df.withColumn("_rank", F.row_number().over(window)).where(
-            (F.col("_rank") > start) & (F.col("_rank") <= end)
+    waiting = df.withColumn("_need", F.lit(n).cast("bigint"))
+    while True:
+        size = blocks[min(len(asked_rounds), len(blocks) - 1)]
+        block = (
+            waiting.withColumn("_rank", F.row_number().over(window))
+            .where(F.col("_rank") <= size)
+            .select(*df.columns, "_rank", "_need", _column(text).alias("_text"))
         )
-        # The block is already limited to `end` rows per feed and partitioned by
-        # feed, so this join neither skews nor shuffles it again.
-        if short is None:
-            block = block.withColumn("_need", F.lit(n).cast("bigint"))
-        else:
-            block = block.join(short.drop("_last"), feed_cols)
-        block = block.select(*df.columns, "_rank", "_need", _column(text).alias("_text"))
         asked = materialize(
-            block.repartition(tasks, *feed_cols)
-            .groupBy(*feed_cols)
+            block.repartition(tasks, "_feed")
+            .groupBy("_feed")
             .applyInArrow(ask_feed, _with_answer(block, out)),
             "asked",
         )
         asked_rounds.append(asked.drop("_rank", "_need", "_text"))
-        short = feed_state(asked, end)
-        start = end
+        short = materialize(feed_state(asked, size), "short")
         if short.isEmpty():
-            short = None
             break
-
-    if short is not None:
-        rest = join_by_key(df, short.drop("_need"), feed_cols, "inner", order_cols)
-        rest = rest.where(F.struct(*order_cols) > F.col("_last")).drop("_last")
-        asked_rounds.append(materialize(enrich(rest, client, text, out), "asked-rest"))
+        waiting = join_by_key(df, short, ["_feed"], "inner", order_cols)
+        waiting = waiting.where(F.struct(*order_cols) > F.col("_last")).drop("_last")
 
     answered = asked_rounds[0]
     for more in asked_rounds[1:]:
         answered = answered.unionByName(more)
-    return first_rows(answered.where(has_answer(F.col(out))), feed_cols, order_cols, n)
+    best = first_rows(answered.where(has_answer(F.col(out))), ["_feed"], order_cols, n)
+    return best.select(*columns, out)

@@ -136,9 +136,12 @@ def publish_to(
 ) -> DataFrame:
     """Like :func:`append_new`, returning the batch's outcomes.
 
-    What is new is written down before the table changes, since asking the
-    changed table again would call every row a duplicate.
+    The batch is written down first, once: row numbers of a file scan depend on how
+    the files are dealt over the cores there are, so two evaluations may differ. What is
+    new is written down before the table changes, since asking the changed table again
+    would call every row a duplicate.
     """
+    batch = materialize(batch, "batch")
     fresh = materialize(publish(batch, read_news(spark, path), now, order), "fresh")
     append_news(fresh, path)
     return outcomes(batch, fresh, order)

@@ -29,9 +29,10 @@ def latest(
 
     With ``now``, the stored table is only read as far back as needed: the folders of
     the last day, week, month or year are used if they are counted to hold ``n``
-    rows, and all of them otherwise. The result is the same.
+    rows, and all of them otherwise. The result is the same. Folders are days of
+    ``published_at``, so they say nothing about any other ``ts``.
     """
-    if now is not None and "published_date" in news.columns:
+    if now is not None and ts == "published_at" and "published_date" in news.columns:
         for days in _LOOK_BACK:
             first = day_key(days_ago(now, days))
             undated = F.col("published_date").isNull()

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import Instant, entry_date
+from feedloom.functions.dates import Instant, entry_date, instant, like
+from feedloom.functions.fixed import MODEL
 from feedloom.functions.once import with_once
-from feedloom.functions.text import html_to_text, truncate
-from feedloom.operators.enrich import Client, enrich_capped
-from feedloom.operators.harvest import content, recent, to_article
+from feedloom.functions.text import html_to_text, render_prompt, to_request, truncate
+from feedloom.operators.enrich import Client, enrich_capped, json_client
+from feedloom.operators.harvest import content, first_rows, recent, to_article
 from feedloom.operators.skew import join_by_key
+from feedloom.session import materialize
 from feedloom.sources.feeds import read_entries, split_rejects
 from feedloom.sources.payload import write_payload
 
@@ -18,38 +22,95 @@ from feedloom.sources.payload import write_payload
 HARVEST_ORDER = ("category_pos", "feed_pos", "fetched_at", "pos")
 
 
-def _entries(payloads: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    listed = join_by_key(payloads, catalog, ["category", "feed_url"], "inner", ["fetched_at"])
-    return split_rejects(read_entries(listed))
+_FEED = ["category", "feed_url"]
+
+
+def current_documents(
+    payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None = None
+) -> DataFrame:
+    """What a run sees: the newest document of each feed of the catalogue, up to ``now``.
+
+    A feed that is listed twice counts where it is first. Of two documents fetched at
+    once the lesser text is taken. ``fetched_since`` bounds how old a document may be and
+    lets the scan skip older ones. A map task sends one document per feed.
+    """
+    bounded = payloads.where(F.col("fetched_at") <= like(payloads, "fetched_at", instant(now)))
+    if fetched_since is not None:
+        since = like(payloads, "fetched_at", instant(fetched_since))
+        bounded = bounded.where(F.col("fetched_at") >= since)
+    newest = first_rows(bounded, _FEED, [F.desc("fetched_at"), "payload"], 1)
+    listed = first_rows(catalog, _FEED, ["category_pos", "feed_pos"], 1)
+    return join_by_key(newest, listed, _FEED, "inner", ["fetched_at"])
+
 
+def _entries(
+    payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None
+) -> tuple[DataFrame, DataFrame]:
+    documents = current_documents(payloads, catalog, now, fetched_since)
+    return split_rejects(read_entries(documents))
 
-def candidates(payloads: DataFrame, catalog: DataFrame, now: Instant) -> DataFrame:
-    """Recent, complete entries of the feeds in the catalogue."""
-    entries, _ = _entries(payloads, catalog)
+
+def candidates(
+    payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None = None
+) -> DataFrame:
+    """Recent, complete entries of the current documents."""
+    entries, _ = _entries(payloads, catalog, now, fetched_since)
     dated = with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
     return recent(dated, "entry_published_at", now).drop("published_raw")
 
 
-def rejects(payloads: DataFrame, catalog: DataFrame) -> DataFrame:
+def rejects(
+    payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None = None
+) -> DataFrame:
     """Documents and entries a run passes over, with the reason in ``reject``."""
-    return _entries(payloads, catalog)[1]
+    return _entries(payloads, catalog, now, fetched_since)[1]
 
 
-def harvest(payloads: DataFrame, catalog: DataFrame, client: Client, now: Instant) -> DataFrame:
+def harvest(
+    payloads: DataFrame,
+    catalog: DataFrame,
+    client: Client,
+    now: Instant,
+    fetched_since: Instant | None = None,
+    wrap: Callable[[Column], Column] = lambda text: text,
+) -> DataFrame:
     """Article records of one run, with :data:`HARVEST_ORDER`.
 
-    The client gets clean text of bounded length. Markup is only cleaned for
-    entries it is asked about, which is why the cleaning is passed as an
-    expression instead of being a column of the candidates.
+    The client gets clean text of bounded length, or what ``wrap`` makes of it. Markup is
+    only cleaned for entries it is asked about, which is why the cleaning is passed as an
+    expression instead of being a column of the candidates. Documents are parsed once:
+    the candidates are stored before the first round of questions.
     """
-    text = truncate(html_to_text(content(F.col("summary"), F.col("title"))))
-    answered = enrich_capped(
-        candidates(payloads, catalog, now), client, order=("fetched_at", "pos"), text=text
-    )
+    text = wrap(truncate(html_to_text(content(F.col("summary"), F.col("title")))))
+    found = materialize(candidates(payloads, catalog, now, fetched_since), "candidates")
+    answered = enrich_capped(found, client, order=("pos",), text=text)
     keep = ["feed_url", "entry_published_at", *HARVEST_ORDER]
     return to_article(answered, keep=keep)
 
 
+def harvest_by_model(
+    payloads: DataFrame,
+    catalog: DataFrame,
+    send: Callable[[], Callable[[str], str]],
+    now: Instant,
+    model: str = MODEL,
+    fetched_since: Instant | None = None,
+) -> DataFrame:
+    """:func:`harvest` with a function that sends a request body and returns an envelope.
+
+    Requests are rendered where the text is cleaned. An envelope that cannot be decoded,
+    or whose answer is no object, is a failure of that row and uses up no quota.
+    """
+    return harvest(
+        payloads,
+        catalog,
+        json_client(send),
+        now,
+        fetched_since,
+        wrap=lambda text: to_request(render_prompt(text), model),
+    )
+
+
 def harvest_to(
     spark: SparkSession,
     payloads: DataFrame,

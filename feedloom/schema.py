@@ -43,8 +43,8 @@ _ITEM = (
     " guid:struct<_VALUE:string, _isPermaLink:string>, pubDate:string>"
 )
 _ENTRY = (
-    "struct<title:string, link:array<struct<_href:string, _rel:string>>,"
-    " summary:string, content:string, published:string>"
+    "struct<title:string, link:array<struct<_href:string, _rel:string, _type:string>>,"
+    " summary:string, content:string, published:string, issued:string>"
 )
 FEED_XML = (
     f"struct<title:string, channel:struct<title:string, item:array<{_ITEM}>>,"

@@ -31,15 +31,18 @@ def _rss_entry(item: Column) -> Column:
 
 
 def _atom_entry(entry: Column) -> Column:
-    # Only `published` dates an entry; `updated` does not.
+    # Only `published`, or `issued` in old feeds, dates an entry; `updated` does not. A
+    # link without a type is taken for a page.
     alternate = F.filter(
-        entry["link"], lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate"
+        entry["link"],
+        lambda l: (F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
+        & F.lower(F.coalesce(l["_type"], F.lit("text/html"))).isin("text/html", "application/xhtml+xml"),
     )
     return F.struct(
         entry["title"].alias("title"),
         F.try_element_at(alternate, F.lit(-1))["_href"].alias("link"),
         F.coalesce(entry["summary"], entry["content"]).alias("summary"),
-        entry["published"].alias("published_raw"),
+        F.coalesce(entry["published"], entry["issued"]).alias("published_raw"),
     )
 
 

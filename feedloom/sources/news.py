@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import day_key
 from feedloom.schema import NEWS
-from feedloom.session import read_if_present
+from feedloom.session import read_if_present, require_utc
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +22,7 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
 def _laid_out(df: DataFrame) -> DataFrame:
     # Rebalancing brings the rows of a day together into files of the advisory
     # size, and AQE splits a day that is larger than that.
+    require_utc(df.sparkSession)
     dated = df.withColumn("published_date", day_key(F.col("published_at"))).select(*NEWS.names)
     return dated.hint("rebalance", "published_date")
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import (
 
 from feedloom.functions.dates import Instant, day_key
 from feedloom.operators.metrics import category_or_other, fill_days
-from feedloom.session import read_if_present
+from feedloom.session import materialize, read_if_present, require_utc
 
 ROLLUP = StructType(
     [
@@ -55,12 +55,14 @@ def stream_rollup(
 
     Every micro-batch is reduced to its counts, in a folder of its own that a
     replay overwrites. Refreshing a dashboard then reads these few rows, not the
-    table. After edits or deletes rebuild it with :func:`write_rollup`.
+    table. After edits or deletes rebuild it with :func:`rebuild_rollup`, and from time
+    to time fold its folders into one with :func:`compact_rollup`.
     ``interval`` None processes what is there and stops.
     """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        write_rollup(batch, path, batch_id, ts)
+        if batch_id > folded_through(batch.sparkSession, path):
+            write_rollup(batch, path, batch_id, ts)
 
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return (
@@ -72,10 +74,45 @@ def stream_rollup(
 
 
 def write_rollup(rows: DataFrame, path: str, batch_id: int = 0, ts: str = "published_at") -> None:
-    counts = rows.groupBy(day_key(F.col(ts)).alias("day"), "category", "source_name").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    _counts(rows, ts).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def _counts(rows: DataFrame, ts: str) -> DataFrame:
+    require_utc(rows.sparkSession)
+    keys = (day_key(F.col(ts)).alias("day"), "category", "source_name")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def folded_through(spark: SparkSession, path: str) -> int:
+    """The last batch that a rebuild or compaction has folded in; -1 if there was none.
+
+    Folded counts are in the folder ``-2 - batch`` of that batch.
+    """
+    least = read_rollup(spark, path).agg(F.min("batch_id")).first()[0]
+    return -1 if least is None or least >= 0 else -2 - least
+
+
+def _replace(counts: DataFrame, path: str) -> None:
+    """Put ``counts`` in the place of all folders, in one write.
+
+    A batch that is folded in is not added again when it is replayed.
+    """
+    spark = counts.sparkSession
+    batches = read_rollup(spark, path).agg(F.max("batch_id")).first()[0]
+    through = max(folded_through(spark, path), -1 if batches is None else batches)
+    folded = materialize(counts, "rollup").withColumn("batch_id", F.lit(-2 - through).cast("long"))
+    folded.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("batch_id").parquet(path)
+
+
+def rebuild_rollup(news: DataFrame, path: str, ts: str = "published_at") -> None:
+    """Count the table anew, after edits and deletes. The stream must not be running."""
+    _replace(_counts(news, ts), path)
+
+
+def compact_rollup(spark: SparkSession, path: str) -> None:
+    """Fold all batches into one folder. The stream must not be running."""
+    keys = ("day", "category", "source_name")
+    _replace(read_rollup(spark, path).groupBy(*keys).agg(F.sum("n").alias("n")), path)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from feedloom.functions.dates import Instant, recent_cutoff
 from feedloom.functions.fixed import RECENT_HOURS
 from feedloom.operators.publish import KEY, append_new
 from feedloom.schema import ARTICLE
+from feedloom.sources.payload import CORRUPT, article_reader
 
 
 def _utc_now() -> Instant:
@@ -28,25 +29,32 @@ def stream_publish(
     array: bool = False,
     rejects: str | None = None,
     archive: str | None = None,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Publish the payload files under ``landing`` that were not published yet.
 
     Each file is consumed once, as recorded in ``checkpoint``; the query stops when
-    all present files are done. Within a batch rows go by file name and position.
-    A batch that is replayed after a crash finds its URLs in the table and adds
-    nothing twice. Rows without a URL go to ``rejects``, if given. With ``archive``
-    consumed files are moved there some time later.
+    all present files are done. Rows go by the time their file arrived, then by its
+    name and their position, so the copy of a URL that came first wins. Batches follow
+    the same time, which makes their size, ``files_per_batch`` or all files, irrelevant
+    unless files of one moment fall on both sides of a boundary. A batch that is
+    replayed after a crash finds its URLs in the table and adds nothing twice.
+
+    Lines that are no article and articles without a URL go to ``rejects``, by default
+    next to the table, as ``text, payload_file, reason``. With ``archive`` consumed
+    files are moved there some time later.
     """
+    rejects = rejects or f"{news.rstrip('/')}-rejects"
     cleaning = {"cleanSource": "archive", "sourceArchiveDir": archive} if archive else {}
+    limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
     files = (
-        spark.readStream.schema(ARTICLE)
-        .options(**cleaning)
-        .option("multiLine", array)
-        .option("maxFilesPerTrigger", files_per_batch)
+        article_reader(spark.readStream, array)
+        .options(**cleaning, **limit)
         .json(landing)
         .select(
             *ARTICLE.names,
+            CORRUPT,
+            F.col("_metadata.file_modification_time").alias("payload_time"),
             F.col("_metadata.file_path").alias("payload_file"),
             F.col("_metadata.file_block_start").alias("payload_block"),
         )
@@ -55,11 +63,17 @@ def stream_publish(
     def publish_batch(batch: DataFrame, batch_id: int) -> None:
         # Read once; publishing looks at the batch several times.
         numbered = batch.withColumn("payload_row", F.monotonically_increasing_id()).persist()
-        append_new(batch.sparkSession, numbered, news, clock())
-        if rejects:
-            unkeyed = numbered.where(F.col(KEY).isNull()).select(*ARTICLE.names)
+        try:
+            append_new(batch.sparkSession, numbered, news, clock())
+            corrupt = F.col(CORRUPT).isNotNull()
+            unkeyed = numbered.where(F.col(KEY).isNull()).select(
+                F.coalesce(CORRUPT, F.to_json(F.struct(*ARTICLE.names))).alias("text"),
+                "payload_file",
+                F.when(corrupt, "unreadable").otherwise("no source_url").alias("reason"),
+            )
             unkeyed.write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
-        numbered.unpersist()
+        finally:
+            numbered.unpersist()
 
     return (
         files.writeStream.foreachBatch(publish_batch)

@@ -24,7 +24,7 @@ from feedloom.operators.harvest import (
     to_article,
 )
 from feedloom.operators.skew import union_batches
-from feedloom.plans.harvest import harvest
+from feedloom.plans.harvest import harvest, harvest_by_model
 from feedloom.sources.catalog import flatten_catalog
 from feedloom.sources.feeds import parse_feeds, read_entries, split_rejects
 from queries import query
@@ -34,7 +34,9 @@ from queries.inputs import (
     SQL_STAMP,
     escaped,
     extractive_client,
+    extractive_sender,
     feed_documents,
+    rare_client,
     stamp,
     table,
 )
@@ -439,30 +441,30 @@ _NOW = "2024-01-31 00:00:00"
                substr(regexp_replace(text, '^[{_SQL_SPACE}]+|[{_SQL_SPACE}]+$', '', 'g'), 1, 2500) AS clean
         FROM documents WHERE doc_id % 48 <= 24
     )
-    SELECT lang AS category, source AS feed_url, source AS source_name,
+    SELECT lang AS category, source || '/' || (doc_id // 100) AS feed_url, source AS source_name,
            'http://feed.example/' || doc_id AS source_url,
            split_part(clean, '.', 1) AS title_en, 'pt ' || split_part(clean, '.', 1) AS title_pt,
            clean AS summary_en, CAST(length(clean) AS VARCHAR) AS summary_pt
     FROM entries WHERE {SQL_ANSWERED.format('clean')}
-    QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2
+    QUALIFY row_number() OVER (PARTITION BY lang, source, doc_id // 100 ORDER BY doc_id) <= 2
     """
 )
 def harvest_articles(spark, sf_dir):
-    """A whole harvest run: RSS documents in, at most two articles per feed out."""
+    """A whole harvest run: RSS documents in, at most two articles per feed out.
+
+    Every issue is a feed of its own, as a run sees one document per feed.
+    """
     age = F.make_interval(hours=(F.col("doc_id") % 48).cast("int"))
     published = F.concat(
         F.date_format(instant(_NOW) - age, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")
     )
     fragment = F.concat(F.lit("<p>"), escaped(F.col("text")), F.lit("</p>"))
     landed = feed_documents(spark, sf_dir, description=fragment, published=published)
-    payloads = landed.withColumn(
-        "fetched_at", F.timestamp_seconds(F.col("issue"))
-    ).drop("issue")
-    catalog = (
-        table(spark, sf_dir, "documents")
-        .select(F.col("lang").alias("category"), F.col("source").alias("feed_url"))
-        .distinct()
-        .select("*", F.lit(0).alias("category_pos"), F.lit(0).alias("feed_pos"))
+    own = F.concat_ws("/", "feed_url", F.col("issue").cast("string"))
+    payloads = landed.withColumns({"fetched_at": F.timestamp_seconds("issue"), "feed_url": own})
+    payloads = payloads.drop("issue")
+    catalog = payloads.select(
+        "category", "feed_url", F.lit(0).alias("category_pos"), F.lit(0).alias("feed_pos")
     )
     return harvest(payloads, catalog, extractive_client(), _NOW).select(
         "category",
@@ -476,6 +478,49 @@ def harvest_articles(spark, sf_dir):
     )
 
 
+@query(
+    rf"""
+    WITH newest AS (
+        SELECT *, substr(regexp_replace(text, '^[{_SQL_SPACE}]+|[{_SQL_SPACE}]+$', '', 'g'), 1, 2500) AS clean
+        FROM documents
+        QUALIFY doc_id // 100 = max(doc_id // 100) OVER (PARTITION BY lang, source)
+    )
+    SELECT lang AS category, source AS feed_url, 'http://feed.example/' || doc_id AS source_url,
+           split_part(clean, '.', 1) AS title_en
+    FROM newest WHERE {SQL_ANSWERED.format('clean')}
+    QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2
+    """
+)
+def harvest_newest(spark, sf_dir):
+    """A run over feeds with documents of many times, listed twice, with undated entries.
+
+    The model is one that takes request bodies and returns envelopes.
+    """
+    fragment = F.concat(F.lit("<p>"), escaped(F.col("text")), F.lit("</p>"))
+    landed = feed_documents(spark, sf_dir, description=fragment)
+    payloads = landed.withColumn("fetched_at", F.timestamp_seconds("issue")).drop("issue")
+    feeds = payloads.select("category", "feed_url").distinct()
+    twice = F.explode(F.array(F.lit(1), F.lit(0))).alias("feed_pos")
+    catalog = feeds.select("*", F.lit(0).alias("category_pos"), twice)
+    articles = harvest_by_model(payloads, catalog, extractive_sender(), _NOW)
+    return articles.select("category", "feed_url", "source_url", "title_en")
+
+
+@query(
+    """
+    SELECT doc_id, lang FROM documents WHERE length(text) % 97 = 0
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 2
+    """
+)
+def enrich_capped_deep(spark, sf_dir):
+    """Feeds whose answers are rare, so that they lie behind the first rounds."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = enrich_capped(
+        documents, rare_client(), feed=("lang",), order=("doc_id",), text="text", blocks=(8, 64)
+    )
+    return found.select("doc_id", "lang")
+
+
 @query(
     """
     SELECT lang AS category, source AS feed_url,

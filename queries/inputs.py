@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.fixed import PROMPT_HEAD, PROMPT_TAIL
+
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 # DuckDB's form of STAMP.
@@ -133,4 +137,29 @@ def extractive_client(fail_every: int = 5, empty_every: int = 7):
     return connect
 
 
+def extractive_sender():
+    """:func:`extractive_client` as a model that takes request bodies and sends envelopes."""
+
+    def connect():
+        call = extractive_client()()
+
+        def send(body):
+            prompt = json.loads(body)["prompt"]
+            text = prompt.removeprefix(PROMPT_HEAD).removesuffix(PROMPT_TAIL)
+            return json.dumps({"response": json.dumps(call(text))})
+
+        return send
+
+    return connect
+
+
+def rare_client():
+    """A model that answers texts whose length is a multiple of 97."""
+
+    def connect():
+        return lambda text: {"title_en": "found"} if len(text) % 97 == 0 else None
+
+    return connect
+
+
 SQL_ANSWERED = "length({0}) % 5 <> 0 AND length({0}) % 7 <> 0"

@@ -69,7 +69,7 @@ def test_harvest(spark, tmp_path):
     ]
     assert got[0].title_en == "b" and got[0].title_pt == "PT B & b" and got[0].summary_pt is None
     # Without a summary the title is the text, and without a date an entry is new.
-    assert [(r.feed_url, r.reject) for r in rejects(payloads, catalog).collect()] == [("u3", "unreadable")]
+    assert [(r.feed_url, r.reject) for r in rejects(payloads, catalog, NOW).collect()] == [("u3", "unreadable")]
     assert got[1].summary_en == "c" and str(got[1].entry_published_at) == NOW
 
 

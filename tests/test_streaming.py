@@ -59,7 +59,8 @@ def test_payload_files_are_published_once(spark, tmp_path):
     run(checkpoint=str(tmp_path / "other"))
     assert titles(spark, news) == want | {"d": "d"}
     assert read_news(spark, news).count() == 4
-    assert [r.title_en for r in spark.read.json(f"{rejects}/batch_id=0").collect()] == ["no url"]
+    (reject,) = spark.read.json(f"{rejects}/batch_id=0").collect()
+    assert reject.reason == "no source_url" and '"title_en":"no url"' in reject.text
 
 
 def test_consumed_files_can_be_archived(spark, tmp_path):
