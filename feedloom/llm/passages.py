@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import texts
-from feedloom.operators.skew import join_by_key
+from feedloom.operators.skew import HOT_SHARE, join_by_key
 from feedloom.session import materialize
 
 _BOUNDARY = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -100,16 +100,30 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int
         F.col("doc_id").cast("long").alias("doc_id"), tie_of(F.col("text")).alias("tie"), F.col("text").cast("string").alias("text")
     )
     placed = materialize(wanted.mapInArrow(cut, _SPANS), "passages-spans")
-    often = placed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    often = materialize(often, "passages-often")
-    places = materialize(join_by_key(placed, often, ["h1", "h2"], "inner", ["doc_id", "first"]), "passages-places")
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie", "first")
-    firsts = materialize(places.groupBy("h1", "h2").agg(F.min(place).alias("kept")), "passages-firsts")
-    again = join_by_key(places, firsts, ["h1", "h2"], "inner", ["doc_id", "first"]).where(place != F.col("kept"))
-    return materialize(
-        again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges")),
-        "passages-repeated",
+    often = materialize(
+        placed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1"),
+        "passages-often",
     )
+    hot = often.where(F.col("n") * HOT_SHARE > placed.count())
+    # By a shuffle at any size: what repeats grows with the corpus.
+    again = join_by_key(
+        placed, often.drop("n"), ["h1", "h2"], "inner", ["doc_id", "first"], fits=False, hot=hot
+    ).where(place != F.col("kept"))
+    ranges = again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    return materialize(ranges.withColumn("ranges", _merged(F.array_sort("ranges"))), "passages-repeated")
+
+
+def _merged(ranges: Column) -> Column:
+    """Sorted ranges, those that overlap or follow one another as one."""
+
+    def add(done: Column, one: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["last"], one["last"]).alias("last"))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
+        return F.when(one["first"] <= last["last"] + 1, joined).otherwise(F.concat(done, F.array(one)))
+
+    return F.aggregate(ranges, F.array().cast("array<struct<first:int,last:int>>"), add)
 
 
 def tie_of(text: Column) -> Column:
