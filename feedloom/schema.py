@@ -28,14 +28,6 @@ CATALOG = StructType(
     ]
 )
 
-FEED_PAYLOAD = StructType(
-    [
-        *_strings("category", "feed_url"),
-        StructField("fetched_at", TimestampType()),
-        *_strings("payload"),
-    ]
-)
-
 # One schema for RSS 2.0 (channel.item), RSS 1.0 (channel and item side by side)
 # and Atom (entry); the parts a document lacks come out as NULL.
 _ITEM = (
@@ -77,8 +69,6 @@ NEWS = StructType(
 
 EDITABLE = ("title_en", "title_pt", "summary_en", "summary_pt", "category")
 
-DAILY = StructType([StructField("name", StringType()), StructField("count", LongType())])
-CATEGORY_COUNT = StructType([StructField("name", StringType()), StructField("value", LongType())])
 
 # The four-string answer of the model, read as a map because a struct cannot tell
 # an absent key from an explicit null.

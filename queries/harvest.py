@@ -543,3 +543,52 @@ def union_batches_by_language(spark, sf_dir):
     # The batches list their columns in different orders.
     others = documents.where(F.col("lang") != "en").select("text", "source", "lang", "doc_id")
     return union_batches(english, others, english)
+
+
+@query(
+    """
+    SELECT lang AS category, source || '/' || (doc_id // 100) AS feed_url, 'atom ' || source AS feed_title,
+           CAST(row_number() OVER (PARTITION BY lang, source, doc_id // 100 ORDER BY doc_id) - 1 AS INT) AS pos,
+           'doc ' || doc_id AS title, 'http://feed.example/' || doc_id AS link,
+           CASE WHEN doc_id % 3 = 0 THEN '2024-01-01T00:00:00Z' END AS published_raw
+    FROM documents
+    """
+)
+def feed_atom_items(spark, sf_dir):
+    """Atom documents with several links per entry, some entries with an old kind of date."""
+
+    def link(kind: str, suffix: str):
+        start = f'<link rel="alternate" type="{kind}" href="http://feed.example/'
+        return F.concat(F.lit(start), F.col("doc_id").cast("string"), F.lit(f'{suffix}"/>'))
+
+    issued = F.when(F.col("doc_id") % 3 == 0, F.lit("<issued>2024-01-01T00:00:00Z</issued>")).otherwise("")
+    item = F.concat(
+        F.lit("<entry><title>doc "),
+        F.col("doc_id").cast("string"),
+        F.lit("</title>"),
+        link("text/html", ""),
+        link("application/json", ".json"),
+        issued,
+        F.lit("</entry>"),
+    )
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", F.floor(F.col("doc_id") / ISSUE).alias("issue"), item.alias("item")
+    )
+    payloads = (
+        documents.groupBy("lang", "source", "issue")
+        .agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
+        .select(
+            F.col("lang").alias("category"),
+            F.concat_ws("/", "source", F.col("issue").cast("string")).alias("feed_url"),
+            F.concat(
+                F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>atom '),
+                F.col("source"),
+                F.lit("</title>"),
+                F.array_join(F.col("items.item"), ""),
+                F.lit("</feed>"),
+            ).alias("payload"),
+        )
+    )
+    return parse_feeds(payloads).select(
+        "category", "feed_url", "feed_title", "pos", "title", "link", "published_raw"
+    )

@@ -18,6 +18,9 @@ from feedloom.schema import ARTICLE
 from feedloom.session import materialize, scratch_path
 from feedloom.sources.news import append_news, read_news
 from feedloom.sources.payload import read_payload, write_payload
+from feedloom.plans.publish import publish_payload
+from feedloom.streaming.metrics import read_rollup, rebuild_rollup, rollup_totals, write_rollup
+from feedloom.streaming.publish import stream_publish
 from queries import query
 from queries.inputs import SQL_NEWS, SQL_STAMP, news_view, stamp
 
@@ -228,3 +231,74 @@ def payload_roundtrip(spark, sf_dir):
     title = F.when(F.col("doc_id") % 3 != 0, F.col("title_pt"))
     write_payload(news_view(spark, sf_dir).withColumn("title_pt", title), path, ("doc_id",))
     return read_payload(spark, path).select(*ARTICLE.names)
+
+
+_SQL_UNKEYED = f"""
+    SELECT * REPLACE (CASE WHEN doc_id % 19 <> 0 THEN source_url END AS source_url) FROM ({SQL_NEWS})
+"""
+
+
+def _unkeyed(spark, sf_dir):
+    url = F.when(F.col("doc_id") % 19 != 0, F.col("source_url"))
+    return news_view(spark, sf_dir).withColumn("source_url", url)
+
+
+@query(
+    f"""
+    SELECT count(DISTINCT source_url) AS inserted, count(source_url) - count(DISTINCT source_url) AS skipped,
+           count(*) - count(source_url) AS failed, count(*) AS total
+    FROM ({_SQL_UNKEYED})
+    """
+)
+def publish_run(spark, sf_dir):
+    """A payload written and published; publishing it again adds nothing."""
+    payload, news = scratch_path(spark, "payload"), scratch_path(spark, "news")
+    write_payload(_unkeyed(spark, sf_dir), payload, ("doc_id",))
+    return publish_payload(spark, payload, news, "2024-02-01 12:00:00")
+
+
+@query(
+    f"""
+    SELECT CASE WHEN doc_id % 23 = 0 THEN 'unreadable' ELSE 'no source_url' END AS reason,
+           CAST(count(*) AS BIGINT) AS n
+    FROM ({_SQL_UNKEYED}) WHERE doc_id % 23 = 0 OR source_url IS NULL GROUP BY 1
+    """
+)
+def payload_rejects(spark, sf_dir):
+    """Lines that are cut and articles without a URL, as a stream sets them aside."""
+    landing, news = scratch_path(spark, "landing"), scratch_path(spark, "news")
+    line = F.to_json(F.struct(*ARTICLE.names))
+    cut = F.when(F.col("doc_id") % 23 == 0, F.substring(line, 1, 20)).otherwise(line)
+    _unkeyed(spark, sf_dir).select(cut.alias("value")).write.text(landing)
+    stream_publish(
+        spark, landing, news, scratch_path(spark, "checkpoint"), clock=lambda: "2024-02-01 12:00:00"
+    ).awaitTermination()
+    rejects = spark.read.schema("text string, payload_file string, reason string").json(f"{news}-rejects")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT category, source_name, source_url, title_en, title_pt, summary_en, summary_pt FROM ({SQL_NEWS})")
+def payload_arrays(spark, sf_dir):
+    """Payloads of one JSON array per file, a hundred articles each."""
+    path = scratch_path(spark, "arrays")
+    parts = F.floor(F.col("doc_id") / 100).alias("part")
+    arrays = news_view(spark, sf_dir).groupBy(parts).agg(
+        F.to_json(F.collect_list(F.struct(*ARTICLE.names))).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    return read_payload(spark, f"{path}/part=*", array=True).select(*ARTICLE.names)
+
+
+@query(
+    f"""
+    SELECT count(*) AS total, count(DISTINCT source_name) AS active_sources
+    FROM ({SQL_NEWS}) WHERE doc_id % 4 <> 0
+    """
+)
+def rollup_rebuilt(spark, sf_dir):
+    """Counts of two batches, counted anew after deletes."""
+    news, path = news_view(spark, sf_dir), scratch_path(spark, "rollup")
+    for parity in (0, 1):
+        write_rollup(news.where(F.col("doc_id") % 2 == parity), path, parity)
+    rebuild_rollup(news.where(F.col("doc_id") % 4 != 0), path)
+    return rollup_totals(read_rollup(spark, path))

@@ -19,10 +19,13 @@ from feedloom.operators.metrics import (
     total,
     week_total,
 )
-from feedloom.operators.serve import admin_rows, newest_first
+from feedloom.operators.serve import admin_rows, latest, newest_first, oldest_first
 from feedloom.operators.skew import ranked
-from feedloom.plans.backoffice import record
+from feedloom.plans.backoffice import editor_list, record
+from feedloom.plans.dashboard import dashboard
 from feedloom.plans.portal import article_page, front_page
+from feedloom.session import scratch_path
+from feedloom.sources.news import append_news, read_news
 from queries import query
 from queries.inputs import SQL_NEWS, SQL_STAMP, news_view, stamp, table
 
@@ -270,3 +273,74 @@ def format_dates(spark, sf_dir):
         weekday(F.to_date(ts), "pt").alias("weekday_pt"),
         fmt_int(count).alias("count"),
     )
+
+
+@query(
+    f"""
+    WITH news AS ({SQL_NEWS}), categories AS (
+        SELECT coalesce(nullif(category, ''), 'Other') AS name, count(*) AS n FROM news GROUP BY 1
+    ), daily AS ({_sql_daily(f"({SQL_NEWS})", "published_at", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']")})
+    SELECT 'kpi' AS kind, 'total' AS name, CAST(count(*) AS DOUBLE) AS value FROM news
+    UNION ALL SELECT 'kpi', 'week_total', count_if(published_at >= {_SQL_NOW} - INTERVAL 168 HOUR) FROM news
+    UNION ALL SELECT 'kpi', 'today_total', count_if(published_at >= date_trunc('day', {_SQL_NOW})) FROM news
+    UNION ALL SELECT 'kpi', 'active_sources', count(DISTINCT source_name) FROM news
+    UNION ALL SELECT 'day', day || ' ' || name, count FROM daily
+    UNION ALL SELECT 'category', name, n FROM categories
+    UNION ALL SELECT 'share', name, n / sum(n) OVER () FROM categories
+    """,
+    name="dashboard",
+)
+def dashboard_run(spark, sf_dir):
+    """The dashboard's three tables as one."""
+    _, now = _events(spark, sf_dir)
+    parts = dashboard(news_view(spark, sf_dir), now)
+
+    def rows(df, kind, name, value):
+        return df.select(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+
+    kpi = parts["kpis"].unpivot([], ["total", "week_total", "today_total", "active_sources"], "name", "value")
+    day = F.concat_ws(" ", F.col("day").cast("string"), "name")
+    return (
+        rows(kpi, "kpi", F.col("name"), F.col("value"))
+        .unionByName(rows(parts["daily"], "day", day, F.col("count")))
+        .unionByName(rows(parts["categories"], "category", F.col("name"), F.col("value")))
+        .unionByName(rows(parts["categories"], "share", F.col("name"), F.col("share")))
+    )
+
+
+@query(
+    f"""
+    SELECT id, strftime(published_at, '%d/%m/%Y') AS date, category, title_en, 'Publicado' AS status
+    FROM ({_SQL_UNDATED})
+    """,
+    name="editor_list",
+)
+def editors_rows(spark, sf_dir):
+    return editor_list(_undated(spark, sf_dir), "pt")
+
+
+@query(f"SELECT id, strftime(published_at, {SQL_STAMP}) AS published_at FROM ({_SQL_UNDATED})", name="oldest_first")
+def oldest_rows(spark, sf_dir):
+    ordered = oldest_first(_undated(spark, sf_dir).select("id", "published_at"))
+    return ordered.select("id", stamp("published_at").alias("published_at"))
+
+
+@query(
+    f"""
+    WITH stored AS (SELECT id, published_at, published_at - to_days(CAST(doc_id % 40 AS INT)) AS entry FROM ({SQL_NEWS})
+                    WHERE published_at IS NOT NULL)
+    SELECT * FROM (SELECT 'inserted' AS by_time, id FROM stored ORDER BY published_at DESC, id LIMIT 20)
+    UNION ALL
+    SELECT * FROM (SELECT 'entry', id FROM stored ORDER BY entry DESC, id LIMIT 20)
+    """
+)
+def latest_stored(spark, sf_dir):
+    """The newest rows of a stored table, by the time of insertion and by that of the entry."""
+    _, now = _events(spark, sf_dir)
+    path = scratch_path(spark, "latest-news")
+    age = F.make_interval(days=(F.col("doc_id") % 40).cast("int"))
+    append_news(news_view(spark, sf_dir).withColumn("entry_published_at", F.col("published_at") - age), path)
+    news = read_news(spark, path)
+    inserted = latest(news, now=now).select(F.lit("inserted").alias("by_time"), "id")
+    entry = latest(news, ts="entry_published_at", now=now).select(F.lit("entry").alias("by_time"), "id")
+    return inserted.unionByName(entry)

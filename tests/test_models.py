@@ -1,5 +1,6 @@
 """Text and response functions against models built on the standard library, on random input."""
 
+import hashlib
 import json
 import random
 from html.entities import html5
@@ -7,6 +8,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from feedloom.functions.fixed import PROMPT_HEAD, PROMPT_TAIL
 from feedloom.functions.response import parse_response
 from feedloom.functions.text import html_to_text
 
@@ -135,3 +137,7 @@ def test_response_parsing_equals_a_parser(spark):
     got = {r.i: r.m for r in rows.select("i", parse_response(F.col("e")).alias("m")).collect()}
     assert [(c, got[i]) for i, c in enumerate(cases)] == [(c, response_model(c)) for c in cases]
     assert 500 < sum(m is not None for m in got.values()) < 3500
+
+
+def test_the_request_text_is_pinned():
+    assert hashlib.md5((PROMPT_HEAD + "|" + PROMPT_TAIL).encode()).hexdigest() == "1818115f34cc1bb857f9956c2638624d"
