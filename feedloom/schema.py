@@ -4,7 +4,6 @@ from pyspark.sql.types import (
     ArrayType,
     DateType,
     IntegerType,
-    LongType,
     MapType,
     StringType,
     StructField,
