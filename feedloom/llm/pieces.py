@@ -55,7 +55,14 @@ class Pieces:
             whole = sum(1 / max(1.0, -score) for score, _ in raw.values())
             raw = {p: (-math.log(max(1.0, -score) * whole), i) for p, (score, i) in raw.items()}
         self.scored = raw
-        self.longest = max(map(len, raw))
+        #: A node has, by character, the next node and the piece that ends there, if one does.
+        self.trie: dict[str, list] = {}
+        for piece, (score, i) in raw.items():
+            node, step = self.trie, [None, None]
+            for character in piece:
+                step = node.setdefault(character, [{}, None])
+                node = step[0]
+            step[1] = (score, (i,))
         self.unknown = min(score for score, _ in raw.values()) - UNKNOWN_PENALTY
         # A text falls apart before a space unless a piece has one after another character.
         self.falls_apart = not any(SPACE in piece.lstrip(SPACE) for piece in raw)
@@ -76,19 +83,23 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     """
     best = [0.0] + [-math.inf] * len(text)
     arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
-    scored, longest = pieces.scored, pieces.longest
-    for begin in range(len(text)):
+    scored, trie = pieces.scored, pieces.trie
+    for begin, character in enumerate(text):
         here = best[begin]
-        if text[begin] not in scored:
-            found = (begin, pieces.unknown, pieces.fallback(text[begin]))
-            arcs[begin + 1].append(found)
+        if character not in scored:
+            arcs[begin + 1].append((begin, pieces.unknown, pieces.fallback(character)))
             best[begin + 1] = max(best[begin + 1], here + pieces.unknown)
-        for end in range(begin + 1, min(begin + longest, len(text)) + 1):
-            piece = scored.get(text[begin:end])
+        node = trie
+        for end in range(begin, len(text)):
+            step = node.get(text[end])
+            if step is None:
+                break
+            node, piece = step
             if piece is not None:
-                arcs[end].append((begin, piece[0], (piece[1],)))
-                if here + piece[0] > best[end]:
-                    best[end] = here + piece[0]
+                worth, ids_of = piece
+                arcs[end + 1].append((begin, worth, ids_of))
+                if here + worth > best[end + 1]:
+                    best[end + 1] = here + worth
     found, count = [], 0
     heap: list[tuple] = [(-best[-1], len(text), 0, 0.0, None)]
     # Scores of disjoint sets of segmentations seen so far, the n best of them: what is
