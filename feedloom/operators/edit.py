@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.operators.skew import broadcast_if_small, join_by_key
 from feedloom.schema import EDITABLE
 from feedloom.session import materialize
+from feedloom.sources.keys import days_of, in_days
 from feedloom.sources.news import drop_days, read_news, replace_days
 
 
@@ -50,52 +51,27 @@ def delete_news(news: DataFrame, ids: DataFrame) -> DataFrame:
     return join_by_key(news, ids.select("id").distinct(), ["id"], "left_anti", ["source_url"])
 
 
-# Spark hands lists of up to this many values to Parquet as they are, where the
-# table's Bloom filters on ids can rule out row groups.
-_PUSHED_VALUES = 10
-
-
-def _touched_days(news: DataFrame, ids: DataFrame) -> list[str | None]:
-    """Days that hold any of the ids; at most one value per calendar day."""
-    rows = news.select("id", "published_date")
-    few = [row[0] for row in ids.limit(_PUSHED_VALUES + 1).collect()]
-    if len(few) <= _PUSHED_VALUES:
-        rows = rows.where(F.col("id").isin(few))
-    else:
-        rows = rows.join(ids, "id", "left_semi")
-    days = rows.select(F.col("published_date").cast("string")).distinct()
-    return [row[0] for row in days.collect()]
-
-
-def _in_days(news: DataFrame, days: list[str | None]) -> DataFrame:
-    dated = [d for d in days if d is not None]
-    condition = F.col("published_date").isin([F.lit(d).cast("date") for d in dated])
-    if len(dated) < len(days):
-        condition = condition | F.col("published_date").isNull()
-    return news.where(condition)
-
-
 # The edits of one call are few next to the table. Once measured to be so they are
 # broadcast, which leaves the table's rows where they are read.
 
 
 def apply_updates(spark: SparkSession, path: str, patches: DataFrame, seq: str = "seq") -> int:
-    """Rewrite the days the patched rows are in; returns the number of days."""
+    """Rewrite the days the patched rows may be in; returns the number of days."""
     news = read_news(spark, path)
     merged = broadcast_if_small(materialize(merge_patches(patches, seq), "patches"))
-    days = _touched_days(news, merged.select("id"))
+    days = days_of(spark, path, merged)
     if days:
-        replace_days(apply_merged(_in_days(news, days), merged), path)
+        replace_days(apply_merged(in_days(news, days), merged), path)
     return len(days)
 
 
 def apply_deletes(spark: SparkSession, path: str, ids: DataFrame) -> int:
-    """Rewrite the days the deleted rows are in; returns the number of days."""
+    """Rewrite the days the deleted rows may be in; returns the number of days."""
     news = read_news(spark, path)
     gone = broadcast_if_small(materialize(ids.select("id").distinct(), "ids"))
-    days = _touched_days(news, gone)
+    days = days_of(spark, path, gone)
     if days:
-        kept = _in_days(news, days).join(gone, "id", "left_anti")
+        kept = in_days(news, days).join(gone, "id", "left_anti")
         # Days that keep no row do not occur in the write, so they are dropped. They
         # are looked up first, since the write changes what `kept` reads.
         left = {r[0] for r in kept.select(F.col("published_date").cast("string")).distinct().collect()}

@@ -13,7 +13,7 @@ from feedloom.operators.harvest import first_by_key
 from feedloom.operators.skew import fits_broadcast, join_by_key
 from feedloom.schema import NEWS
 from feedloom.session import materialize
-from feedloom.sources.news import append_news, read_news
+from feedloom.sources.news import append_news, news_of
 from feedloom.sources.payload import PAYLOAD_ORDER
 
 KEY = "source_url"
@@ -121,10 +121,17 @@ def append_new(
 ) -> None:
     """Publish into the table at ``path``.
 
-    Safe to repeat: rows that got in are skipped the next time. One writer at a
+    Only the days in which the keys place URLs of the batch are read. Safe to repeat: rows that got in are skipped the next time. One writer at a
     time, since nothing but this keeps URLs unique.
     """
-    append_news(publish(batch, read_news(spark, path), now, order), path)
+    append_news(materialize(_publish_at(spark, batch, path, now, order), "fresh"), path)
+
+
+def _publish_at(
+    spark: SparkSession, batch: DataFrame, path: str, now: Instant, order: Sequence[str]
+) -> DataFrame:
+    ids = batch.select(F.sha2(F.col(KEY), 256).alias("id"))
+    return publish(batch, news_of(spark, path, ids), now, order)
 
 
 def publish_to(
@@ -142,6 +149,6 @@ def publish_to(
     would call every row a duplicate.
     """
     batch = materialize(batch, "batch")
-    fresh = materialize(publish(batch, read_news(spark, path), now, order), "fresh")
+    fresh = materialize(_publish_at(spark, batch, path, now, order), "fresh")
     append_news(fresh, path)
     return outcomes(batch, fresh, order)

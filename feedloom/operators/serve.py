@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import Instant, day_key, days_ago
 from feedloom.functions.display import fmt_numeric, language
 from feedloom.functions.fixed import LATEST_ARTICLES, STATUS_LABEL
+from feedloom.sources.news import news_of
 
 
 def newest_first(ts: str = "published_at", tie: str = "id") -> list[Column]:
@@ -65,6 +66,12 @@ def get_article(news: DataFrame, id: str) -> DataFrame:
     )
 
 
+def get_stored(spark: SparkSession, path: str, id: str) -> DataFrame:
+    """:func:`get_article` of a stored table; only the days that its keys name are read."""
+    wanted = spark.createDataFrame([(id,)], "id string")
+    return get_article(news_of(spark, path, wanted), id)
+
+
 def localize(news: DataFrame, lang: str) -> DataFrame:
     """Add ``title`` and ``summary`` in the chosen language, without fallback."""
     suffix = language(lang)

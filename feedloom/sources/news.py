@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import day_key
 from feedloom.schema import NEWS
 from feedloom.session import read_if_present, require_utc
+from feedloom.sources.keys import add_keys, days_of, in_days
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +20,14 @@ def read_news(spark: SparkSession, path: str) -> DataFrame:
     return read_if_present(lambda: spark.read.schema(NEWS).parquet(path), NEWS, spark)
 
 
+def news_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The days of the table that may hold rows with these ``id``s, found by their keys.
+
+    Other days are not read. All rows with these ids are among them.
+    """
+    return in_days(read_news(spark, path), days_of(spark, path, ids))
+
+
 def _laid_out(df: DataFrame) -> DataFrame:
     # Rebalancing brings the rows of a day together into files of the advisory
     # size, and AQE splits a day that is larger than that.
@@ -33,8 +42,11 @@ _LOOKUP = {"parquet.bloom.filter.enabled#id": "true"}
 
 
 def append_news(df: DataFrame, path: str) -> None:
+    """Append rows to the table, their keys first; ``df`` is read for each of the two."""
+    laid_out = _laid_out(df)
+    add_keys(df, path)
     (
-        _laid_out(df)
+        laid_out
         .write.mode("append")
         .options(**_LOOKUP)
         .partitionBy("published_date")

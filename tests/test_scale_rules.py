@@ -10,13 +10,14 @@ from feedloom.functions.dates import parse_feed_date
 from feedloom.functions.response import parse_object
 from feedloom.operators.edit import delete_news, update_news
 from feedloom.operators.enrich import enrich_capped
-from feedloom.operators.publish import publish_report, publish_to
-from feedloom.operators.serve import latest
+from feedloom.operators.publish import publish, publish_report, publish_to
+from feedloom.operators.serve import get_stored, latest
 from feedloom.plans.harvest import candidates, harvest_by_model
 from feedloom.schema import ARTICLE
 from feedloom.sources.feeds import parse_feeds
+from feedloom.sources.keys import add_keys, days_of, rebuild_keys
 from feedloom.sources.news import append_news, read_news
-from feedloom.sources.payload import read_payload
+from feedloom.sources.payload import PAYLOAD_ORDER, read_payload
 from feedloom.streaming.metrics import (
     compact_rollup,
     folded_through,
@@ -201,3 +202,35 @@ def test_atom_details(spark):
     zones = spark.createDataFrame([("Mon, 04 May 2026 12:00:00 ET",), ("Mon, 04 May 2026 12:00:00 MET",)], "d string")
     hours = [r[0] for r in zones.select(F.hour(parse_feed_date(F.col("d")))).collect()]
     assert hours == [17, 11]
+
+
+def stored(spark, path, days):
+    rows = [(f"id{i}", f"u{i}", f"2026-05-{1 + i % days:02} 10:00:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, source_url string, published_at string")
+    df = df.withColumn("published_at", F.col("published_at").cast("timestamp"))
+    others = {c: F.lit("x") for c in ARTICLE.names if c != "source_url"}
+    append_news(df.withColumns(others | {"entry_published_at": F.lit(None).cast("timestamp")}), path)
+
+
+def test_a_lookup_reads_the_day_of_its_key(spark, tmp_path):
+    path = str(tmp_path / "news")
+    stored(spark, path, 20)
+    found = get_stored(spark, path, "id7")
+    assert [r.source_url for r in found.collect()] == ["u7"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(published_date" in plan
+    assert days_of(spark, path, spark.createDataFrame([("id7",), ("none",), (None,)], "id string")) == ["2026-05-08"]
+    assert get_stored(spark, path, "none").count() == 0
+    rebuild_keys(spark, path)
+    assert days_of(spark, path, spark.createDataFrame([("id7",)], "id string")) == ["2026-05-08"]
+
+
+def test_keys_without_rows_hide_no_article(spark, tmp_path):
+    """A writer that failed after its keys: the next run inserts the rows, once."""
+    payload, news = tmp_path / "payload", str(tmp_path / "news")
+    land(payload, "1.json", "a", "b")
+    fresh = publish(read_payload(spark, str(payload)), read_news(spark, news), NOW, PAYLOAD_ORDER)
+    add_keys(fresh, news)
+    for expected in ((2, 0, 0, 2), (0, 2, 0, 2)):
+        assert tuple(publish_report(publish_to(spark, read_payload(spark, str(payload)), news, NOW)).first()) == expected
+    assert read_news(spark, news).count() == 2
