@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedloom.llm.common import spread
 from feedloom.session import materialize
 
 _INDEX = (
@@ -211,7 +212,7 @@ def build_index(
         "shard", F.pmod(F.xxhash64("class_id", F.hash("embedding")), "shards").cast("int")
     )
     return materialize(
-        dealt.select("dim", "shard", "class_id", "members", "embedding").groupBy("dim", "shard").applyInArrow(build, _INDEX),
+        spread(dealt.select("dim", "shard", "class_id", "members", "embedding"), "dim", "shard").groupBy("dim", "shard").applyInArrow(build, _INDEX),
         "ann-index",
     )
 
@@ -273,7 +274,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = 128,
         )
 
     key = ["dim", "shard", "block"]
-    found = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, _FOUND)
+    found = spread(held, *key).groupBy(*key).cogroup(spread(asked, *key).groupBy(*key)).applyInArrow(search, _FOUND)
     best = Window.partitionBy("query_id", "query_class").orderBy("score", "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
