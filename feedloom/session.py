@@ -40,9 +40,29 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+# What this driver has had written under the shared folder.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this driver; returns how many paths there were.
+
+    For the end of a run: frames that were made before may read these tables, so their
+    results must have been written.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_SCRATCH)
+    while _SCRATCH:
+        folder = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return count
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom import session
 from feedloom.functions.dates import parse_feed_date
 from feedloom.functions.response import parse_object
 from feedloom.operators.edit import delete_news, update_news
@@ -234,3 +235,12 @@ def test_keys_without_rows_hide_no_article(spark, tmp_path):
     for expected in ((2, 0, 0, 2), (0, 2, 0, 2)):
         assert tuple(publish_report(publish_to(spark, read_payload(spark, str(payload)), news, NOW)).first()) == expected
     assert read_news(spark, news).count() == 2
+
+
+def test_intermediate_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    table = session.materialize(spark.range(3), "passing")
+    (folder,) = session._SCRATCH
+    assert table.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    assert session.remove_intermediates(spark) == 1
+    assert not os.path.exists(folder.removeprefix("file:"))
