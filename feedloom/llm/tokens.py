@@ -30,7 +30,16 @@ _ALPHABET = {b: chr(b) for b in _KEPT}
 _ALPHABET |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _ALPHABET)}
 
 # Between a space that follows no white space and the next, no word reaches across.
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+_SPACE_AFTER_SPACE = tuple(blank + " " for blank in " \t\n\r\x0b\x0c")
+
+# White space here but not for the library.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _left_to_library(text: str) -> bool:
+    if text.isascii():
+        return any(sign in text for sign in _SEPARATORS)
+    return _OTHER.search(text) is not None
 
 
 class _Words(dict):
@@ -85,14 +94,14 @@ class WordEncoder:
         return [self._encode(text) for text in texts]
 
     def _encode(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if _left_to_library(text):
             ids = self._library.encode(text, add_special_tokens=False).ids
             return np.array(ids, self.dtype).tobytes()
         if len(self._stretches) > self._most_stretches:
             self._stretches.clear()
         if len(self._words) > self._most_words:
             self._words.clear()
-        if _SPACE_AFTER_SPACE.search(text):
+        if any(pair in text for pair in _SPACE_AFTER_SPACE):
             return b"".join(map(self._words.__getitem__, _WORD.findall(text)))
         first, *rest = text.split(" ")
         first = b"".join(map(self._words.__getitem__, _WORD.findall(first)))

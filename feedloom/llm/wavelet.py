@@ -52,11 +52,12 @@ def encode_shard(ids: np.ndarray, doc_ids: list, lengths: list[int], block_bits:
         ones = (values >> k & 1).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         blocks = [press(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
-        held = np.add.reduceat(ones, np.arange(0, len(ones), block_bits), dtype=np.int64) if len(ones) else []
+        counts = np.bitwise_count(packed)
+        held = np.add.reduceat(counts, np.arange(0, len(packed), step), dtype=np.int64) if len(ones) else []
         places = at + np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
         before = np.concatenate([[0], np.cumsum(held)])
         directories.append(
-            np.array([len(ones) - int(ones.sum()), *places, *before], "<u8").tobytes()
+            np.array([len(ones) - int(before[-1]), *places, *before], "<u8").tobytes()
         )
         bodies += blocks
         at = int(places[-1])

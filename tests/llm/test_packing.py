@@ -24,7 +24,7 @@ def library():
     return tokenizer
 
 
-HARD = ["", "  a  b", "a \n\nb ", "x\n \ny", "日本 語", "It's we'll", "<|endoftext|> hi", "a\tb c", " lead", "x² 3.5"]
+HARD = ["", "a\x1cb c", "x\x0b y", "\x00 \x7f", "  a  b", "a \n\nb ", "x\n \ny", "日本 語", "It's we'll", "<|endoftext|> hi", "a\tb c", " lead", "x² 3.5"]
 
 
 def test_words_are_encoded_as_by_the_library(library, cases):
