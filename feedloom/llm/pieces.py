@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import record, texts
+from feedloom.llm.common import kept, record, small, texts
 
 # Fixed values of the format: the mark that stands for a space, and what an unknown
 # character costs beyond the worst piece.
@@ -62,7 +62,7 @@ class Pieces:
             for character in piece:
                 step = node.setdefault(character, [{}, None])
                 node = step[0]
-            step[1] = (score, (i,))
+            step[1] = (score, i.to_bytes(4, "little"))
         self.unknown = min(score for score, _ in raw.values()) - UNKNOWN_PENALTY
         # A text falls apart before a space unless a piece has one after another character.
         self.falls_apart = not any(SPACE in piece.lstrip(SPACE) for piece in raw)
@@ -73,8 +73,8 @@ class Pieces:
         return tuple(self.byte_ids[b] for b in character.encode("utf-8", "replace"))
 
 
-def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The ``n`` segmentations of highest score, best first: (score, ids).
+def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, bytes]]:
+    """The ``n`` segmentations of highest score, best first: (score, ids as 32-bit integers).
 
     A forward Viterbi pass over the lattice gives every place the best score up to it.
     That is exactly what is still to be had from there, so a backward A* search that adds
@@ -82,12 +82,13 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     order. Of equal ones the search order decides, which is the same in every run.
     """
     best = [0.0] + [-math.inf] * len(text)
-    arcs: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(text) + 1)]
+    arcs: list[list[tuple[int, float, bytes]]] = [[] for _ in range(len(text) + 1)]
     scored, trie = pieces.scored, pieces.trie
     for begin, character in enumerate(text):
         here = best[begin]
         if character not in scored:
-            arcs[begin + 1].append((begin, pieces.unknown, pieces.fallback(character)))
+            spelt = np.array(pieces.fallback(character), "<u4").tobytes()
+            arcs[begin + 1].append((begin, pieces.unknown, spelt))
             best[begin + 1] = max(best[begin + 1], here + pieces.unknown)
         node = trie
         for end in range(begin, len(text)):
@@ -108,11 +109,11 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     while heap and len(found) < n:
         _, at, _, score, path = heapq.heappop(heap)
         if at == 0:
-            ids: list[int] = []
+            ids = []
             while path is not None:
-                ids += path[0]
+                ids.append(path[0])
                 path = path[1]
-            found.append((score, tuple(ids)))
+            found.append((score, b"".join(ids)))
             continue
         goes_on = False
         for begin, worth, ids_of in arcs[at]:
@@ -131,7 +132,7 @@ def n_best(text: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     return found
 
 
-def _joined(ways: list[list], n: int) -> list[tuple[float, tuple[int, ...]]]:
+def _joined(ways: list[list], n: int) -> list[tuple[float, bytes]]:
     """The n best of a text from the n best of parts it falls into."""
     out = ways[0]
     for more in ways[1:]:
@@ -168,7 +169,7 @@ class _Parts(dict):
         ways = self._ways(part.replace(" ", SPACE))
         score, ids = ways[0]
         loss = score - ways[1][0] if len(ways) > 1 else math.inf
-        found = (np.array(ids, "<u4").tobytes(), len(ids), score, loss, ways)
+        found = (ids, len(ids) // 4, score, loss, ways)
         if len(part) <= self._longest:
             self[part] = found
         return found
@@ -177,7 +178,7 @@ class _Parts(dict):
 class NBest:
     """N-best segmentation of whole texts; ``most`` bounds the parts a worker keeps."""
 
-    def __init__(self, path: str, n: int, most: int = 300_000):
+    def __init__(self, path: str, n: int, most: int = 100_000):
         self.pieces, self.n, self._most = Pieces(path), n, most
         self._parts = _Parts(self.pieces, n)
 
@@ -214,7 +215,7 @@ class NBest:
                 places[at] = before
             before += part[1]
         changes = [
-            [{"at": places[at], "drop": known[at][1], "ids": list(known[at][4][k][1])} for at, k in chosen]
+            [{"at": places[at], "drop": known[at][1], "ids": np.frombuffer(known[at][4][k][1], "<u4").tolist()} for at, k in chosen]
             for _, chosen in sums[1:]
         ]
         ids = b"".join([part[0] for part in known])
@@ -230,9 +231,6 @@ def alternative(ids: list[int], changes: list[dict]) -> list[int]:
     return out + ids[at:]
 
 
-_ENCODERS: dict[tuple[str, int], NBest] = {}
-
-
 def encode_pieces(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """Segment every whole text of ``doc_id, text``, a null text being empty.
 
@@ -244,11 +242,9 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (model_path, n) not in _ENCODERS:
-            _ENCODERS[model_path, n] = NBest(model_path, n)
-        encoder = _ENCODERS[model_path, n]
+        encoder = kept(("pieces", model_path, n), lambda: NBest(model_path, n))
         kinds = {"ids": pa.binary(), "n_pieces": pa.int64(), "scores": pa.list_(pa.float64()), "changes": _CHANGE_TYPE}
-        for batch in batches:
+        for batch in small(batches):
             done = [encoder.encode(text) for text in texts(batch)]
             columns = {"doc_id": batch.column("doc_id")}
             columns |= {name: [d[i] for d in done] for i, name in enumerate(kinds)}
@@ -266,6 +262,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Encoding may share this worker and its turn, so its cache is left alone.
         spelt = Pieces(model_path).spelt
         for batch in batches:
             done = []
