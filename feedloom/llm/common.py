@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -16,7 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Deal the few rows of a task list over the shuffle partitions."""
+    """Deal out rows that are few but long in work.
+
+    The number of partitions is given, so adaptive execution leaves them as they are.
+    """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *by)
 
@@ -36,6 +39,26 @@ def open_file(path: str) -> pa.NativeFile:
     return store.open_input_file(inner)
 
 
+def small(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``most`` rows, for what makes much of each row."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, most):
+            yield batch.slice(first, most)
+
+
+# What this worker keeps from task to task. Workers outlive the stages of a job, so only
+# the last thing asked for is kept.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What ``make`` made under this key, unless the worker has since kept something else."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of a short task list; not for tables of documents."""
     for batch in batches:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import keep_rows, record, texts
+from feedloom.llm.common import keep_rows, kept, record, small, texts
 from feedloom.llm.components import components
 from feedloom.operators.skew import join_by_key
 from feedloom.session import materialize
@@ -43,9 +43,6 @@ class _WordHashes(dict):
         return found
 
 
-_HASHES = _WordHashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -59,9 +56,10 @@ def gram_set(text: str, size: int = 5) -> np.ndarray:
     a text without words has none.
     """
     words = text.split()
-    if len(_HASHES) > 500_000:
-        _HASHES.clear()
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = kept(("hashes",), _WordHashes)
+    if len(known) > 300_000:
+        known.clear()
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(size, len(words))
     if not width:
         return hashes
@@ -139,7 +137,7 @@ def similar_sets(docs: DataFrame, threshold: float, recall: float, size: int) ->
     bands, rows = choose_bands(threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [gram_set(text, size) for text in texts(batch)]
             columns = {
                 "doc_id": batch.column("doc_id"),

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.llm.common import record, texts
-from feedloom.llm.tokens import encoder
+from feedloom.llm.common import kept, record, small, texts
+from feedloom.llm.tokens import encoder, stored_dtype
 from feedloom.operators.skew import broadcast_if_small
 from feedloom.session import materialize
 
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
         part = TaskContext.get().partitionId()
         ranks, full = np.zeros(capacity, np.int64), 0
         end = np.array([end_id], encode.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [found + end for found in encode.encode(texts(batch))]
             n = np.array([len(x) for x in ids], np.int64) // np.dtype(encode.dtype).itemsize
             tails, fulls = n % capacity, n // capacity
@@ -177,9 +177,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
         F.col("s.offset").alias("offset"),
     )
 
+    stored = stored_dtype(tokenizer_path)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = encoder(tokenizer_path).dtype
-        for batch in batches:
+        kept(("packing",), dict)  # nothing, in the place of the encoder
+        for batch in small(batches):
             found: dict[str, list] = {name: [] for name in _PIECE_TYPES}
 
             def piece(*values):

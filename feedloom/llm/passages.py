@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import texts
+from feedloom.llm.common import kept, small, texts
 from feedloom.operators.skew import HOT_SHARE, join_by_key
 from feedloom.session import materialize
 
@@ -80,7 +80,8 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kept(("passages",), dict)  # nothing, in the place of what another stage has kept
+        for batch in small(batches):
             found = [spans(text, least, words, enough) for text in texts(batch)]
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             digests = np.frombuffer(b"".join(s[2] for f in found for s in f), "<i8").reshape(-1, 2)

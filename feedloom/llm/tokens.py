@@ -14,6 +14,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from feedloom.llm.common import kept
+
 # The file's pattern of words, spelt out for the Latin letters and numbers,
 # and the printable bytes that the byte-level alphabet keeps.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -79,7 +81,7 @@ class WordEncoder:
     """
 
     def __init__(
-        self, path: str, most_words: int = 800_000, most_stretches: int = 250_000, longest: int = 40
+        self, path: str, most_words: int = 500_000, most_stretches: int = 200_000, longest: int = 40
     ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_file(path)
@@ -108,15 +110,15 @@ class WordEncoder:
         return first + b"".join(map(self._stretches.__getitem__, rest))
 
 
-def dtype_for(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+def stored_dtype(path: str) -> str:
+    """The ``dtype`` of a file's ids, without keeping an encoder."""
+    return dtype_for(Tokenizer.from_file(path).get_vocab_size())
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+def dtype_for(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of a file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder of a file."""
+    return kept(("words", path), lambda: WordEncoder(path))
