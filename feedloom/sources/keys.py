@@ -3,7 +3,8 @@
 The index lies beside the table and is a hint: a row may be gone, or may not have been
 written because its writer failed after its keys. What it finds is therefore looked up in
 the table, in the days that it names and no others. Keys are written before rows, so a row
-is never without its key.
+is never without its key. A table without an index, or with one whose first write did not
+end, is searched itself; whoever appends to it indexes it first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.types import DateType, StringType, StructField, StructType
 from feedloom.functions.dates import day_key
 from feedloom.operators.skew import broadcast_if_small
 from feedloom.schema import NEWS
-from feedloom.session import materialize, read_if_present
+from feedloom.session import materialize, path_exists, read_if_present
 
 KEYS = StructType(
     [
@@ -35,8 +36,18 @@ def _keys_path(path: str) -> str:
     return f"{path.rstrip('/')}-keys"
 
 
-def _write(rows: DataFrame, path: str, mode: str) -> None:
-    keys = rows.where(F.col("id").isNotNull()).select("id", "published_date", _bucket(F.col("id")).alias("bucket"))
+def _named(rows: DataFrame) -> DataFrame:
+    """Each row's id, and what publication would call its URL should that differ."""
+    names = F.array_distinct(F.array("id", F.sha2(F.col("source_url"), 256)))
+    return rows.select(F.explode(names).alias("id"), "published_date").where(F.col("id").isNotNull())
+
+
+def _indexed(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{_keys_path(path)}/_SUCCESS")
+
+
+def _write(keys: DataFrame, path: str, mode: str) -> None:
+    keys = keys.withColumn("bucket", _bucket(F.col("id")))
     (
         keys.hint("rebalance", "bucket")
         .write.mode(mode)
@@ -47,26 +58,43 @@ def _write(rows: DataFrame, path: str, mode: str) -> None:
 
 
 def add_keys(rows: DataFrame, path: str) -> None:
-    """Index ``rows`` that are about to be appended to the table at ``path``."""
-    _write(rows.withColumn("published_date", day_key(F.col("published_at"))), path, "append")
+    """Index ``rows`` that are about to be appended to the table at ``path``.
+
+    A table that has no index yet is indexed first: one of the new rows alone would hide
+    the others.
+    """
+    if not _indexed(rows.sparkSession, path) and path_exists(rows.sparkSession, path):
+        rebuild_keys(rows.sparkSession, path)
+    _write(_named(rows.withColumn("published_date", day_key(F.col("published_at")))), path, "append")
 
 
 def rebuild_keys(spark: SparkSession, path: str) -> None:
     """Index the table anew: one row per id and day, in few files. No writer may be at work."""
-    table = read_if_present(lambda: spark.read.schema(NEWS).parquet(path), NEWS, spark)
-    _write(materialize(table.select("id", "published_date").distinct(), "keys"), path, "overwrite")
+    _write(materialize(_named(_table(spark, path)).distinct(), "keys"), path, "overwrite")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return read_if_present(lambda: spark.read.schema(NEWS).parquet(path), NEWS, spark)
 
 
 def days_of(spark: SparkSession, path: str, ids: DataFrame) -> list[str | None]:
     """Days that may hold rows with these ids; at most one value per calendar day.
 
     Only the buckets of the ids are read, at most 256 values being brought here to choose
-    them.
+    them. Without an index two columns of the whole table are.
     """
     ids = ids.select("id").where(F.col("id").isNotNull()).withColumn("bucket", _bucket(F.col("id")))
+    if not _indexed(spark, path):
+        wanted = broadcast_if_small(ids.select("id").distinct())
+        found = _named(_table(spark, path)).join(wanted, "id", "left_semi")
+        return _days(found)
     buckets = [row[0] for row in ids.select("bucket").distinct().collect()]
     keys = read_if_present(lambda: spark.read.schema(KEYS).parquet(_keys_path(path)), KEYS, spark)
     found = keys.where(F.col("bucket").isin(buckets)).join(broadcast_if_small(ids.distinct()), ["bucket", "id"], "left_semi")
+    return _days(found)
+
+
+def _days(found: DataFrame) -> list[str | None]:
     return [row[0] for row in found.select(F.col("published_date").cast("string")).distinct().collect()]
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom import session
 from feedloom.functions.dates import parse_feed_date
 from feedloom.functions.response import parse_object
-from feedloom.operators.edit import delete_news, update_news
+from feedloom.operators.edit import apply_deletes, apply_updates, delete_news, update_news
 from feedloom.operators.enrich import enrich_capped
 from feedloom.operators.publish import publish, publish_report, publish_to
 from feedloom.operators.serve import get_stored, latest
@@ -226,6 +227,33 @@ def test_a_lookup_reads_the_day_of_its_key(spark, tmp_path):
     assert days_of(spark, path, spark.createDataFrame([("id7",)], "id string")) == ["2026-05-08"]
 
 
+def test_a_table_without_keys_is_searched_and_then_indexed(spark, tmp_path):
+    """As stored by an earlier version, or copied without the folder beside it."""
+
+    def copied(name):
+        shutil.copytree(tmp_path / "whole", tmp_path / name)
+        return str(tmp_path / name)
+
+    payload = tmp_path / "payload"
+    land(payload, "1.json", "a", "b")
+    publish_to(spark, read_payload(spark, str(payload)), str(tmp_path / "whole"), NOW)
+    stored(spark, str(tmp_path / "whole"), 3)
+    looked, edited, cut, published = (copied(n) for n in ("looked", "edited", "cut", "published"))
+    assert [r.source_url for r in get_stored(spark, looked, "id7").collect()] == ["u7"]
+    patch = spark.createDataFrame([("id7", {"title_en": "new"}, 1)], "id string, patch map<string,string>, seq long")
+    assert apply_updates(spark, edited, patch) == 1
+    assert get_stored(spark, edited, "id7").first().title_en == "new"
+    assert apply_deletes(spark, cut, spark.createDataFrame([("id7",)], "id string")) == 1
+    assert read_news(spark, cut).where("id = 'id7'").count() == 0
+    land(payload, "2.json", "c")
+    for expected in ((1, 2, 0, 3), (0, 3, 0, 3)):
+        assert tuple(publish_report(publish_to(spark, read_payload(spark, str(payload)), published, NOW)).first()) == expected
+    # Rows from before the index are found by it too, by id and by URL.
+    assert days_of(spark, published, spark.createDataFrame([("id7",)], "id string")) == ["2026-05-02"]
+    by_url = spark.sql("SELECT sha2('u7', 256) AS id")
+    assert days_of(spark, published, by_url) == ["2026-05-02"]
+
+
 def test_keys_without_rows_hide_no_article(spark, tmp_path):
     """A writer that failed after its keys: the next run inserts the rows, once."""
     payload, news = tmp_path / "payload", str(tmp_path / "news")
