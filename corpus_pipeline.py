@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents stay where they come first."""
-    cleaned = drop_repeated_passages(docs, least=3, words=15, enough=50, report=None)
+    cleaned = drop_repeated_passages(docs, least=3, words=15, enough=50, report=None, anywhere=50)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

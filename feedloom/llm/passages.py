@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across documents, by sliding spans of sentences."""
+"""Removal of passages that repeat across documents, by sliding spans of sentences and words."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import kept, small, texts
@@ -18,6 +18,14 @@ from feedloom.session import materialize
 
 _BOUNDARY = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _SPANS = "doc_id long, tie long, h1 long, h2 long, first int, last int"
+_RANGES = "array<struct<first:int,last:int>>"
+_WORD = re.compile(r"\S+")  # what str.split() gives
+
+# Which grams repeat is sent to all tasks in a table of this many bits, in pieces of so
+# many. Two grams that share a bit cost rows and change no result.
+_BITS, _PIECE = 1 << 27, 1 << 20
+# A word run with fewer places than this is left to one task.
+_COLD = 20_000
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -69,6 +77,127 @@ def spans(text: str, least: int, words: int, enough: int) -> list[tuple[int, int
     ]
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` values in a row."""
+    done = 1
+    while done * 2 <= width:
+        values = np.minimum(values[:-done], values[done:])
+        done *= 2
+    return np.minimum(values[: len(values) - (width - done)], values[width - done :])
+
+
+def runs_of_words(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word and each gram, and for each run of ``size`` words the least hash of its grams.
+
+    A gram is up to 16 words in a row. Equal runs have equal least hashes, whatever is
+    around them.
+    """
+    words = text.split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if len(words) < size:
+        return hashes, hashes[:0], hashes[:0]
+    grams, width = hashes, 1
+    while width < 16 and width * 2 <= size:
+        grams = grams[:-width] * np.uint64(0x9E3779B97F4A7C15) + grams[width:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        grams ^= grams >> np.uint64(31)
+        width *= 2
+    return hashes, grams, _least(grams, size - width + 1)
+
+
+def repeated_runs(docs: DataFrame, size: int) -> DataFrame:
+    """Words of each document that a repeated run of ``size`` words covers, but for its first place.
+
+    Like :func:`repeated_spans`, the ranges being of word numbers. A run begins and ends
+    at any word. Of a run that overlaps its own first place, only what lies behind that
+    place counts. First the places of the least grams are counted; then only runs whose least gram repeats are hashed and shuffled.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("passages",), dict)
+        for batch in small(batches):
+            found = []
+            for text in texts(batch):
+                _, grams, least = runs_of_words(text, size)
+                if len(least):
+                    distinct, n = np.unique(grams, return_counts=True)
+                    at = np.searchsorted(distinct, np.unique(least))
+                    found.append((distinct[at], n[at]))
+            if not found:
+                continue
+            marks, places = (np.concatenate(part) for part in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(places.astype(np.int64))], names=["mark", "n"])
+
+    def table(group: pa.Table) -> pa.Table:
+        bits = np.zeros(_PIECE, np.uint8)
+        bits[group.column("bit").to_numpy() % _PIECE] = 1
+        return pa.table({"piece": group.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    wanted = _wanted(docs)
+    marks = materialize(
+        wanted.mapInArrow(mark, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1"), "passages-marks"
+    )
+    bit = F.pmod("mark", F.lit(_BITS))
+    placed_at = marks.select(bit.alias("bit"), F.expr(f"pmod(mark, {_BITS}L) div {_PIECE}").alias("piece")).distinct()
+    pieces = placed_at.groupBy("piece").applyInArrow(table, "piece long, bits binary").collect()
+    repeats = np.zeros(_BITS // 8, np.uint8)
+    for piece, bits in pieces:
+        repeats[piece * _PIECE // 8 : (piece + 1) * _PIECE // 8] = np.frombuffer(bits, np.uint8)
+    least = max(_COLD, (marks.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = [row[0] for row in marks.where(F.col("n") > least).select("mark").collect()]
+    sent = docs.sparkSession.sparkContext.broadcast((repeats, np.array(hot, np.int64).view(np.uint64)))
+
+    def cut(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept(("passages",), dict)
+            repeats, hot = sent.value
+            for batch in small(batches, 256):
+                owner, first, digests = [], [], []
+                for row, text in enumerate(texts(batch)):
+                    hashes, _, least = runs_of_words(text, size)
+                    at = (least.view(np.int64) % _BITS).astype(np.int64)
+                    chosen = (repeats[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                    if len(hot):
+                        chosen &= np.isin(least, hot) == asked
+                    starts = np.flatnonzero(chosen)
+                    content = hashes.tobytes()
+                    digests += [xxhash.xxh3_128_digest(content[8 * i : 8 * (i + size)]) for i in starts.tolist()]
+                    owner.append(np.full(len(starts), row))
+                    first.append(starts)
+                yield _placed(batch, owner, digests, first, [f + (size - 1) for f in first])
+
+        return wanted.mapInArrow(run, _SPANS)
+
+    start = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie", "first")
+    cold = cut(False).withColumn("kept", F.min(start).over(Window.partitionBy("h1", "h2")))
+    again = cold.where(start != F.col("kept")).select("doc_id", "tie", "first", "last", "kept")
+    if hot:
+        again = again.unionByName(_again(materialize(cut(True), "passages-hot")).select(*again.columns))
+    own = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tie") == F.col("kept.tie"))
+    behind = F.when(own, F.greatest("first", F.col("kept.first") + size)).otherwise(F.col("first")).cast("int")
+    return _ranges(again.withColumn("first", behind).where("first <= last"), "passages-runs")
+
+
+def _wanted(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), tie_of(F.col("text")).alias("tie"), F.col("text").cast("string").alias("text")
+    )
+
+
+def _placed(batch: pa.RecordBatch, owner: list, digests: list[bytes], first: list, last: list) -> pa.RecordBatch:
+    """Rows of ``_SPANS``, ``owner`` being their rows in the batch."""
+    owner, first, last = (np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64) for part in (owner, first, last))
+    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    columns = [
+        batch.column("doc_id").take(pa.array(owner)),
+        batch.column("tie").take(pa.array(owner)),
+        pa.array(np.ascontiguousarray(halves[:, 0])),
+        pa.array(np.ascontiguousarray(halves[:, 1])),
+        pa.array(first.astype(np.int32)),
+        pa.array(last.astype(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "h1", "h2", "first", "last"])
+
+
 def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int = 50) -> DataFrame:
     """Sentences of each document that a repeated span covers, but for its first place.
 
@@ -97,10 +226,11 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int
                 names=["doc_id", "tie", "h1", "h2", "first", "last"],
             )
 
-    wanted = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), tie_of(F.col("text")).alias("tie"), F.col("text").cast("string").alias("text")
-    )
-    placed = materialize(wanted.mapInArrow(cut, _SPANS), "passages-spans")
+    return _ranges(_again(materialize(_wanted(docs).mapInArrow(cut, _SPANS), "passages-spans")), "passages-repeated")
+
+
+def _again(placed: DataFrame) -> DataFrame:
+    """The places of repeated spans but for the first, which is in ``kept``."""
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie", "first")
     often = materialize(
         placed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")).where("n > 1"),
@@ -108,11 +238,14 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int
     )
     hot = often.where(F.col("n") * HOT_SHARE > placed.count())
     # By a shuffle at any size: what repeats grows with the corpus.
-    again = join_by_key(
+    return join_by_key(
         placed, often.drop("n"), ["h1", "h2"], "inner", ["doc_id", "first"], fits=False, hot=hot
     ).where(place != F.col("kept"))
+
+
+def _ranges(again: DataFrame, name: str) -> DataFrame:
     ranges = again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    return materialize(ranges.withColumn("ranges", _merged(F.array_sort("ranges"))), "passages-repeated")
+    return materialize(ranges.withColumn("ranges", _merged(F.array_sort("ranges"))), name)
 
 
 def _merged(ranges: Column) -> Column:
@@ -124,35 +257,47 @@ def _merged(ranges: Column) -> Column:
         joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
         return F.when(one["first"] <= last["last"] + 1, joined).otherwise(F.concat(done, F.array(one)))
 
-    return F.aggregate(ranges, F.array().cast("array<struct<first:int,last:int>>"), add)
+    return F.aggregate(ranges, F.array().cast(_RANGES), add)
 
 
 def tie_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _without(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-    """The text without the sentences in the ranges, and what was removed."""
+def _without(text: pd.Series, ranges: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """The text without the sentences and words in the ranges, and what was removed."""
     kept, gone = [], []
-    for content, own in zip(text, ranges, strict=True):
-        if content is None or own is None:
+    for content, own, inner in zip(text, ranges, runs, strict=True):
+        if content is None or (own is None and inner is None):
             kept.append(content)
             gone.append([])
             continue
         cut = sentences(content)
-        covered = np.zeros(len(cut) + 1, np.int64)
-        for r in own:
-            covered[r["first"]] += 1
-            covered[r["last"] + 1] -= 1
-        covered = np.cumsum(covered[:-1]) > 0
-        kept.append("".join(content[a:b] for (a, b), c in zip(cut, covered, strict=True) if not c))
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-        gone.append([content[cut[a][0] : cut[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+        parts = [(cut[r["first"]][0], cut[r["last"]][1]) for r in (own if own is not None else [])]
+        if inner is not None:
+            at = [m.span() for m in _WORD.finditer(content)]
+            # The white space behind a run goes with it.
+            ends = [a for a, _ in at[1:]] + [len(content)]
+            parts += [(at[r["first"]][0], ends[r["last"]]) for r in inner]
+        joined: list[list[int]] = []
+        for a, b in sorted(parts):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        edges = [0, *(x for part in joined for x in part), len(content)]
+        kept.append("".join(content[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        gone.append([content[a:b] for a, b in joined])
     return pd.DataFrame({"text": kept, "removed": gone})
 
 
 def drop_repeated_passages(
-    docs: DataFrame, least: int = 3, words: int = 15, enough: int = 50, report: str | None = "removed"
+    docs: DataFrame,
+    least: int = 3,
+    words: int = 15,
+    enough: int = 50,
+    report: str | None = "removed",
+    anywhere: int | None = None,
 ) -> DataFrame:
     """``docs`` without repeated passages, those taken out being in the column ``report``.
 
@@ -160,12 +305,24 @@ def drop_repeated_passages(
     columns stay, and so do all rows: a document that consists of repeated
     passages ends with an empty text. Texts without a repeated span, null ones among
     them, are as they were. Short sentences repeat by chance, so only spans of ``least``
-    sentences and ``words`` words, or of ``enough`` words, count.
+    sentences and ``words`` words, or of ``enough`` words, count. With ``anywhere``, runs
+    of that many words count as well, wherever in a sentence they begin and end.
     """
     ranges = repeated_spans(docs, least, words, enough)
+    if anywhere:
+        runs = repeated_runs(docs, anywhere).withColumnRenamed("ranges", "runs")
+        # Each has a document once; by union, since a missing number equals none in a join.
+        both = ranges.withColumn("runs", F.lit(None).cast(_RANGES)).unionByName(
+            runs.withColumn("ranges", F.lit(None).cast(_RANGES))
+        )
+        ranges = both.groupBy("doc_id", "tie").agg(F.first("ranges", True).alias("ranges"), F.first("runs", True).alias("runs"))
+        ranges = materialize(ranges, "passages-both")
+    else:
+        ranges = ranges.withColumn("runs", F.lit(None).cast(_RANGES))
     names = ["_id", "_tie"]
     ranges = ranges.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("tie").alias("_tie"), F.col("ranges").alias("_ranges")
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("tie").alias("_tie"),
+        F.struct("ranges", "runs").alias("_ranges"),
     )
     rows = docs.select(
         F.struct("*").alias("row"),
@@ -175,7 +332,7 @@ def drop_repeated_passages(
     joined = join_by_key(rows, ranges, names, "left", names)
     touched, text = F.col("_ranges").isNotNull(), F.col("row").getField("text").cast("string")
     without = F.pandas_udf(_without, "text string, removed array<string>")
-    done = joined.withColumn("_done", without(F.when(touched, text), F.col("_ranges")))
+    done = joined.withColumn("_done", without(F.when(touched, text), F.col("_ranges.ranges"), F.col("_ranges.runs")))
     kept = [
         F.when(touched, F.col("_done.text")).otherwise(text).alias(name)
         if name == "text"

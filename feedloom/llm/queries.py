@@ -99,7 +99,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_repeated_passages(docs, least=3, words=15, enough=50)
+    return drop_repeated_passages(docs, least=3, words=15, enough=50, anywhere=50)
 
 
 QUERIES = {

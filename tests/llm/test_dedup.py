@@ -8,6 +8,8 @@ import pytest
 from feedloom.llm.components import components
 from feedloom.llm.exact import directory, drop_exact_duplicates, exact_duplicates
 from feedloom.llm.minhash import _similar, choose_bands, drop_near_duplicates, gram_set, near_duplicates
+from feedloom.llm import passages
+from feedloom.llm.queries import op10_passages
 from feedloom.llm.passages import drop_repeated_passages, sentences, spans
 
 
@@ -159,6 +161,55 @@ def test_passages_against_brute_force(cases, spark):
         assert out[doc_id] == kept
 
 
+def repeated_words(texts, size):
+    """Words that a run of ``size`` words covers whose first place is elsewhere, as tuples."""
+    first, out = {}, []
+    for n, text in enumerate(texts):
+        words = text.split()
+        covered = set()
+        for i in range(len(words) - size + 1):
+            doc, at = first.setdefault(tuple(words[i : i + size]), (n, i))
+            if (doc, at) != (n, i):
+                covered |= set(range(max(i, at + size) if doc == n else i, i + size))
+        out.append(covered)
+    return out
+
+
+@pytest.mark.parametrize("cold", [20_000, 1])
+def test_shared_runs_of_words_against_brute_force(spark, monkeypatch, cold):
+    """Passages glued in mid-sentence; with ``cold`` 1 all that repeats takes the way of hot runs."""
+    monkeypatch.setattr(passages, "_COLD", cold)
+    monkeypatch.setattr(passages, "HOT_SHARE", 1_000_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    glued = " ".join(f"glued{i}{'.' if i in (20, 43) else ''}" for i in range(60))
+    short = " ".join(f"short{i}" for i in range(49))
+    top = max(r[0] for r in rows)
+    rows += [(top + i, f"Host{i} begins{i} {glued} and{i} it\n goes on{i}. Then{i} {short} ends{i}.") for i in (1, 2, 3)]
+    rows += [(top + 4, "spam " * 120), (top + 5, "one two three " * 60 + "end")]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    by = sorted(rows)
+    expected = repeated_words([text for _, text in by], 50)
+    found = {r.doc_id: {w for p in r.ranges for w in range(p.first, p.last + 1)} for r in passages.repeated_runs(given, 50).collect()}
+    assert found == {doc_id: words for (doc_id, _), words in zip(by, expected) if words}
+    assert sum(len(e) for e in expected) > 2000
+    out = {r.doc_id: r for r in drop_repeated_passages(given, anywhere=50).collect()}
+    assert out[top + 1].text == rows[-5][1] and "glued" not in out[top + 2].text
+    assert out[top + 2].text == f"Host2 begins2 and2 it\n goes on2. Then2 {short} ends2."
+    assert out[top + 2].removed == [glued + " "]
+    for (doc_id, text), words in zip(by, expected):
+        whole = "".join(out[doc_id].removed).split()
+        assert len(whole) + len(out[doc_id].text.split()) == len(text.split()) and len(whole) >= len(words)
+
+
+def test_the_query_removes_what_is_glued_in_mid_sentence(spark, tmp_path):
+    glued = " ".join(f"glued{i}" for i in range(55))
+    rows = [(i, f"Host says{i} {glued} and{i} ends.") for i in (1, 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.text for r in op10_passages(spark, str(tmp_path)).collect()}
+    assert out == {1: rows[0][1], 2: "Host says2 and2 ends."}
+
+
 def test_long_sentences_count_alone():
     one = " ".join(f"w{i}" for i in range(60)) + "."
     assert [s[:2] for s in spans("Short. " + one + " Short.", 3, 15, 50)] == [(0, 1), (1, 1), (1, 2)]
