@@ -3,7 +3,8 @@
 Byte-level BPE first cuts a text into words and merges inside them only. The library
 spends most of its time on the cutting, so that is done here for texts in Latin letters,
 and the library's model merges each word once per worker. Texts with other letters are
-left to the library as a whole, whose own tables of letters decide there.
+left to the library as a whole, whose own tables of letters decide there; so are those with
+the name of an added token, such as <|endoftext|>, which has an id of its own.
 """
 
 from __future__ import annotations
@@ -77,16 +78,24 @@ class WordEncoder:
     """Ids as little-endian bytes, ``dtype`` being the narrowest that holds the vocabulary.
 
     ``most_words`` and ``most_stretches`` bound what is kept; when one is reached the
-    worker starts anew, which changes speed and nothing else.
+    worker starts anew, which changes speed and nothing else. With ``added``, the name of an
+    added token in a text has the token's id, as by the library's own call; else it is
+    ordinary text.
     """
 
     def __init__(
-        self, path: str, most_words: int = 500_000, most_stretches: int = 200_000, longest: int = 40
+        self,
+        path: str,
+        most_words: int = 500_000,
+        most_stretches: int = 200_000,
+        longest: int = 40,
+        added: bool = False,
     ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._library = Tokenizer.from_file(path)
-        # The names of special tokens in a text are ordinary text.
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = not added
+        tokens = self._library.get_added_tokens_decoder().values() if added else ()
+        self._names = tuple(token.content for token in tokens)
         self.dtype = dtype_for(self._library.get_vocab_size())
         self._most_words, self._most_stretches = most_words, most_stretches
         self._words = _Words(self._library.model, self.dtype)
@@ -96,7 +105,7 @@ class WordEncoder:
         return [self._encode(text) for text in texts]
 
     def _encode(self, text: str) -> bytes:
-        if _left_to_library(text):
+        if _left_to_library(text) or any(name in text for name in self._names):
             ids = self._library.encode(text, add_special_tokens=False).ids
             return np.array(ids, self.dtype).tobytes()
         if len(self._stretches) > self._most_stretches:
@@ -121,4 +130,4 @@ def dtype_for(vocabulary: int) -> str:
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder of a file."""
-    return kept(("words", path), lambda: WordEncoder(path))
+    return kept(("words", path), lambda: WordEncoder(path, added=True))

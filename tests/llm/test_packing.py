@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from feedloom.llm.packing import pack, shortest_pack_first
 from feedloom.llm.queries import BYTE_BPE
-from feedloom.llm.tokens import WordEncoder
+from feedloom.llm.tokens import WordEncoder, encoder
 from feedloom.llm.wavelet import (
     WaveletFile,
     count_tokens,
@@ -34,6 +34,15 @@ def test_words_are_encoded_as_by_the_library(library, cases):
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_the_operators_ids_are_those_of_an_untouched_library():
+    plain, own = Tokenizer.from_file(BYTE_BPE), encoder(BYTE_BPE)
+    named = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n", "日本<|endoftext|>", "<|endoftext |>"]
+    for text in [*HARD, *named]:
+        ids = np.frombuffer(own.encode([text])[0], own.dtype).tolist()
+        assert ids == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in plain.encode(named[1], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_packs_are_full_and_every_token_is_placed(seed):
     rng = np.random.default_rng(seed)
