@@ -1,4 +1,4 @@
-"""The ten operators over the given tables, with production parameters."""
+"""The operators over the given tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.ann import nearest
 from feedloom.llm.common import table
+from feedloom.llm.conversations import damaged, repair_report
 from feedloom.llm.exact import exact_duplicates
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
@@ -102,8 +103,24 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50, anywhere=50)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
 QUERIES = {
-    "op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_wavelet": op3_wavelet, "op4_quality": op4_quality, "op5_warc": op5_warc, "op6_minhash": op6_minhash, "op7_url_filter": op7_url_filter, "op8_ann": op8_ann, "op9_exact_dedup": op9_exact_dedup, "op10_passages": op10_passages}
+    "op1_packing": op1_packing,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_wavelet": op3_wavelet,
+    "op4_quality": op4_quality,
+    "op5_warc": op5_warc,
+    "op6_minhash": op6_minhash,
+    "op7_url_filter": op7_url_filter,
+    "op8_ann": op8_ann,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_passages": op10_passages,
+    "op13_conversation_repair": op13_conversation_repair,
+}
 
 # Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -150,4 +167,88 @@ ORACLES: dict[str, str] = {
               FROM documents)
         WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
     """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t
+            FROM (SELECT unnest(range(256))::BIGINT AS i)),
+        hit AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT,
+                           list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                          lambda c: ascii(c)::BIGINT)),
+                       lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS fate
+            FROM conversations, crc),
+        damaged AS (
+            SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE fate WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM hit WHERE fate <> 0),
+        placed AS (
+            SELECT *, row_number() OVER w AS pos, substr(role, 1, 1) AS initial,
+                   lag(substr(role, 1, 1)) OVER w AS previous,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS later,
+                   regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS solid
+            FROM damaged
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+        faults AS (
+            SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN later THEN 'duplicate'
+                           WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+            FROM placed),
+        counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faults GROUP BY conv_id),
+        -- From the end: the cheapest way on from each state (0 start, 1 s, 2 u, 3 a), as cost and letters.
+        ways AS (
+            SELECT conv_id, n AS pos, {'c': 0, 'l': ''} AS w0, {'c': 4, 'l': 'II'} AS w1, {'c': 2, 'l': 'I'} AS w2, {'c': 0, 'l': ''} AS w3
+            FROM counted
+            UNION ALL
+            SELECT conv_id, pos, least(d0, {'c': least(d2, i2).c + 2, 'l': 'I' || least(d2, i2).l}),
+                   least(d1, {'c': least(d2, i2).c + 2, 'l': 'I' || least(d2, i2).l}),
+                   least(d2, i2), least(d3, {'c': d2.c + 2, 'l': 'I' || d2.l})
+            FROM (
+                SELECT *, {'c': d3.c + 2, 'l': 'I' || d3.l} AS i2 FROM (
+                    SELECT w.conv_id, w.pos - 1 AS pos,
+                           least(x0, CASE WHEN NOT gone THEN {'c': w2.c + cut + 2, 'l': 'R' || w2.l} ELSE x0 END,
+                                 CASE WHEN NOT gone AND initial = 'u' THEN {'c': w2.c + cut, 'l': 'K' || w2.l}
+                                      WHEN NOT gone AND initial = 's' THEN {'c': w1.c + cut, 'l': 'K' || w1.l} ELSE x0 END) AS d0,
+                           least(x1, CASE WHEN NOT gone THEN {'c': w2.c + cut + 2, 'l': 'R' || w2.l} ELSE x1 END,
+                                 CASE WHEN NOT gone AND initial = 'u' THEN {'c': w2.c + cut, 'l': 'K' || w2.l} ELSE x1 END) AS d1,
+                           least(x2, CASE WHEN NOT gone THEN {'c': w3.c + cut + 2, 'l': 'R' || w3.l} ELSE x2 END,
+                                 CASE WHEN NOT gone AND initial = 'a' THEN {'c': w3.c + cut, 'l': 'K' || w3.l} ELSE x2 END) AS d2,
+                           least(x3, CASE WHEN NOT gone THEN {'c': w2.c + cut + 2, 'l': 'R' || w2.l} ELSE x3 END,
+                                 CASE WHEN NOT gone AND initial = 'u' THEN {'c': w2.c + cut, 'l': 'K' || w2.l} ELSE x3 END) AS d3
+                    FROM (SELECT *, {'c': w0.c + 3, 'l': 'D' || w0.l} AS x0, {'c': w1.c + 3, 'l': 'D' || w1.l} AS x1,
+                                 {'c': w2.c + 3, 'l': 'D' || w2.l} AS x2, {'c': w3.c + 3, 'l': 'D' || w3.l} AS x3
+                          FROM ways WHERE pos > 0) w
+                    JOIN (SELECT conv_id AS id, pos AS place, initial, fault IN ('blank', 'duplicate') AS gone,
+                                 (fault = 'truncated')::INT AS cut FROM faults) f
+                      ON id IS NOT DISTINCT FROM w.conv_id AND place = w.pos))),
+        best AS (SELECT conv_id, w0.c AS cost, w0.l AS audit FROM ways WHERE pos = 0),
+        edits AS (
+            SELECT conv_id, i, substr(audit, i, 1) AS letter,
+                   i - length(replace(substr(audit, 1, i), 'I', '')) AS ins,
+                   i - length(replace(substr(audit, 1, i - 1), 'D', '')) AS gone
+            FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM best)),
+        made AS (
+            SELECT e.conv_id, i, e.letter, role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY e.conv_id ORDER BY i) AS k,
+                   first(letter = 'K' AND initial = 's') OVER (PARTITION BY e.conv_id ORDER BY i) AS led
+            FROM edits e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND letter <> 'I' AND pos = i - ins
+            WHERE letter <> 'D'),
+        lines AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - coalesce(led, false)::INT) % 2 = 1 THEN 'user'
+                                            ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS whole
+            FROM made GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
