@@ -10,6 +10,7 @@ from feedloom.llm.ann import nearest
 from feedloom.llm.common import table
 from feedloom.llm.conversations import damaged, repair_report
 from feedloom.llm.exact import exact_duplicates
+from feedloom.llm.lexical import ranked_search
 from feedloom.llm.minhash import near_duplicates
 from feedloom.llm.packing import pack
 from feedloom.llm.passages import drop_repeated_passages
@@ -103,6 +104,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50, anywhere=50)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return repair_report(damaged(conversations), conversations)
@@ -119,6 +124,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
+    "op12_ranked_search": op12_ranked_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -167,6 +173,23 @@ ORACLES: dict[str, str] = {
               FROM documents)
         WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+              WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+              FROM p, c GROUP BY term, n_docs),
+        m AS (SELECT doc_id, 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, c WHERE len(terms) > 0),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+              FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+    """,
     "op13_conversation_repair": r"""
         WITH RECURSIVE crc AS (
             SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
