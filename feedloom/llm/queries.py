@@ -16,6 +16,7 @@ from feedloom.llm.packing import pack
 from feedloom.llm.passages import drop_repeated_passages
 from feedloom.llm.pieces import decode_pieces, encode_pieces
 from feedloom.llm.quality import quality
+from feedloom.llm.resharding import lay_out, near_equal, reshard, vacuum
 from feedloom.llm.urlfilter import filter_urls, host_of, path_of
 from feedloom.llm.warc import read_warc, write_warc
 from feedloom.llm.wavelet import read_tokens, write_tokens
@@ -104,6 +105,22 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(docs, least=3, words=15, enough=50, anywhere=50)
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty shards by source, of which one or two are far too large, become 24 even ones."""
+    old = lay_out(table(spark, sf_dir, "documents"), 20, F.pmod(F.xxhash64("source"), F.lit(20)))
+    new = reshard(old, near_equal(sum(old.sizes()), 24))
+    vacuum(old, new)
+    return new.read(columns=("row.doc_id", "row.text")).select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -124,6 +141,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_passages": op10_passages,
+    "op11_resharding": op11_resharding,
     "op12_ranked_search": op12_ranked_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
