@@ -296,7 +296,8 @@ def reshard(
     rows written behind what the new shards keep. `vacuum` deletes the files they were in.
 
     Shards differ from their capacities by less than a document where moving ones include
-    short ones: the last ``free`` documents of each transfer even them out. Every row
+    short ones: the last ``free`` documents of each transfer go wherever room is left, at
+    whatever cost, and even them out. Every row
     is in one shard, whatever its columns hold; equal rows are rows of their own. A store
     without rows has no files before and after.
     """
