@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import latest_instant
+from feedloom.functions.dates import instant, latest_instant, midnight
 from feedloom.operators.metrics import fill_days
 from feedloom.session import scratch_path
 from feedloom.sources.news import read_news
 from feedloom.sources.payload import write_payload
 from feedloom.streaming.metrics import (
+    compact_rollup,
     read_rollup,
     rollup_categories,
     rollup_daily,
+    rollup_kpis,
     rollup_totals,
     stream_daily,
     stream_rollup,
@@ -119,17 +121,29 @@ def stream_daily_bars(spark, sf_dir):
     return bars.withColumn("day", F.col("day").cast("string"))
 
 
+# Three moments: the newest row's, one between minutes, and a midnight.
+_EARLIER = "INTERVAL 96425123456 MICROSECONDS"
+
+
 @query(
     f"""
-    WITH daily AS ({_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']")})
+    WITH daily AS ({_sql_daily("events", "ts", "['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']")}),
+         moments AS (SELECT unnest([m, m - {_EARLIER}, date_trunc('day', m)]) AS now FROM (SELECT {_SQL_NOW} AS m)),
+         sliding AS (SELECT now, count_if(ts >= now - INTERVAL 168 HOUR)::BIGINT AS week,
+                            count_if(ts >= date_trunc('day', now))::BIGINT AS today,
+                            count_if(ts >= date_trunc('day', now - INTERVAL 3 HOUR) + INTERVAL 3 HOUR)::BIGINT AS there
+                     FROM events, moments GROUP BY now)
     SELECT 'category' AS kind, event_type AS name, count(*) AS value FROM events GROUP BY event_type
     UNION ALL SELECT 'total', 'rows', count(*) FROM events
     UNION ALL SELECT 'total', 'sources', count(DISTINCT user_id) FROM events
     UNION ALL SELECT 'day', day, count FROM daily
+    UNION ALL SELECT 'week', strftime(now, {SQL_STAMP}), week FROM sliding
+    UNION ALL SELECT 'today', strftime(now, {SQL_STAMP}), today FROM sliding
+    UNION ALL SELECT 'today in -3', strftime(now, {SQL_STAMP}), there FROM sliding
     """
 )
 def stream_metrics(spark, sf_dir):
-    """The dashboard's numbers from the rolled-up counts of a stream."""
+    """The dashboard's numbers from the rolled-up counts of a stream, folded in between."""
     events = table(spark, sf_dir, "events")
     now = latest_instant(events, "ts")
     inserted = _event_stream(spark, sf_dir).select(
@@ -147,9 +161,19 @@ def stream_metrics(spark, sf_dir):
         )
 
     totals = rollup_totals(rollup)
-    return (
+    found = (
         rows(rollup_categories(rollup), "category", F.col("name"), F.col("value"))
         .unionByName(rows(totals, "total", F.lit("rows"), F.col("total")))
         .unionByName(rows(totals, "total", F.lit("sources"), F.col("active_sources")))
         .unionByName(rows(rollup_daily(rollup, now), "day", F.col("day"), F.col("count")))
     )
+    compact_rollup(spark, path)
+    moments = [instant(now), instant(now) - F.expr(_EARLIER), midnight(now)]
+    for moment in moments:
+        utc, there = rollup_kpis(spark, path, moment), rollup_kpis(spark, path, moment, "America/Sao_Paulo")
+        found = (
+            found.unionByName(rows(utc, "week", stamp(moment), F.col("week_total")))
+            .unionByName(rows(utc, "today", stamp(moment), F.col("today_total")))
+            .unionByName(rows(there, "today in -3", stamp(moment), F.col("today_total")))
+        )
+    return found
