@@ -13,6 +13,8 @@ from feedloom.functions.dates import Instant, recent_cutoff
 from feedloom.functions.fixed import RECENT_HOURS
 from feedloom.operators.publish import KEY, append_new
 from feedloom.schema import ARTICLE
+from feedloom.session import materialize
+from feedloom.sources.landing import landed_articles
 from feedloom.sources.payload import CORRUPT, article_reader
 
 
@@ -65,13 +67,7 @@ def stream_publish(
         numbered = batch.withColumn("payload_row", F.monotonically_increasing_id()).persist()
         try:
             append_new(batch.sparkSession, numbered, news, clock())
-            corrupt = F.col(CORRUPT).isNotNull()
-            unkeyed = numbered.where(F.col(KEY).isNull()).select(
-                F.coalesce(CORRUPT, F.to_json(F.struct(*ARTICLE.names))).alias("text"),
-                "payload_file",
-                F.when(corrupt, "unreadable").otherwise("no source_url").alias("reason"),
-            )
-            unkeyed.write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
+            _write_rejects(numbered, f"{rejects}/batch_id={batch_id}")
         finally:
             numbered.unpersist()
 
@@ -83,6 +79,72 @@ def stream_publish(
     )
 
 
+def _write_rejects(rows: DataFrame, path: str) -> None:
+    """Keep rows that cannot be published, with the reason."""
+    unkeyed = rows.where(F.col(KEY).isNull()).select(
+        F.coalesce(CORRUPT, F.to_json(F.struct(*ARTICLE.names))).alias("text"),
+        "payload_file",
+        F.when(F.col(CORRUPT).isNotNull(), "unreadable").otherwise("no source_url").alias("reason"),
+    )
+    unkeyed.write.mode("overwrite").json(path)
+
+
+def _slices(rows: DataFrame, files: int | None) -> list[tuple[datetime, datetime] | None]:
+    """First and last times of slices of at least ``files`` files, none part of a moment.
+
+    The files of a micro-batch are listed on the driver anyway, to plan it.
+    """
+    if not files:
+        return [None]
+    moments = rows.groupBy("payload_time").agg(F.count_distinct("payload_file").alias("n"))
+    slices, held = [], 0
+    for moment, n in moments.orderBy("payload_time").collect():
+        if held == 0:
+            slices.append((moment, moment))
+        slices[-1] = (slices[-1][0], moment)
+        held = held + n if held + n < files else 0
+    return slices
+
+
+def stream_publish_ordered(
+    spark: SparkSession,
+    landing: str,
+    news: str,
+    checkpoint: str,
+    clock: Callable[[], Instant] = _utc_now,
+    array: bool = False,
+    rejects: str | None = None,
+    files_per_publication: int | None = None,
+    settle: float = 2.0,
+    interval: str | None = None,
+) -> StreamingQuery:
+    """:func:`stream_publish` by a source whose offsets are times of arrival.
+
+    A micro-batch takes everything between two of these, see
+    :func:`feedloom.sources.landing.landed_articles`, and never part of the files of one
+    moment. It is published in slices of about ``files_per_publication`` files, whole moments
+    each, or at once. The copy of a URL that came first wins whatever the size of batches
+    and slices, also among files of equal time, which go by name. ``interval`` keeps the
+    stream running; None takes what is there and stops.
+    """
+    rejects = rejects or f"{news.rstrip('/')}-rejects"
+
+    def publish_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch, "landed")
+        for times in _slices(rows, files_per_publication):
+            part = rows if times is None else rows.where(F.col("payload_time").between(*map(F.lit, times)))
+            append_new(batch.sparkSession, part, news, clock())
+        _write_rejects(rows, f"{rejects}/batch_id={batch_id}")
+
+    return (
+        landed_articles(spark, landing, array, settle)
+        .writeStream.foreachBatch(publish_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**({"availableNow": True} if interval is None else {"processingTime": interval}))
+        .start()
+    )
+
+
 def stream_dedupe(
     sdf: DataFrame,
     key: str = KEY,

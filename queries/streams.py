@@ -19,7 +19,7 @@ from feedloom.streaming.metrics import (
     stream_daily,
     stream_rollup,
 )
-from feedloom.streaming.publish import stream_dedupe, stream_publish, stream_recent
+from feedloom.streaming.publish import stream_dedupe, stream_publish, stream_publish_ordered, stream_recent
 from queries import query
 from queries.inputs import SQL_NEWS, SQL_STAMP, news_view, stamp, table
 from queries.reports import _SQL_NOW, _sql_daily
@@ -74,6 +74,46 @@ def stream_published(spark, sf_dir):
     )
 
 
+def _set_times(spark, folder, moment):
+    """Give the files of a folder one time of arrival, as a store would."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(hadoop)
+    for found in store.listStatus(path):
+        store.setTimes(found.getPath(), moment * 1000, -1)
+
+
+@query(
+    f"""
+    SELECT files, sha256(source_url) AS id, source_url, category, source_name, title_en
+    FROM ({SQL_NEWS}), (SELECT unnest(['1', '2', 'all']) AS files)
+    QUALIFY row_number() OVER (PARTITION BY files, source_url
+                               ORDER BY CASE doc_id % 3 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END, doc_id) = 1
+    """
+)
+def stream_publish_order(spark, sf_dir):
+    """Three payloads, two of one moment; their names go against the times of arrival.
+
+    Published in slices of at least one file, of two, and all at once.
+    """
+    rows, landing = news_view(spark, sf_dir), scratch_path(spark, "landing")
+    for rest, folder, moment in ((0, "c", 1_700_000_000), (1, "b", 1_700_000_060), (2, "a", 1_700_000_060)):
+        write_payload(rows.where(F.col("doc_id") % 3 == rest), f"{landing}/{folder}", ("doc_id",))
+        _set_times(spark, f"{landing}/{folder}", moment)
+    found = None
+    for files, name in ((1, "1"), (2, "2"), (None, "all")):
+        news = scratch_path(spark, "news")
+        stream_publish_ordered(
+            spark, landing, news, scratch_path(spark, "order-checkpoint"), clock=lambda: "2024-02-01 12:00:00",
+            files_per_publication=files, settle=0,
+        ).awaitTermination()
+        part = read_news(spark, news).select(
+            F.lit(name).alias("files"), "id", "source_url", "category", "source_name", "title_en"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query(
     f"""
     SELECT event_id, strftime(ts, {SQL_STAMP}) AS ts FROM events
