@@ -73,13 +73,18 @@ def publish(batch: DataFrame, news: DataFrame, now: Instant, order: Sequence[str
     """
     keyed = batch.where(F.col(KEY).isNotNull())
     fresh = _without_known(first_by_key(keyed, KEY, list(order)), *_known_keys(keyed, news))
+    return with_derived(fresh, now, order)
+
+
+def with_derived(fresh: DataFrame, now: Instant, order: Sequence[str]) -> DataFrame:
+    """Rows that are new to the table, in its shape, with the ``order`` columns behind."""
     published_at = instant(now)
     derived = {
         "id": F.sha2(F.col(KEY), 256),
         "published_at": published_at,
         "published_date": day_key(published_at),
     }
-    if "entry_published_at" not in batch.columns:
+    if "entry_published_at" not in fresh.columns:
         derived["entry_published_at"] = F.lit(None).cast("timestamp")
     return fresh.withColumns(derived).select(*NEWS.names, *[c for c in order if c not in NEWS.names])
 

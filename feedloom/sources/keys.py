@@ -149,6 +149,13 @@ def days_of(spark: SparkSession, path: str, ids: DataFrame) -> list[str | None]:
     return _days(_keys_of(spark, path, state["runs"], buckets).join(wanted, "id", "left_semi"))
 
 
+def all_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Every id of the table, by its index if there is one; an id may come more than once."""
+    state = versions.newest(spark, _keys_path(path))
+    keys = _keys_of(spark, path, state["runs"]) if state["version"] else _named(_table(spark, path))
+    return keys.select("id")
+
+
 def _days(found: DataFrame) -> list[str | None]:
     return [row[0] for row in found.select(F.col("published_date").cast("string")).distinct().collect()]
 

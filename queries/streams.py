@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import instant, latest_instant, midnight
 from feedloom.operators.metrics import fill_days
+from feedloom.operators.publish import append_new
 from feedloom.session import scratch_path
 from feedloom.sources.news import read_news
-from feedloom.sources.payload import write_payload
+from feedloom.sources.payload import read_payload, write_payload
 from feedloom.streaming.metrics import (
     compact_rollup,
     read_rollup,
@@ -20,6 +21,7 @@ from feedloom.streaming.metrics import (
     stream_rollup,
 )
 from feedloom.streaming.publish import stream_dedupe, stream_publish, stream_publish_ordered, stream_recent
+from feedloom.streaming.unique import stream_publish_unique
 from queries import query
 from queries.inputs import SQL_NEWS, SQL_STAMP, news_view, stamp, table
 from queries.reports import _SQL_NOW, _sql_daily
@@ -114,6 +116,34 @@ def stream_publish_order(spark, sf_dir):
     return found
 
 
+@query(
+    f"""
+    SELECT sha256(source_url) AS id, source_url, category, source_name, title_en, summary_en
+    FROM ({SQL_NEWS})
+    QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY doc_id % 3, doc_id) = 1
+    """
+)
+def stream_unique(spark, sf_dir):
+    """A stored table, then two runs of a stream that knows its URLs, then all of it replayed.
+
+    The last run has lost its checkpoint: it reads every file again and adds nothing.
+    """
+    rows, landing = news_view(spark, sf_dir), scratch_path(spark, "landing")
+    news, before = scratch_path(spark, "news"), scratch_path(spark, "payload")
+    write_payload(rows.where("doc_id % 3 = 0"), before, ("doc_id",))
+    append_new(spark, read_payload(spark, before), news, "2024-02-01 12:00:00")
+    checkpoints = [scratch_path(spark, "unique-checkpoint") for _ in range(2)]
+    for rest, checkpoint in ((1, checkpoints[0]), (2, checkpoints[0]), (None, checkpoints[1])):
+        if rest is not None:
+            write_payload(rows.where(F.col("doc_id") % 3 == rest), f"{landing}/{rest}", ("doc_id",))
+        stream_publish_unique(
+            spark, landing, news, checkpoint, clock=lambda: "2024-02-01 13:00:00", settle=0
+        ).awaitTermination()
+    return read_news(spark, news).select(
+        "id", "source_url", "category", "source_name", "title_en", "summary_en"
+    )
+
+
 @query(
     f"""
     SELECT event_id, strftime(ts, {SQL_STAMP}) AS ts FROM events
