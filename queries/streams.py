@@ -131,11 +131,13 @@ def stream_unique(spark, sf_dir):
     rows, landing = news_view(spark, sf_dir), scratch_path(spark, "landing")
     news, before = scratch_path(spark, "news"), scratch_path(spark, "payload")
     write_payload(rows.where("doc_id % 3 = 0"), before, ("doc_id",))
+    _set_times(spark, before, 1_700_000_000)
     append_new(spark, read_payload(spark, before), news, "2024-02-01 12:00:00")
     checkpoints = [scratch_path(spark, "unique-checkpoint") for _ in range(2)]
     for rest, checkpoint in ((1, checkpoints[0]), (2, checkpoints[0]), (None, checkpoints[1])):
         if rest is not None:
             write_payload(rows.where(F.col("doc_id") % 3 == rest), f"{landing}/{rest}", ("doc_id",))
+            _set_times(spark, f"{landing}/{rest}", 1_700_000_000 + rest)
         stream_publish_unique(
             spark, landing, news, checkpoint, clock=lambda: "2024-02-01 13:00:00", settle=0
         ).awaitTermination()
