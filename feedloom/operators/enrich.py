@@ -23,6 +23,7 @@ from feedloom.operators.harvest import first_rows
 from feedloom.operators.skew import join_by_key
 from feedloom.schema import ANSWER
 from feedloom.session import materialize
+from feedloom.sources.answers import AnswerStore
 
 Client = Callable[[], Callable[[str], Mapping[str, object] | None]]
 
@@ -66,12 +67,17 @@ def enrich(
     text: str | Column = "clean",
     out: str = "answer",
     parallelism: int | None = None,
+    answers: AnswerStore | None = None,
 ) -> DataFrame:
     """Add the model's answer to ``text`` to every row.
 
     As many calls run at once as there are tasks; ``parallelism`` redistributes
-    the rows first when the input has too few partitions for that.
+    the rows first when the input has too few partitions for that. With ``answers`` stored
+    ones are used, each other text is asked once, however many rows have it, and what comes
+    back is stored before this returns.
     """
+    if answers is not None:
+        return _enrich_once(df, client, text, out, parallelism, answers)
 
     ask, answer_type = _asker()
 
@@ -87,6 +93,24 @@ def enrich(
     return df.mapInArrow(call_batches, _with_answer(df, out)).drop("_text")
 
 
+def _enrich_once(
+    df: DataFrame, client: Client, text: str | Column, out: str, parallelism: int | None, answers: AnswerStore
+) -> DataFrame:
+    rows = df.withColumn("_asked", _column(text))
+    rows = materialize(rows.withColumn("_digest", answers.digest(F.col("_asked"))), "asked")
+    questions = rows.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first("_asked").alias("_asked"))
+    told = materialize(answers.known(questions, "_digest", ["_digest"]), "known")
+    missing = told.where(F.col("_known").isNull()).select("_digest", "_asked")
+    tasks = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    given = materialize(enrich(missing, client, "_asked", "_given", tasks), "given")
+    answers.add(given, "_digest", "_given")
+    all_answers = told.where(F.col("_known").isNotNull()).select("_digest", F.col("_known").alias(out)).unionByName(
+        given.select("_digest", F.col("_given").alias(out))
+    )
+    joined = join_by_key(rows, all_answers, ["_digest"], "left", ["_asked"])
+    return joined.select(*df.columns, out)
+
+
 def enrich_capped(
     df: DataFrame,
     client: Client,
@@ -97,6 +121,7 @@ def enrich_capped(
     n: int = ARTICLES_PER_FEED,
     blocks: tuple[int, ...] = (32, 256, 704),
     parallelism: int | None = None,
+    answers: AnswerStore | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each feed that get an answer, with few calls.
 
@@ -117,6 +142,9 @@ def enrich_capped(
     ``feed`` is a feed like any other; ``order`` must be unique within a feed. Each
     round is a Spark job, so this runs when called; it has ``parallelism`` tasks, by
     default about as many as there are shuffle partitions.
+
+    With ``answers`` a row whose text was answered before takes that answer, in its turn and
+    without a call; what a round is told is stored before the next begins.
     """
     order_cols = list(order)
     # One column that is never NULL, so that feeds without a value are joined as well.
@@ -133,13 +161,14 @@ def enrich_capped(
         call = client()
         rows = rows.sort_by([("_rank", "ascending")])
         missing = rows.column("_need")[0].as_py()
-        answers = []
-        for t in rows.column("_text").to_pylist():
-            answers.append(ask(call, t))
-            missing -= bool(answers[-1])
+        stored = rows.column("_known").to_pylist() if "_known" in rows.column_names else None
+        replies = []
+        for i, t in enumerate(rows.column("_text").to_pylist()):
+            replies.append(stored[i] if stored and stored[i] else ask(call, t))
+            missing -= bool(replies[-1])
             if missing == 0:
                 break
-        return rows.slice(0, len(answers)).append_column(out, pa.array(answers, answer_type))
+        return rows.slice(0, len(replies)).append_column(out, pa.array(replies, answer_type))
 
     def feed_state(asked: DataFrame, size: int) -> DataFrame:
         """Feeds that are short of answers and may have more rows."""
@@ -164,13 +193,18 @@ def enrich_capped(
             .where(F.col("_rank") <= size)
             .select(*df.columns, "_rank", "_need", _column(text).alias("_text"))
         )
+        if answers is not None:
+            asking = materialize(block.withColumn("_digest", answers.digest(F.col("_text"))), "asking")
+            block = answers.known(asking, "_digest", ["_feed", *order_cols])
         asked = materialize(
             block.repartition(tasks, "_feed")
             .groupBy("_feed")
             .applyInArrow(ask_feed, _with_answer(block, out)),
             "asked",
         )
-        asked_rounds.append(asked.drop("_rank", "_need", "_text"))
+        if answers is not None:
+            answers.add(asked.where(F.col("_known").isNull()), "_digest", out)
+        asked_rounds.append(asked.drop("_rank", "_need", "_text", "_digest", "_known"))
         short = materialize(feed_state(asked, size), "short")
         if short.isEmpty():
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import Instant, entry_date, instant, like
+from feedloom.functions.dates import Instant, entry_date, instant, like, recent_cutoff
 from feedloom.functions.fixed import MODEL
 from feedloom.functions.once import with_once
 from feedloom.functions.text import html_to_text, render_prompt, to_request, truncate
@@ -15,6 +15,7 @@ from feedloom.operators.enrich import Client, enrich_capped, json_client
 from feedloom.operators.harvest import content, first_rows, recent, to_article
 from feedloom.operators.skew import join_by_key
 from feedloom.session import materialize
+from feedloom.sources.answers import AnswerStore
 from feedloom.sources.feeds import read_entries, split_rejects
 from feedloom.sources.payload import write_payload
 
@@ -50,13 +51,16 @@ def _entries(
     return split_rejects(read_entries(documents))
 
 
+def _dated(entries: DataFrame, now: Instant) -> DataFrame:
+    return with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
+
+
 def candidates(
     payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None = None
 ) -> DataFrame:
     """Recent, complete entries of the current documents."""
     entries, _ = _entries(payloads, catalog, now, fetched_since)
-    dated = with_once(entries, "entry_published_at", entry_date(F.col("published_raw"), now))
-    return recent(dated, "entry_published_at", now).drop("published_raw")
+    return recent(_dated(entries, now), "entry_published_at", now).drop("published_raw")
 
 
 def rejects(
@@ -66,6 +70,13 @@ def rejects(
     return _entries(payloads, catalog, now, fetched_since)[1]
 
 
+def _asked(found: DataFrame, client: Client, wrap: Callable[[Column], Column], answers: AnswerStore | None) -> DataFrame:
+    """Articles from stored candidates."""
+    text = wrap(truncate(html_to_text(content(F.col("summary"), F.col("title")))))
+    answered = enrich_capped(found, client, order=("pos",), text=text, answers=answers)
+    return to_article(answered, keep=["feed_url", "entry_published_at", *HARVEST_ORDER])
+
+
 def harvest(
     payloads: DataFrame,
     catalog: DataFrame,
@@ -73,19 +84,23 @@ def harvest(
     now: Instant,
     fetched_since: Instant | None = None,
     wrap: Callable[[Column], Column] = lambda text: text,
+    answers: AnswerStore | None = None,
 ) -> DataFrame:
     """Article records of one run, with :data:`HARVEST_ORDER`.
 
     The client gets clean text of bounded length, or what ``wrap`` makes of it. Markup is
     only cleaned for entries it is asked about, which is why the cleaning is passed as an
     expression instead of being a column of the candidates. Documents are parsed once:
-    the candidates are stored before the first round of questions.
+    the candidates are stored before the first round of questions. What ``answers`` has is
+    not asked for again, in this run or a later one.
     """
-    text = wrap(truncate(html_to_text(content(F.col("summary"), F.col("title")))))
     found = materialize(candidates(payloads, catalog, now, fetched_since), "candidates")
-    answered = enrich_capped(found, client, order=("pos",), text=text)
-    keep = ["feed_url", "entry_published_at", *HARVEST_ORDER]
-    return to_article(answered, keep=keep)
+    return _asked(found, client, wrap, answers)
+
+
+def as_request(model: str = MODEL) -> Callable[[Column], Column]:
+    """A clean text as the body of a request to ``model``."""
+    return lambda text: to_request(render_prompt(text), model)
 
 
 def harvest_by_model(
@@ -95,20 +110,14 @@ def harvest_by_model(
     now: Instant,
     model: str = MODEL,
     fetched_since: Instant | None = None,
+    answers: AnswerStore | None = None,
 ) -> DataFrame:
     """:func:`harvest` with a function that sends a request body and returns an envelope.
 
     Requests are rendered where the text is cleaned. An envelope that cannot be decoded,
     or whose answer is no object, is a failure of that row and uses up no quota.
     """
-    return harvest(
-        payloads,
-        catalog,
-        json_client(send),
-        now,
-        fetched_since,
-        wrap=lambda text: to_request(render_prompt(text), model),
-    )
+    return harvest(payloads, catalog, json_client(send), now, fetched_since, as_request(model), answers)
 
 
 def harvest_to(
@@ -118,8 +127,25 @@ def harvest_to(
     client: Client,
     now: Instant,
     path: str,
+    fetched_since: Instant | None = None,
+    rejects: str | None = None,
+    wrap: Callable[[Column], Column] = lambda text: text,
+    answers: AnswerStore | None = None,
 ) -> DataFrame:
-    """Write a run's payload file and return the articles."""
-    articles = harvest(payloads, catalog, client, now)
+    """Write a run's payload file and what it passed over, and return the articles.
+
+    Documents are parsed once for both: their recent entries, and the documents and entries
+    that are rejected, are stored before the first question. Rejected ones go to
+    ``rejects``, by default beside the payload, as JSON lines with their reason. With
+    ``fetched_since`` documents that landed before are not read. For a model that takes
+    request bodies pass ``json_client(send)`` and ``as_request(model)``.
+    """
+    read = read_entries(current_documents(payloads, catalog, now, fetched_since))
+    due = F.col("entry_published_at") >= recent_cutoff(now)
+    parsed = materialize(_dated(read, now).where(F.col("reject").isNotNull() | due), "entries")
+    good, passed_over = split_rejects(parsed)
+    reported = ("category", "feed_url", "fetched_at", "pos", "title", "link", "reject")
+    passed_over.select(*reported).write.mode("overwrite").json(rejects or f"{path.rstrip('/')}-rejects")
+    articles = materialize(_asked(good.drop("published_raw"), client, wrap, answers), "articles")
     write_payload(articles, path, HARVEST_ORDER)
     return articles

@@ -1,22 +1,15 @@
-"""Where the rows of a stored table are: each id with its day, in sorted runs.
+"""Where the rows of a stored table are: each id with its day.
 
 The index lies beside the table and is a hint: a row may be gone, or may not have been
 written because its writer failed after its keys. What it finds is therefore looked up in
 the table, in the days that it names and no others. Keys are written before rows, so a row
 is never without its key. A table without an index, or with one whose first write did not
 end, is searched itself; whoever appends to it indexes it first.
-
-Every publication adds a run. `FAN` runs of one level are merged into one of the next by the
-publication that completes them, so after n publications there are fewer than ``FAN``
-runs in each of about log(n) levels. A pointer names the runs that count: a reader sees the
-state before a publication or the one after.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
@@ -24,34 +17,14 @@ from feedloom.functions.dates import day_key
 from feedloom.operators.skew import broadcast_if_small
 from feedloom.schema import NEWS
 from feedloom.session import materialize, path_exists, read_if_present
-from feedloom.sources import versions
-
-KEYS = StructType(
-    [
-        StructField("id", StringType()),
-        StructField("published_date", DateType()),
-        StructField("bucket", StringType()),
-    ]
-)
-
-# Runs of a level that are merged into one of the next.
-FAN = 4
-# The level that a rebuilt index starts at.
-_BASE = 8
+from feedloom.sources.runs import Runs
 
+KEYS = StructType([StructField("id", StringType()), StructField("published_date", DateType())])
 
-def _digits(level: int) -> int:
-    """How many digits of an id's hash name the buckets of a run: small runs have none."""
-    return min(level // 2, 2)
 
-
-def _bucket(id: Column) -> Column:
-    """One of at most 256 buckets, whatever the ids look like."""
-    return F.substring(F.sha2(id, 256), 1, 2)
-
-
-def _keys_path(path: str) -> str:
-    return f"{path.rstrip('/')}-keys"
+def key_runs(path: str) -> Runs:
+    """The index of the table at ``path``."""
+    return Runs(f"{path.rstrip('/')}-keys", KEYS)
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -60,44 +33,6 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(names).alias("id"), "published_date").where(F.col("id").isNotNull())
 
 
-def _indexed(spark: SparkSession, path: str) -> bool:
-    return versions.newest(spark, _keys_path(path))["version"] > 0
-
-
-def _run(keys: DataFrame, path: str, level: int) -> dict:
-    """Write a run; returns what the pointer says of it."""
-    name, digits = f"run={uuid.uuid4().hex}", _digits(level)
-    bucket = F.substring(_bucket(F.col("id")), 1, digits)
-    laid_out = keys.select("id", "published_date", bucket.alias("bucket")).hint("rebalance", "bucket")
-    # Sorted, so that a lookup of few ids passes over most row groups.
-    writer = laid_out.sortWithinPartitions("bucket", "id")
-    if digits:
-        writer.write.partitionBy("bucket").parquet(f"{_keys_path(path)}/runs/{name}")
-    else:
-        writer.drop("bucket").write.parquet(f"{_keys_path(path)}/runs/{name}")
-    return {"name": name, "level": level}
-
-
-def _keys_of(spark: SparkSession, path: str, runs: list[dict], buckets: list[str] | None = None) -> DataFrame:
-    """``id, published_date`` of these runs, of all buckets or of these."""
-    found = spark.createDataFrame([], KEYS).drop("bucket")
-    for digits in sorted({_digits(run["level"]) for run in runs}):
-        folders = [f"{_keys_path(path)}/runs/{run['name']}" for run in runs if _digits(run["level"]) == digits]
-        keys = spark.read.schema(KEYS if digits else KEYS[:2]).option("basePath", f"{_keys_path(path)}/runs").parquet(*folders)
-        if digits and buckets is not None:
-            keys = keys.where(F.col("bucket").isin(sorted({b[:digits] for b in buckets})))
-        found = found.unionByName(keys.select("id", "published_date"))
-    return found
-
-
-def _publish(spark: SparkSession, path: str, state: dict, runs: list[dict]) -> None:
-    """Let ``runs`` count from now on; what the state before last had is deleted."""
-    gone = [run["name"] for run in state.get("runs", []) if run not in runs]
-    versions.publish(spark, _keys_path(path), state, {"runs": runs, "gone": gone})
-    for name in state.get("gone", []):
-        versions.remove(spark, f"{_keys_path(path)}/runs/{name}")
-
-
 def add_keys(rows: DataFrame, path: str) -> None:
     """Index ``rows`` that are about to be appended to the table at ``path``.
 
@@ -105,28 +40,14 @@ def add_keys(rows: DataFrame, path: str) -> None:
     the others.
     """
     spark = rows.sparkSession
-    if rows.isEmpty():
-        return
-    if not _indexed(spark, path) and path_exists(spark, path):
+    if not key_runs(path).state(spark)["version"] and path_exists(spark, path):
         rebuild_keys(spark, path)
-    state = versions.newest(spark, _keys_path(path))
-    fresh = _named(rows.withColumn("published_date", day_key(F.col("published_at"))))
-    runs, level = [*state.get("runs", []), _run(fresh, path, 0)], 0
-    while len(same := [run for run in runs if run["level"] == level]) >= FAN:
-        merged = _run(_keys_of(spark, path, same).distinct(), path, level + 1)
-        # A run that was merged further in the same publication never counted.
-        dropped = [run["name"] for run in same if run not in state.get("runs", [])]
-        runs, level = [*(run for run in runs if run not in same), merged], level + 1
-        for name in dropped:
-            versions.remove(spark, f"{_keys_path(path)}/runs/{name}")
-    _publish(spark, path, state, runs)
+    key_runs(path).add(_named(rows.withColumn("published_date", day_key(F.col("published_at")))))
 
 
 def rebuild_keys(spark: SparkSession, path: str) -> None:
     """Index the table anew: one row per id and day, in one run. No writer may be at work."""
-    state = versions.newest(spark, _keys_path(path))
-    run = _run(materialize(_named(_table(spark, path)).distinct(), "keys"), path, _BASE)
-    _publish(spark, path, state, [run])
+    key_runs(path).replace(materialize(_named(_table(spark, path)).distinct(), "keys"))
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
@@ -139,21 +60,19 @@ def days_of(spark: SparkSession, path: str, ids: DataFrame) -> list[str | None]:
     Only the buckets of the ids are read, at most 256 values being brought here to choose
     them. Without an index two columns of the whole table are.
     """
-    ids = ids.select("id").where(F.col("id").isNotNull()).withColumn("bucket", _bucket(F.col("id")))
-    state = versions.newest(spark, _keys_path(path))
-    wanted = broadcast_if_small(ids.select("id").distinct())
+    ids = ids.select("id").where(F.col("id").isNotNull())
+    wanted = broadcast_if_small(ids.distinct())
+    state = key_runs(path).state(spark)
     if not state["version"]:
         return _days(_named(_table(spark, path)).join(wanted, "id", "left_semi"))
-    split = any(_digits(run["level"]) for run in state["runs"])
-    buckets = [row[0] for row in ids.select("bucket").distinct().collect()] if split else None
-    return _days(_keys_of(spark, path, state["runs"], buckets).join(wanted, "id", "left_semi"))
+    found = key_runs(path).read(spark, state, key_runs(path).buckets(ids, state))
+    return _days(found.join(wanted, "id", "left_semi"))
 
 
 def all_ids(spark: SparkSession, path: str) -> DataFrame:
     """Every id of the table, by its index if there is one; an id may come more than once."""
-    state = versions.newest(spark, _keys_path(path))
-    keys = _keys_of(spark, path, state["runs"]) if state["version"] else _named(_table(spark, path))
-    return keys.select("id")
+    state = key_runs(path).state(spark)
+    return (key_runs(path).read(spark, state) if state["version"] else _named(_table(spark, path))).select("id")
 
 
 def _days(found: DataFrame) -> list[str | None]:

@@ -13,7 +13,7 @@ from feedloom.functions.response import (
     with_answers,
 )
 from feedloom.functions.text import html_to_text, render_prompt, to_request, truncate
-from feedloom.operators.enrich import enrich, enrich_capped
+from feedloom.operators.enrich import enrich, enrich_capped, json_client
 from feedloom.operators.harvest import (
     cap_per_feed,
     content,
@@ -24,9 +24,12 @@ from feedloom.operators.harvest import (
     to_article,
 )
 from feedloom.operators.skew import union_batches
-from feedloom.plans.harvest import harvest, harvest_by_model
+from feedloom.plans.harvest import as_request, harvest, harvest_by_model, harvest_to
+from feedloom.session import materialize, scratch_path
+from feedloom.sources.answers import AnswerStore
 from feedloom.sources.catalog import flatten_catalog
 from feedloom.sources.feeds import parse_feeds, read_entries, split_rejects
+from feedloom.sources.payload import read_payload
 from queries import query
 from queries.inputs import (
     ISSUE,
@@ -414,6 +417,39 @@ def enrich_rows(spark, sf_dir):
     )
 
 
+def _mute_client():
+    """A model that answers nothing: what is known without it was stored."""
+
+    def connect():
+        return lambda text: None
+
+    return connect
+
+
+@query(
+    f"""
+    SELECT 'rows' AS run, doc_id, CASE WHEN {SQL_ANSWERED.format('text')} THEN split_part(text, '.', 1) END AS title_en
+    FROM documents
+    UNION ALL
+    SELECT 'capped', doc_id, split_part(text, '.', 1) FROM documents WHERE {SQL_ANSWERED.format('text')}
+    QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2
+    """
+)
+def enrich_cached(spark, sf_dir):
+    """A first run asks a model and stores its answers; later runs ask one that knows nothing."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    answers = AnswerStore(scratch_path(spark, "answers"))
+    enrich(documents, extractive_client(), text="text", answers=answers)
+    rows = enrich(documents, _mute_client(), text="text", answers=answers)
+    capped = enrich_capped(
+        documents, _mute_client(), feed=("lang", "source"), order=("doc_id",), text="text", answers=answers
+    )
+    title = F.col("answer.title_en").alias("title_en")
+    return rows.select(F.lit("rows").alias("run"), "doc_id", title).unionByName(
+        capped.select(F.lit("capped").alias("run"), "doc_id", title)
+    )
+
+
 @query(
     f"""
     SELECT doc_id, lang, source, split_part(text, '.', 1) AS title_en
@@ -506,6 +542,46 @@ def harvest_newest(spark, sf_dir):
     return articles.select("category", "feed_url", "source_url", "title_en")
 
 
+@query(
+    rf"""
+    WITH newest AS (
+        SELECT *, substr(regexp_replace(text, '^[{_SQL_SPACE}]+|[{_SQL_SPACE}]+$', '', 'g'), 1, 2500) AS clean
+        FROM documents
+        QUALIFY doc_id // 100 = max(doc_id // 100) OVER (PARTITION BY lang, source) AND doc_id // 100 >= 3
+    )
+    SELECT * FROM (
+        SELECT 'article' AS kind, lang AS category, source AS feed, 'http://feed.example/' || doc_id AS link,
+               split_part(clean, '.', 1) AS title
+        FROM newest WHERE {SQL_ANSWERED.format('clean')} AND doc_id % 10 <> 0
+        QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 2)
+    UNION ALL
+    SELECT 'incomplete', lang, source, 'http://feed.example/' || doc_id, NULL FROM newest WHERE doc_id % 10 = 0
+    """
+)
+def harvest_stored(spark, sf_dir):
+    """A run into files: its articles and what it passed over, of documents landed since the third issue.
+
+    Every tenth entry has no title. A second run, whose model answers nothing, gives the same.
+    """
+    fragment = F.concat(F.lit("<p>"), escaped(F.col("text")), F.lit("</p>"))
+    title = F.when(F.col("doc_id") % 10 != 0, F.lit("titled"))
+    landed = feed_documents(spark, sf_dir, description=fragment, title=title)
+    payloads = materialize(landed.withColumn("fetched_at", F.timestamp_seconds("issue")).drop("issue"), "payloads")
+    feeds = payloads.select("category", "feed_url").distinct()
+    catalog = feeds.select("*", F.lit(0).alias("category_pos"), F.lit(0).alias("feed_pos"))
+    path, answers = scratch_path(spark, "payload"), AnswerStore(scratch_path(spark, "answers"))
+    for client in (json_client(extractive_sender()), _mute_client()):
+        harvest_to(
+            spark, payloads, catalog, client, _NOW, path,
+            fetched_since=F.timestamp_seconds(F.lit(3)), wrap=as_request(), answers=answers,
+        )
+    rejects = spark.read.schema("category string, feed_url string, link string, title string, reject string").json(f"{path}-rejects")
+    return read_payload(spark, path).select(
+        F.lit("article").alias("kind"), "category", F.col("source_name").alias("feed"),
+        F.col("source_url").alias("link"), F.col("title_en").alias("title"),
+    ).unionByName(rejects.select(F.col("reject").alias("kind"), "category", F.col("feed_url").alias("feed"), "link", "title"))
+
+
 @query(
     """
     SELECT doc_id, lang FROM documents WHERE length(text) % 97 = 0

@@ -21,9 +21,9 @@ from feedloom.operators.metrics import (
 )
 from feedloom.operators.serve import admin_rows, latest, newest_first, oldest_first
 from feedloom.operators.skew import ranked
-from feedloom.plans.backoffice import editor_list, record
+from feedloom.plans.backoffice import editor_list, record, stored_record
 from feedloom.plans.dashboard import dashboard
-from feedloom.plans.portal import article_page, front_page
+from feedloom.plans.portal import article_page, front_page, stored_article_page
 from feedloom.session import scratch_path
 from feedloom.sources.news import append_news, read_news
 from queries import query
@@ -344,3 +344,22 @@ def latest_stored(spark, sf_dir):
     inserted = latest(news, now=now).select(F.lit("inserted").alias("by_time"), "id")
     entry = latest(news, ts="entry_published_at", now=now).select(F.lit("entry").alias("by_time"), "id")
     return inserted.unionByName(entry)
+
+
+@query(
+    f"""
+    SELECT 'page' AS kind, id, source_url, strftime(published_at, '%B %d, %Y at %I:%M %p') AS date, title_en AS title
+    FROM ({SQL_NEWS}) WHERE id = '42'
+    UNION ALL
+    SELECT 'record', id, source_url, {_sql_day_pt('published_at', _SQL_MONTHS_LONG)}, title_en
+    FROM ({SQL_NEWS}) WHERE id = '7'
+    """
+)
+def article_stored(spark, sf_dir):
+    """Pages of single articles of a stored table, found by its keys."""
+    path = scratch_path(spark, "paged-news")
+    append_news(news_view(spark, sf_dir).withColumn("entry_published_at", F.lit(None).cast("timestamp")), path)
+    page, details = stored_article_page(spark, path, "42", "en"), stored_record(spark, path, "7", "pt")
+    return page.select(F.lit("page").alias("kind"), "id", "source_url", "date", "title").unionByName(
+        details.select(F.lit("record").alias("kind"), "id", "source_url", "date", F.col("title_en").alias("title"))
+    )

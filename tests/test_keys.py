@@ -6,9 +6,10 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from feedloom.schema import NEWS
-from feedloom.sources import keys, versions
-from feedloom.sources.keys import FAN, add_keys, days_of, rebuild_keys
+from feedloom.sources import versions
+from feedloom.sources.keys import add_keys, days_of, key_runs, rebuild_keys
 from feedloom.sources.news import append_news, read_news
+from feedloom.sources.runs import BASE, FAN
 
 DAY = date(2026, 5, 1)
 
@@ -59,7 +60,7 @@ def test_an_index_of_all_levels_gives_what_a_rebuilt_one_gives(spark, tmp_path):
     asked = ids(spark, *(f"id{i}" for i in range(0, 30, 3)))
     before = sorted(days_of(spark, path, asked))
     rebuild_keys(spark, path)
-    assert [run["level"] for run in runs(spark, path)] == [keys._BASE]
+    assert [run["level"] for run in runs(spark, path)] == [BASE]
     assert sorted(days_of(spark, path, asked)) == before == ["2026-05-01", "2026-05-02", "2026-05-03", "2026-05-04"]
     append_news(rows(spark, 100, 1, DAY), path)
     assert days_of(spark, path, ids(spark, "id100")) == [str(DAY)]
@@ -81,7 +82,7 @@ def test_readers_of_a_state_can_end_while_runs_are_merged(spark, tmp_path):
     for i in range(FAN - 1):
         add_keys(rows(spark, i, 1, DAY), path)
     state = runs(spark, path)
-    begun = keys._keys_of(spark, path, state)
+    begun = key_runs(path).read(spark, {"runs": state})
     add_keys(rows(spark, 50, 1, DAY), path)
     assert [run["level"] for run in runs(spark, path)] == [1]
     assert begun.select("id").distinct().count() == 2 * (FAN - 1)
