@@ -44,11 +44,16 @@ def current_documents(
     return join_by_key(newest, listed, _FEED, "inner", ["fetched_at"])
 
 
+def _read(documents: DataFrame) -> DataFrame:
+    """Entries as feeds are found: broken ones are repaired, links resolved from the feed's URL."""
+    return read_entries(documents, recover=True, base="feed_url")
+
+
 def _entries(
     payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None
 ) -> tuple[DataFrame, DataFrame]:
     documents = current_documents(payloads, catalog, now, fetched_since)
-    return split_rejects(read_entries(documents))
+    return split_rejects(_read(documents))
 
 
 def _dated(entries: DataFrame, now: Instant) -> DataFrame:
@@ -66,7 +71,11 @@ def candidates(
 def rejects(
     payloads: DataFrame, catalog: DataFrame, now: Instant, fetched_since: Instant | None = None
 ) -> DataFrame:
-    """Documents and entries a run passes over, with the reason in ``reject``."""
+    """Documents and entries a run passes over, with the reason in ``reject``.
+
+    Documents that had to be repaired are among them, as ``recovered`` or ``cut``; the
+    entries that could be told are used.
+    """
     return _entries(payloads, catalog, now, fetched_since)[1]
 
 
@@ -140,7 +149,7 @@ def harvest_to(
     ``fetched_since`` documents that landed before are not read. For a model that takes
     request bodies pass ``json_client(send)`` and ``as_request(model)``.
     """
-    read = read_entries(current_documents(payloads, catalog, now, fetched_since))
+    read = _read(current_documents(payloads, catalog, now, fetched_since))
     due = F.col("entry_published_at") >= recent_cutoff(now)
     parsed = materialize(_dated(read, now).where(F.col("reject").isNotNull() | due), "entries")
     good, passed_over = split_rejects(parsed)

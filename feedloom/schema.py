@@ -31,14 +31,14 @@ CATALOG = StructType(
 # and Atom (entry); the parts a document lacks come out as NULL.
 _ITEM = (
     "struct<title:string, link:string, description:string, `content:encoded`:string,"
-    " guid:struct<_VALUE:string, _isPermaLink:string>, pubDate:string>"
+    " guid:struct<_VALUE:string, _isPermaLink:string>, pubDate:string, `_xml:base`:string>"
 )
 _ENTRY = (
-    "struct<title:string, link:array<struct<_href:string, _rel:string, _type:string>>,"
-    " summary:string, content:string, published:string, issued:string>"
+    "struct<title:string, link:array<struct<_href:string, _rel:string, _type:string, `_xml:base`:string>>,"
+    " `_xml:base`:string, summary:string, content:string, published:string, issued:string>"
 )
 FEED_XML = (
-    f"struct<title:string, channel:struct<title:string, item:array<{_ITEM}>>,"
+    f"struct<title:string, `_xml:base`:string, channel:struct<title:string, `_xml:base`:string, item:array<{_ITEM}>>,"
     f" item:array<{_ITEM}>, entry:array<{_ENTRY}>, _corrupt_record:string>"
 )
 

@@ -98,6 +98,108 @@ def feed_xml_items(spark, sf_dir):
     )
 
 
+# The base and the references of RFC 3986, sections 5.4.1 and 5.4.2, with what
+# each resolves to. The empty reference is left out, since a link cannot be empty.
+RFC_BASE = "http://a/b/c/d;p?q"
+RFC_EXAMPLES = {
+    "g:h": "g:h",
+    "g": "http://a/b/c/g",
+    "./g": "http://a/b/c/g",
+    "g/": "http://a/b/c/g/",
+    "/g": "http://a/g",
+    "//g": "http://g",
+    "?y": "http://a/b/c/d;p?y",
+    "g?y": "http://a/b/c/g?y",
+    "#s": "http://a/b/c/d;p?q#s",
+    "g#s": "http://a/b/c/g#s",
+    "g?y#s": "http://a/b/c/g?y#s",
+    ";x": "http://a/b/c/;x",
+    "g;x": "http://a/b/c/g;x",
+    "g;x?y#s": "http://a/b/c/g;x?y#s",
+    ".": "http://a/b/c/",
+    "./": "http://a/b/c/",
+    "..": "http://a/b/",
+    "../": "http://a/b/",
+    "../g": "http://a/b/g",
+    "../..": "http://a/",
+    "../../": "http://a/",
+    "../../g": "http://a/g",
+    "../../../g": "http://a/g",
+    "../../../../g": "http://a/g",
+    "/./g": "http://a/g",
+    "/../g": "http://a/g",
+    "g.": "http://a/b/c/g.",
+    ".g": "http://a/b/c/.g",
+    "g..": "http://a/b/c/g..",
+    "..g": "http://a/b/c/..g",
+    "./../g": "http://a/b/g",
+    "./g/.": "http://a/b/c/g/",
+    "g/./h": "http://a/b/c/g/h",
+    "g/../h": "http://a/b/c/h",
+    "g;x=1/./y": "http://a/b/c/g;x=1/y",
+    "g;x=1/../y": "http://a/b/c/y",
+    "g?y/./x": "http://a/b/c/g?y/./x",
+    "g?y/../x": "http://a/b/c/g?y/../x",
+    "g#s/./x": "http://a/b/c/g#s/./x",
+    "g#s/../x": "http://a/b/c/g#s/../x",
+    "http:g": "http:g",
+}
+
+
+@query(
+    f"""
+    WITH examples AS (SELECT unnest({list(RFC_EXAMPLES)!r}) AS ref, unnest({list(RFC_EXAMPLES.values())!r}) AS url,
+                             unnest(range({len(RFC_EXAMPLES)})) AS i)
+    SELECT doc_id, ref, url AS link FROM documents JOIN examples ON i = doc_id % {len(RFC_EXAMPLES)}
+    """
+)
+def feed_links(spark, sf_dir):
+    """Each item's link is one of the RFC's references, its base nested in two elements."""
+    references = F.array(*[F.lit(r) for r in RFC_EXAMPLES])
+    ref = F.get(references, (F.col("doc_id") % len(RFC_EXAMPLES)).cast("int"))
+    landed = feed_documents(spark, sf_dir, link=ref, title=F.concat_ws(" ", "doc_id", ref), description=F.lit("d"))
+    outer, inner = '<rss xml:base="x/y" version', '<channel xml:base="../b/c/d;p?q">'
+    based = F.replace(F.replace("payload", F.lit("<rss version"), F.lit(outer)), F.lit("<channel>"), F.lit(inner))
+    entries = parse_feeds(landed.withColumns({"payload": based, "url": F.lit("http://a/index.xml")}), base="url")
+    named = F.split(F.col("title"), " ", 2)
+    return entries.select(
+        F.get(named, F.lit(0)).cast("bigint").alias("doc_id"), F.get(named, F.lit(1)).alias("ref"), "link"
+    )
+
+
+@query(
+    f"""
+    WITH items AS (SELECT lang AS category, source AS feed_url, doc_id // {ISSUE} AS issue, doc_id,
+                          row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang, source, doc_id // {ISSUE}) AS n
+                   FROM documents WINDOW w AS (PARTITION BY lang, source, doc_id // {ISSUE} ORDER BY doc_id)),
+    kept AS (SELECT * FROM items WHERE issue % 4 <> 0 OR pos < n - 1)
+    SELECT category, feed_url, issue, NULL AS reason, pos, 'a & b ' || doc_id AS title FROM kept
+    UNION ALL
+    SELECT category, feed_url, issue,
+           CASE WHEN issue % 4 = 0 THEN CASE WHEN max(n) > 1 THEN 'cut' ELSE 'unreadable' END ELSE 'recovered' END, -1, NULL
+    FROM items WHERE issue % 4 <> 3 GROUP BY category, feed_url, issue
+    """
+)
+def feed_recovered(spark, sf_dir):
+    """Of four issues one is cut in its last entry, one has stray tags, one lone signs; one is sound."""
+    title = F.concat(F.lit("a & b "), F.col("doc_id").cast("string"))
+    landed = feed_documents(spark, sf_dir, title=title)
+    at = F.col("issue") % 4
+    payload = F.col("payload")
+    stray = F.replace(payload, F.lit("</item>"), F.lit("</b></item></p><br>"))
+    lone = F.replace(payload, F.lit("a &amp; b"), F.lit("a & b"))
+    broken = (
+        F.when(at == 0, F.substring(payload, F.lit(1), F.length(payload) - 30))
+        .when(at == 1, stray)
+        .when(at == 2, lone)
+        .otherwise(payload)
+    )
+    entries = read_entries(landed.withColumn("payload", broken), recover=True)
+    return entries.select(
+        "category", "feed_url", "issue", F.col("reject").alias("reason"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), "title"
+    )
+
+
 @query(
     f"""
     WITH items AS (

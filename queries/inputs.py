@@ -71,6 +71,7 @@ def feed_documents(
     description: Column | None = None,
     title: Column | None = None,
     published: Column | None = None,
+    link: Column | None = None,
 ) -> DataFrame:
     """RSS documents of the texts: one per language, source and ``issue``.
 
@@ -79,7 +80,7 @@ def feed_documents(
     """
     description = F.col("text") if description is None else description
     title = F.concat(F.lit("doc "), F.col("doc_id").cast("string")) if title is None else title
-    link = F.concat(F.lit("http://feed.example/"), F.col("doc_id").cast("string"))
+    link = F.concat(F.lit("http://feed.example/"), F.col("doc_id").cast("string")) if link is None else link
 
     def element(name: str, value: Column) -> Column:
         text = F.concat(F.lit(f"<{name}>"), escaped(value), F.lit(f"</{name}>"))
