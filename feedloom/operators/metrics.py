@@ -57,6 +57,36 @@ def active_sources(news: DataFrame, source: str = "source_name") -> DataFrame:
     return news.agg(source_count(source).alias("active_sources"))
 
 
+# A sketch of 2**12 counters is off by 1.04 / 2**6 of the count at one standard deviation.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def source_sketches(news: DataFrame, ts: str = "published_at", source: str = "source_name") -> DataFrame:
+    """One row per UTC day: a sketch of its distinct sources, and whether one is missing.
+
+    Opt-in, for tables whose exact count of sources is too dear to refresh: a day that is past
+    is sketched once, and the sketches of any days are merged by `sources_of_sketches`.
+    Rows without a time have a day of their own, NULL.
+    """
+    return news.groupBy(day_key(F.col(ts)).alias("day")).agg(
+        F.hll_sketch_agg(source, SKETCH_BITS).alias("sketch"),
+        F.coalesce(F.max(F.col(source).isNull()), F.lit(False)).alias("missing"),
+    )
+
+
+def sources_of_sketches(sketches: DataFrame) -> DataFrame:
+    """About how many distinct sources the days of these sketches have: ``active_sources``.
+
+    An estimate, by `SKETCH_ERROR` off at one standard deviation; :func:`active_sources` is
+    exact. A missing source counts as one.
+    """
+    merged = sketches.agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"), F.max(F.col("missing").cast("int")).alias("missing")
+    )
+    return merged.select((F.coalesce("n", F.lit(0)) + F.coalesce("missing", F.lit(0))).alias("active_sources"))
+
+
 def kpis(
     news: DataFrame,
     now: Instant,

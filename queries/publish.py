@@ -17,6 +17,7 @@ from feedloom.operators.publish import (
 from feedloom.schema import ARTICLE
 from feedloom.session import materialize, scratch_path
 from feedloom.sources.news import append_news, read_news
+from feedloom.sources.arrays import read_array_payload
 from feedloom.sources.payload import read_payload, write_payload
 from feedloom.plans.publish import publish_payload
 from feedloom.streaming.metrics import read_rollup, rebuild_rollup, rollup_totals, write_rollup
@@ -289,6 +290,25 @@ def payload_arrays(spark, sf_dir):
     return read_payload(spark, f"{path}/part=*", array=True).select(*ARTICLE.names)
 
 
+@query(
+    f"""
+    SELECT category, source_name, source_url, title_en, title_pt, summary_en, summary_pt, true AS shared
+    FROM ({SQL_NEWS})
+    """
+)
+def payload_array_splits(spark, sf_dir):
+    """Arrays of a thousand articles; every file is read in splits of 64 KiB, so by many tasks."""
+    path = scratch_path(spark, "large-arrays")
+    parts = F.floor(F.col("doc_id") / 1000).alias("part")
+    arrays = news_view(spark, sf_dir).groupBy(parts).agg(
+        F.to_json(F.collect_list(F.struct(*ARTICLE.names))).alias("value")
+    )
+    arrays.write.partitionBy("part").text(path)
+    articles = read_array_payload(spark, f"{path}/part=*", split_bytes=1 << 16)
+    splits = articles.groupBy("payload_file").agg((F.count_distinct("payload_block") > 1).alias("shared"))
+    return articles.join(F.broadcast(splits), "payload_file").select(*ARTICLE.names, "shared")
+
+
 @query(
     f"""
     SELECT count(*) AS total, count(DISTINCT source_name) AS active_sources

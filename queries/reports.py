@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedloom.functions.dates import days_ago, latest_instant
+from feedloom.functions.dates import day_key, days_ago, instant, latest_instant
 from feedloom.functions.display import fmt_day, fmt_int, fmt_long, fmt_numeric, fmt_short, weekday
 from feedloom.operators.metrics import (
+    SKETCH_ERROR,
     active_sources,
     category_distribution,
     category_share,
@@ -15,6 +16,8 @@ from feedloom.operators.metrics import (
     distinct_values,
     kpis,
     since,
+    source_sketches,
+    sources_of_sketches,
     today_total,
     total,
     week_total,
@@ -24,7 +27,7 @@ from feedloom.operators.skew import ranked
 from feedloom.plans.backoffice import editor_list, record, stored_record
 from feedloom.plans.dashboard import dashboard
 from feedloom.plans.portal import article_page, front_page, stored_article_page
-from feedloom.session import scratch_path
+from feedloom.session import materialize, scratch_path
 from feedloom.sources.news import append_news, read_news
 from queries import query
 from queries.inputs import SQL_NEWS, SQL_STAMP, news_view, stamp, table
@@ -363,3 +366,29 @@ def article_stored(spark, sf_dir):
     return page.select(F.lit("page").alias("kind"), "id", "source_url", "date", "title").unionByName(
         details.select(F.lit("record").alias("kind"), "id", "source_url", "date", F.col("title_en").alias("title"))
     )
+
+
+@query(
+    f"""
+    SELECT 'all days' AS days, count(DISTINCT user_id) AS exact, true AS near FROM events
+    UNION ALL
+    SELECT 'week', count(DISTINCT user_id), true FROM events WHERE CAST(ts AS DATE) > CAST({_SQL_NOW} AS DATE) - 7
+    """
+)
+def sources_sketched(spark, sf_dir):
+    """The exact number of sources, and whether the merged sketches of the days come near it.
+
+    Near is within four standard deviations.
+    """
+    events, now = _events(spark, sf_dir)
+    sketches = materialize(source_sketches(events, ts="ts", source="user_id"), "sketches")
+    first = F.date_sub(day_key(instant(now)), 6)
+
+    def compared(days, rows, sketched):
+        about = sources_of_sketches(sketched).scalar()
+        exact = active_sources(rows, "user_id").select(F.col("active_sources").alias("exact"))
+        near = F.abs(about - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * SKETCH_ERROR * F.col("exact"))
+        return exact.select(F.lit(days).alias("days"), "exact", near.alias("near"))
+
+    week = events.where(day_key(F.col("ts")) >= first)
+    return compared("all days", events, sketches).unionByName(compared("week", week, sketches.where(F.col("day") >= first)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import instant
-from feedloom.operators.metrics import kpis
+from feedloom.operators.metrics import SKETCH_ERROR, active_sources, kpis, source_sketches, sources_of_sketches
 from feedloom.sources import versions
 from feedloom.streaming.metrics import (
     compact_rollup,
@@ -141,3 +141,18 @@ def test_one_of_two_writers_wins(spark, tmp_path):
     with pytest.raises(versions.Superseded):
         versions.publish(spark, path, seen, {"a": 2})
     assert json.loads((tmp_path / "_versions" / "000000000001.json").read_text()) == {"a": "é"}
+
+
+def test_sketches_of_days_merge(spark, tmp_path):
+    rows = spark.range(60_000).select(
+        F.timestamp_seconds(1_777_000_000 + F.col("id") % 20 * 86_400).alias("published_at"),
+        F.when(F.col("id") % 10 != 0, (F.col("id") % 7001).cast("string")).alias("source_name"),
+    )
+    sketches = source_sketches(rows)
+    assert sketches.count() == 20
+    exact = active_sources(rows).first()[0]
+    about = sources_of_sketches(sketches).first()[0]
+    assert abs(about - exact) <= 4 * SKETCH_ERROR * exact
+    few = rows.where("id < 40")
+    assert sources_of_sketches(source_sketches(few)).first()[0] == active_sources(few).first()[0] == 37
+    assert sources_of_sketches(source_sketches(rows.limit(0))).first()[0] == 0
