@@ -126,24 +126,40 @@ def write_warc(
     return materialize(marked.mapInArrow(write, _FILES), "warc-files")
 
 
+# Bytes that are decoded, or read behind a range, at a time.
+_CHUNK = 1 << 14
+
+
 class Members:
     """The gzip members of a file that begin in a byte range.
 
     ``read(offset, length)`` gives bytes of the file. A range that does not begin with the
     file looks for gzip's magic bytes and takes a place for a member only if it decodes to
     a whole WARC header; from there on members follow one another. The last one is read to
-    its end beyond the range.
+    its end beyond the range. The file is read in windows of ``step``, each byte once but for
+    what lies around a window's end, and little of it behind the range.
     """
 
     def __init__(self, read: Callable[[int, int], bytes], size: int, step: int = 1 << 20):
         self._read, self._size, self._step = read, size, step
+        self._limit, self._at, self._window = size, 0, b""
+
+    def _bytes(self, at: int, most: int, least: int = 1) -> bytes:
+        """What the window has from a place on, at most ``most``; a new window if that is too little."""
+        begin = at - self._at
+        if begin < 0 or len(self._window) - begin < min(least, self._size - at):
+            inside = self._limit - at
+            wanted = min(self._step, inside) if inside >= _CHUNK else min(self._step, _CHUNK)
+            self._window = self._read(at, min(max(wanted, least), self._size - at))
+            self._at, begin = at, 0
+        return self._window[begin : begin + most]
 
     def _decoded(self, at: int, header_only: bool) -> tuple[bytes, int] | None:
         """The content of the member at a place and the place after it."""
         stream, out, begin = zlib.decompressobj(31), [], at
         try:
             while not stream.eof:
-                raw = self._read(at, min(self._step, self._size - at))
+                raw = self._bytes(at, _CHUNK)
                 if not raw:
                     return None
                 at += len(raw)
@@ -162,7 +178,7 @@ class Members:
         """The first true member that begins in the range."""
         at = low
         while at < high:
-            window = self._read(at, min(self._step + 2, self._size - at))
+            window = self._bytes(at, self._step, least=len(_MAGIC))
             found = window.find(_MAGIC)
             while found >= 0 and at + found < high:
                 if self._decoded(at + found, header_only=True):
@@ -174,6 +190,7 @@ class Members:
         return None
 
     def within(self, low: int, high: int) -> Iterator[tuple[int, bytes]]:
+        self._limit = min(high, self._size)
         at = self._first(low, high)
         while at is not None and at < min(high, self._size):
             decoded = self._decoded(at, header_only=False)

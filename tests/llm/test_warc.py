@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,30 @@ def test_false_magic_is_no_member():
 
 def test_no_pages(pages):
     assert read_warc(write_warc(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("split", [200_000, 1 << 20, 8 << 20])
+def test_splits_read_little_more_than_their_bytes(split):
+    chance = random.Random(1)
+    records = [
+        member({"payload": chance.randbytes(chance.randrange(100, 20_000)), "revisit": False, "refers_to": None, "url": "u", "page_id": i}, "2024-01-01T00:00:00Z")
+        for i in range(400)
+    ]
+    content, longest = b"".join(records), max(map(len, records))
+    found, whole = [], 0
+    for low in range(0, len(content), split):
+        high, seen = min(low + split, len(content)), [0, 0]
+
+        def read(offset, length):
+            seen[0] += min(length, len(content) - offset)
+            seen[1] += 1
+            return content[offset : offset + length]
+
+        found += [at for at, _ in Members(read, len(content)).within(low, high)]
+        assert seen[0] <= 1.2 * (high - low) + longest + (1 << 14)
+        assert seen[1] <= 4 + (high - low) / (1 << 20)
+        whole += seen[0]
+    places = [0]
+    for record in records[:-1]:
+        places.append(places[-1] + len(record))
+    assert found == places and whole <= 1.2 * len(content) + len(content) / split * (longest + (1 << 14))
