@@ -22,6 +22,8 @@ _CLASSES = bytes(
     for b in range(256)
 )
 _RUN = re.compile(rb"(a|A|0)\1+")
+# Signs of a shape up to which it says enough of a token.
+_LONG = 12
 _TERMS = "label double, sample long, term string, n long"
 
 
@@ -29,7 +31,7 @@ def terms(text: str) -> Counter:
     """How often each term occurs in a whole text; none in a text without tokens.
 
     A term is the shape of a token (runs of letters and digits as classes, other signs as
-    they are) or a step of how repetitive the text is, in its tokens and in its lines.
+    they are), a step of a long shape's length, or a step of how repetitive the text is, in its tokens and in its lines.
     The steps weigh as much as a sixteenth of the tokens.
     """
     tokens = text.split()
@@ -37,7 +39,10 @@ def terms(text: str) -> Counter:
     if not tokens:
         return found
     for shape, n in Counter(text.encode("utf-8", "replace").translate(_CLASSES).split()).items():
-        found[_RUN.sub(rb"\1", shape[:64])[:12].decode()] += n
+        folded = _RUN.sub(rb"\1", shape)
+        found[folded.decode()] += n
+        if len(folded) > _LONG:  # long shapes differ, so they also count by their length
+            found[f"\x00long{len(folded).bit_length()}"] += n
     lines = [line for line in text.split("\n") if line.strip()]
     weight = max(1, len(tokens) // 16)
     # Longer texts have a smaller share of distinct tokens, so it is set off by a power.
@@ -56,6 +61,8 @@ class Model:
     projection: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    #: How many labelled documents each vector's vote stands for, on average of its copies.
+    shares: np.ndarray
     neighbours: int
     power: int
 
@@ -71,6 +78,7 @@ class Model:
             cosines = embedded @ self.vectors.T
             nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosines, nearest, 1), 0).astype(float) ** self.power
+            weight *= self.shares[nearest]
             votes, total = (weight * self.labels[nearest]).sum(1), weight.sum(1)
             out[first : first + block] = np.where(total > 0, votes / np.maximum(total, 1e-300), 0.0)
         return np.clip(out, 0.0, 1.0)
@@ -107,7 +115,9 @@ def fit(
     """Fit the space on at most ``per_class`` labelled documents of either label.
 
     ``labels`` has ``doc_id, quality``; labels of one number are averaged. The sample is
-    those of the smallest hash of ``doc_id``, all of them where there are no more. The
+    those of the smallest hash of ``doc_id``, all of them where there are no more. Where
+    there are more, a vote counts for all of its label that it stands for, so that the
+    scores do not depend on which label the bound cuts. The
     space is a truncated singular-value decomposition of their weighted term counts.
     Returns None without any labelled document. What reaches the driver is bounded by
     ``per_class`` and ``vocabulary_size``.
@@ -121,6 +131,7 @@ def fit(
         averaged.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         for side in (F.col("label") >= 0.5, F.col("label") < 0.5)
     ]
+    sides = averaged.agg(F.count_if(F.col("label") >= 0.5), F.count_if(F.col("label") < 0.5)).first()
     chosen = materialize(chosen[0].unionByName(chosen[1]), "quality-chosen")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +163,10 @@ def fit(
     if not common:
         return None
     vocabulary = {row["term"]: at for at, row in enumerate(common)}
-    kept = counted.where(F.col("term").isin(list(vocabulary))).toPandas()
+    found = counted.where(F.col("term").isin(list(vocabulary))).toPandas()
     counts: dict[int, Counter] = {}
     label_of: dict[int, float] = {}
-    for label, sample, term, n in kept.sort_values(["sample", "term"]).itertuples(index=False):
+    for label, sample, term, n in found.sort_values(["sample", "term"]).itertuples(index=False):
         counts.setdefault(sample, Counter())[term] = n
         label_of[sample] = label
     weights = np.log(len(counts) / np.array([row["df"] for row in common])) + 0.1
@@ -164,8 +175,11 @@ def fit(
     projection = vectors[:, ::-1][:, :dimensions].astype(np.float32)
     # Copies of a text are one neighbour with their mean label.
     embedded, same = np.unique(np.round(_unit(rows @ projection), 6), axis=0, return_inverse=True)
-    mean = np.bincount(same.ravel(), list(label_of.values())) / np.bincount(same.ravel())
-    return Model(vocabulary, weights.astype(np.float32), projection, embedded, mean, neighbours, power)
+    given = np.array(list(label_of.values()))
+    stands = np.where(given >= 0.5, max(1.0, sides[0] / per_class), max(1.0, sides[1] / per_class))
+    votes, copies = np.bincount(same.ravel(), stands), np.bincount(same.ravel())
+    mean = np.bincount(same.ravel(), stands * given) / votes
+    return Model(vocabulary, weights.astype(np.float32), projection, embedded, mean, votes / copies, neighbours, power)
 
 
 def scorer(docs: DataFrame, model: Model | None):

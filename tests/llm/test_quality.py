@@ -55,3 +55,19 @@ def test_edges(spark, cases):
     assert {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
     kept = keep_quality(docs, labels, threshold=0.0)
     assert kept.columns == docs.columns and kept.count() == len(cases.rows)
+
+
+def test_the_bound_on_labels_does_not_move_the_scores(spark):
+    """Two good documents to a poor one, of which the bound takes as many of each."""
+    docs, labels = labelled(spark, 600)
+    model = fit(docs, labels, per_class=50)
+    good = model.labels > 0.5
+    assert abs(model.shares[good].mean() - 400 / 50) < 1e-9 and abs(model.shares[~good].mean() - 200 / 50) < 1e-9
+    assert set(fit(docs, labels).shares) == {1.0}
+    assert all(r.predicted == int(r.doc_id % 3 > 0) for r in quality(docs, labels, per_class=50).collect())
+
+
+def test_tokens_of_any_length_are_read_to_their_end():
+    long = "a1" * 40
+    assert terms(long + "!") != terms(long + "?")
+    assert terms("ab " + long)["\x00long7"] == 1 and terms("x" * 10**6)["a"] == 1
