@@ -39,3 +39,19 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF_DIR).count() == 0
+
+
+def test_hostile_documents_pass_through_all_stages(spark, cases, tmp_path):
+    """Nulls, missing numbers, repeats, very long texts and clashing columns, and labels of some."""
+    docs = cases.docs()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 > 0), 0) for i in range(40)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count(), name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in docs.collect()}
+    assert all(p.offset + p.length <= 1024 for p in pieces)
