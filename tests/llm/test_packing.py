@@ -28,12 +28,24 @@ HARD = ["", "a\x1cb c", "x\x0b y", "\x00 \x7f", "  a  b", "a \n\nb ", "x\n \ny",
 
 
 def test_words_are_encoded_as_by_the_library(library, cases):
-    encoder = WordEncoder(BYTE_BPE, most_words=3, most_stretches=3)
+    encoder = WordEncoder(BYTE_BPE, most=3)
     for text in [*HARD, *(row[1] or "" for row in cases.rows)]:
         ids = np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("block", [1, 50, 1 << 21])
+def test_blocks_of_texts_are_encoded_as_by_the_library(library, block):
+    rng = np.random.default_rng(block)
+    signs = ["a", "Bc", "é", " ", " ", " ", "\n", "\t", "'s", "12", "²", ".", "!?", "-", "\x0b", "日", "\x1d", "the"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(3000)] + HARD
+    encoder = WordEncoder(BYTE_BPE, most=200, longest=4, block=block)
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        found = np.frombuffer(ids, encoder.dtype).tolist()
+        assert found == library.encode(text, add_special_tokens=False).ids, text
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
 def test_the_operators_ids_are_those_of_an_untouched_library():
     plain, own = Tokenizer.from_file(BYTE_BPE), encoder(BYTE_BPE)
     named = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n", "日本<|endoftext|>", "<|endoftext |>"]
