@@ -61,7 +61,7 @@ def encode_shard(ids: np.ndarray, doc_ids: list, lengths: list[int], block_bits:
         )
         bodies += blocks
         at = int(places[-1])
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
     return b"".join(out + directories + bodies)
 
 
