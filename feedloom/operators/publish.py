@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import Instant, day_key, instant
 from feedloom.functions.fixed import DUPLICATE_MARKERS
 from feedloom.operators.harvest import first_by_key
-from feedloom.operators.skew import fits_broadcast, join_by_key
+from feedloom.operators.skew import fits_broadcast, join_by_key, numbered, rows_numbered
 from feedloom.schema import NEWS
 from feedloom.session import materialize
 from feedloom.sources.news import append_news, news_of
@@ -18,6 +18,10 @@ from feedloom.sources.payload import PAYLOAD_ORDER
 
 KEY = "source_url"
 
+# New rows are written where they are read, without a shuffle, when they are more than
+# this many and more than one in this many of their batch.
+_MANY, _SHARE = 1 << 14, 8
+
 
 def known_keys(batch: DataFrame, news: DataFrame) -> DataFrame:
     """The batch's URLs that the table has, each once."""
@@ -129,14 +133,31 @@ def append_new(
     Only the days in which the keys place URLs of the batch are read. Safe to repeat: rows that got in are skipped the next time. One writer at a
     time, since nothing but this keeps URLs unique.
     """
-    append_news(materialize(_publish_at(spark, batch, path, now, order), "fresh"), path)
+    append_numbered(spark, numbered(batch, "batch"), path, now, order)
 
 
-def _publish_at(
-    spark: SparkSession, batch: DataFrame, path: str, now: Instant, order: Sequence[str]
+def append_numbered(
+    spark: SparkSession,
+    rows: DataFrame,
+    path: str,
+    now: Instant,
+    order: Sequence[str] = PAYLOAD_ORDER,
 ) -> DataFrame:
-    ids = batch.select(F.sha2(F.col(KEY), 256).alias("id"))
-    return publish(batch, news_of(spark, path, ids), now, order)
+    """:func:`append_new` for `numbered` rows; returns the ``order`` of those that got in.
+
+    Which rows are new is told by their URLs and places alone, and written down before the
+    table changes, since asking the changed table again would call every row a duplicate.
+    Their texts are only read to be written.
+    """
+    places = rows.select(*dict.fromkeys([KEY, *order, "_row"])).where(F.col(KEY).isNotNull())
+    news = news_of(spark, path, places.select(F.sha2(F.col(KEY), 256).alias("id")))
+    first = first_by_key(places, KEY, list(order))
+    fresh = materialize(_without_known(first, *_known_keys(places, news)), "fresh")
+    n = fresh.count()
+    texts = with_derived(rows_numbered(rows, fresh), now, ())
+    keys = fresh.select(KEY, F.sha2(F.col(KEY), 256).alias("id"), instant(now).alias("published_at"))
+    append_news(texts, path, keys, of_one_day=n > _MANY and n * _SHARE > rows.count())
+    return fresh
 
 
 def publish_to(
@@ -149,11 +170,7 @@ def publish_to(
     """Like :func:`append_new`, returning the batch's outcomes.
 
     The batch is written down first, once: row numbers of a file scan depend on how
-    the files are dealt over the cores there are, so two evaluations may differ. What is
-    new is written down before the table changes, since asking the changed table again
-    would call every row a duplicate.
+    the files are dealt over the cores there are, so two evaluations may differ.
     """
-    batch = materialize(batch, "batch")
-    fresh = materialize(_publish_at(spark, batch, path, now, order), "fresh")
-    append_news(fresh, path)
-    return outcomes(batch, fresh, order)
+    rows = numbered(batch, "batch")
+    return outcomes(rows.drop("_row"), append_numbered(spark, rows, path, now, order), order)

@@ -79,6 +79,28 @@ def join_by_key(
     return dealt.drop("_hot").join(repeated, [*on, "_share"], how).drop("_share")
 
 
+def numbered(df: DataFrame, name: str, number: str = "_row") -> DataFrame:
+    """``df`` written down once, with a number of its own for each row."""
+    return materialize(df.withColumn(number, F.monotonically_increasing_id()), name, compression="zstd")
+
+
+def rows_numbered(rows: DataFrame, chosen: DataFrame, number: str = "_row") -> DataFrame:
+    """The rows of a `numbered` frame whose number is in ``chosen``.
+
+    The chosen numbers travel as bitmaps, a bit for each row, so that rows with long texts
+    need no shuffle to be told apart. Bitmaps that do not fit a broadcast are not used.
+    """
+    bucket = F.bitmap_bucket_number(number)
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(number))
+    maps = chosen.groupBy(bucket.alias("_bucket")).agg(bits.alias("_bits"))
+    if not fits_broadcast(maps):
+        return rows.join(chosen.select(number), number, "left_semi").select(*rows.columns)
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket")
+    return found.where(F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number all rows from 1 in ``order``, which must have no ties.
 

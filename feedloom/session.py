@@ -65,14 +65,15 @@ def remove_intermediates(spark: SparkSession) -> int:
     return count
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives lost executors.
 
     Used where a result must not be computed twice, either because computing it
-    is dear (model calls) or because two evaluations might differ.
+    is dear (model calls) or because two evaluations might differ. ``options`` are
+    the writer's.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

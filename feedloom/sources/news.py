@@ -28,23 +28,28 @@ def news_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     return in_days(read_news(spark, path), days_of(spark, path, ids))
 
 
-def _laid_out(df: DataFrame) -> DataFrame:
+def _laid_out(df: DataFrame, of_one_day: bool = False) -> DataFrame:
     # Rebalancing brings the rows of a day together into files of the advisory
     # size, and AQE splits a day that is larger than that.
     require_utc(df.sparkSession)
     dated = df.withColumn("published_date", day_key(F.col("published_at"))).select(*NEWS.names)
-    return dated.hint("rebalance", "published_date")
+    return dated if of_one_day else dated.hint("rebalance", "published_date")
 
 
 # Ids are hashes, so the least and greatest of a row group say nothing about it. A
 # Bloom filter lets a lookup by id skip the row groups that cannot hold it.
-_LOOKUP = {"parquet.bloom.filter.enabled#id": "true"}
+_LOOKUP = {"parquet.bloom.filter.enabled#id": "true", "compression": "zstd"}
 
 
-def append_news(df: DataFrame, path: str) -> None:
-    """Append rows to the table, their keys first; ``df`` is read for each of the two."""
-    laid_out = _laid_out(df)
-    add_keys(df, path)
+def append_news(df: DataFrame, path: str, keys: DataFrame | None = None, of_one_day: bool = False) -> None:
+    """Append rows to the table, their keys first; ``df`` is read for each of the two.
+
+    ``keys`` has the rows' ids, URLs and times if the caller has these apart. Rows that are
+    all ``of_one_day``, and enough to fill the files of the tasks that read them, are
+    written by these tasks.
+    """
+    laid_out = _laid_out(df, of_one_day)
+    add_keys(df if keys is None else keys, path)
     (
         laid_out
         .write.mode("append")

@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.functions.dates import Instant, recent_cutoff
 from feedloom.functions.fixed import RECENT_HOURS
-from feedloom.operators.publish import KEY, append_new
+from feedloom.operators.publish import KEY, append_new, append_numbered
+from feedloom.operators.skew import numbered
 from feedloom.schema import ARTICLE
-from feedloom.session import materialize
 from feedloom.sources.landing import landed_articles
 from feedloom.sources.payload import CORRUPT, article_reader
 
@@ -64,12 +64,12 @@ def stream_publish(
 
     def publish_batch(batch: DataFrame, batch_id: int) -> None:
         # Read once; publishing looks at the batch several times.
-        numbered = batch.withColumn("payload_row", F.monotonically_increasing_id()).persist()
+        rows = batch.withColumn("payload_row", F.monotonically_increasing_id()).persist()
         try:
-            append_new(batch.sparkSession, numbered, news, clock())
-            _write_rejects(numbered, f"{rejects}/batch_id={batch_id}")
+            append_new(batch.sparkSession, rows, news, clock())
+            _write_rejects(rows, f"{rejects}/batch_id={batch_id}")
         finally:
-            numbered.unpersist()
+            rows.unpersist()
 
     return (
         files.writeStream.foreachBatch(publish_batch)
@@ -130,10 +130,10 @@ def stream_publish_ordered(
     rejects = rejects or f"{news.rstrip('/')}-rejects"
 
     def publish_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(batch, "landed")
+        rows = numbered(batch, "landed")
         for times in _slices(rows, files_per_publication):
             part = rows if times is None else rows.where(F.col("payload_time").between(*map(F.lit, times)))
-            append_new(batch.sparkSession, part, news, clock())
+            append_numbered(batch.sparkSession, part, news, clock())
         _write_rejects(rows, f"{rejects}/batch_id={batch_id}")
 
     return (
