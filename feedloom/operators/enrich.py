@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from feedloom.functions.fixed import ARTICLES_PER_FEED
 from feedloom.functions.response import has_answer
 from feedloom.operators.harvest import first_rows
-from feedloom.operators.skew import join_by_key
+from feedloom.operators.skew import join_by_key, numbered, rows_numbered
 from feedloom.schema import ANSWER
 from feedloom.session import materialize
 from feedloom.sources.answers import AnswerStore
@@ -96,18 +96,23 @@ def enrich(
 def _enrich_once(
     df: DataFrame, client: Client, text: str | Column, out: str, parallelism: int | None, answers: AnswerStore
 ) -> DataFrame:
-    rows = df.withColumn("_asked", _column(text))
-    rows = materialize(rows.withColumn("_digest", answers.digest(F.col("_asked"))), "asked")
-    questions = rows.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first("_asked").alias("_asked"))
-    told = materialize(answers.known(questions, "_digest", ["_digest"]), "known")
-    missing = told.where(F.col("_known").isNull()).select("_digest", "_asked")
+    # A text that is a column already is not written twice.
+    is_column = isinstance(text, str) and text in df.columns
+    asked = text if is_column else "_asked"
+    rows = df if is_column else df.withColumn("_asked", _column(text))
+    rows = numbered(rows.withColumn("_digest", answers.digest(F.col(asked))), "asked")
+    questions = rows.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.min("_row").alias("_row"))
+    told = materialize(answers.known(questions, "_digest", None), "known", compression="zstd")
+    missing = rows_numbered(rows, told.where(F.col("_known").isNull()).select("_row"))
+    missing = missing.select("_digest", F.col(asked).alias("_asked"))
     tasks = parallelism or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
-    given = materialize(enrich(missing, client, "_asked", "_given", tasks), "given")
+    given = enrich(missing, client, "_asked", "_given", tasks).drop("_asked")
+    given = materialize(given, "given", compression="zstd")
     answers.add(given, "_digest", "_given")
     all_answers = told.where(F.col("_known").isNotNull()).select("_digest", F.col("_known").alias(out)).unionByName(
         given.select("_digest", F.col("_given").alias(out))
     )
-    joined = join_by_key(rows, all_answers, ["_digest"], "left", ["_asked"])
+    joined = join_by_key(rows, all_answers, ["_digest"], "left", ["_row"])
     return joined.select(*df.columns, out)
 
 

@@ -48,15 +48,16 @@ class Runs:
         """What counts now; its ``version`` is 0 if nothing was ever written."""
         return versions.newest(spark, self.path)
 
-    def _write(self, rows: DataFrame, level: int) -> dict:
+    def _write(self, rows: DataFrame, level: int, grouped: bool = False) -> dict:
         name, digits = f"run={uuid.uuid4().hex}", _digits(level)
         rows = rows.select(*self.schema.names, F.substring(bucket_of(F.col(self.key)), 1, digits).alias("bucket"))
         # Sorted, so that a lookup of few keys passes over most row groups.
-        laid_out = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key)
+        laid_out = rows if grouped and not digits else rows.hint("rebalance", "bucket")
+        laid_out = laid_out.sortWithinPartitions("bucket", self.key)
         if digits:
-            laid_out.write.partitionBy("bucket").parquet(f"{self.path}/runs/{name}")
+            laid_out.write.partitionBy("bucket").parquet(f"{self.path}/runs/{name}", compression="zstd")
         else:
-            laid_out.drop("bucket").write.parquet(f"{self.path}/runs/{name}")
+            laid_out.drop("bucket").write.parquet(f"{self.path}/runs/{name}", compression="zstd")
         return {"name": name, "level": level}
 
     def _publish(self, spark: SparkSession, state: dict, runs: list[dict]) -> None:
@@ -89,14 +90,17 @@ class Runs:
             return None
         return [row[0] for row in keys.select(bucket_of(F.col(self.key))).distinct().collect()]
 
-    def add(self, rows: DataFrame) -> None:
-        """Add rows; ``rows`` without a row add nothing."""
+    def add(self, rows: DataFrame, grouped: bool = False) -> None:
+        """Add rows; ``rows`` without a row add nothing.
+
+        Rows that are ``grouped`` by their key were shuffled just now, and are not again.
+        """
         spark = rows.sparkSession
-        if rows.isEmpty():
+        if rows.select(self.key).isEmpty():
             return
         state = self.state(spark)
         before = state.get("runs", [])
-        runs, level = [*before, self._write(rows, 0)], 0
+        runs, level = [*before, self._write(rows, 0, grouped)], 0
         while len(same := [run for run in runs if run["level"] == level]) >= FAN:
             merged = self._write(self.read(spark, {"runs": same}).distinct(), level + 1)
             runs, level = [*(run for run in runs if run not in same), merged], level + 1
