@@ -22,6 +22,10 @@ from feedloom.streaming.publish import _utc_now, _write_rejects
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Long texts pass through Python: a batch of them is bounded by bytes, not only by rows.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CONF = {_STORE: _ROCKS, _BATCH_BYTES: str(4 << 20)}
+
 
 def _first_ever(order: list[str]):
     """The processor of one key, made in a function so that tasks need no import of this package."""
@@ -124,8 +128,9 @@ def stream_publish_unique(
         _write_rejects(rows, f"{rejects}/batch_id={batch_id}")
         versions.publish(spark, marks, mark, {"begun": batch_id, "done": batch_id})
 
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {name: spark.conf.get(name) for name in _CONF}
+    for name, value in _CONF.items():
+        spark.conf.set(name, value)
     try:
         return (
             first_ever(keyed, all_ids(spark, news), "id", order)
@@ -135,4 +140,5 @@ def stream_publish_unique(
             .start()
         )
     finally:
-        spark.conf.set(_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
