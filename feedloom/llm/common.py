@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,10 +57,20 @@ def kept(key: tuple, make: Callable[[], object]):
     """What ``make`` made under this key, unless the worker has since kept something else."""
     if key not in _KEPT:
         _KEPT.clear()
+        release_memory()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def release_memory() -> None:
+    """Give back to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of a short task list; not for tables of documents."""
     for batch in batches:
