@@ -9,23 +9,41 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import kept, small, texts
+from feedloom.llm.common import kept, small, spread
 from feedloom.operators.skew import HOT_SHARE, join_by_key
 from feedloom.session import materialize
 
 _BOUNDARY = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_SPANS = "doc_id long, tie long, h1 long, h2 long, first int, last int"
 _RANGES = "array<struct<first:int,last:int>>"
 _WORD = re.compile(r"\S+")  # what str.split() gives
 
-# Which grams repeat is sent to all tasks in a table of this many bits, in pieces of so
-# many. Two grams that share a bit cost rows and change no result.
-_BITS, _PIECE = 1 << 27, 1 << 20
-# A word run with fewer places than this is left to one task.
-_COLD = 20_000
+# Places that share a mark: a span (``last`` its last sentence) or runs of words that begin
+# one after another from word ``first`` on (``last`` -1), with a digest of 8 bytes for
+# each. What is equal has the same mark and the same digest.
+_PLACES = "mark long, share int, doc_id long, tie long, first int, last int, digests binary"
+_DECIDED = "doc_id long, tie long, first int, last int, span boolean, h1 long, h2 long"
+
+# Which marks repeat is sent to all tasks in a table of 32 bits for each, rounded up, in
+# pieces of so many. Two marks that share a bit cost rows and change no result.
+_FEWEST, _MOST, _PIECE = 1 << 24, 1 << 29, 1 << 20
+# A mark with fewer places than this is left to one task.
+_COLD = 4_000
+# Texts are read in blocks of about so many bytes, and so many runs go into a row.
+_BLOCK, _TOGETHER = 1 << 20, 128
+
+_SPACES = [c for c in range(0x10000) if chr(c).isspace()]
+_BLANK, _LEADS, _STOPS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[c for c in _SPACES if c < 128]] = True
+_WIDE = [chr(c).encode() for c in _SPACES if c >= 128]
+_LEADS[[c[0] for c in _WIDE]] = True
+_WIDE = np.array([int.from_bytes(c.ljust(3, b"\0"), "big") for c in _WIDE], np.uint32)
+_STOPS[list(b".!?")] = True
+# The first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_A, _B, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -38,43 +56,121 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def spans(text: str, least: int, words: int, enough: int) -> list[tuple[int, int, bytes]]:
-    """Runs of consecutive sentences: (first, last, digest of their words).
-
-    A run goes on until it has ``least`` sentences and ``words`` words, or ``enough``
-    words in fewer sentences. There is the shortest such run from every sentence on and
-    the shortest up to every sentence, so in a shared passage no sentence at either end
-    is left out. White space between words does not count.
-    """
-    split = [text[a:b].split() for a, b in sentences(text)]
-    split = [(at, own) for at, own in enumerate(split) if own]
-    digests = [xxhash.xxh3_128_digest(" ".join(own)) for _, own in split]
-    before = [0]
-    for _, own in split:
-        before.append(before[-1] + len(own))
-
-    def full(i: int, j: int) -> bool:
-        n = before[j] - before[i]
-        return n >= enough or (j - i >= least and n >= words)
-
-    runs, j = {}, 0
-    for i in range(len(split)):
-        while j < len(split) and not full(i, j):
-            j += 1
-        if not full(i, j):
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = values * _A
+    values ^= values >> np.uint64(29)
+    values *= _B
+    values ^= values >> np.uint64(32)
+    return values
+
+
+def _blanks(content: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts are of white space, which is what `str.split` splits at."""
+    blank = _BLANK[content]
+    at = np.flatnonzero(_LEADS[content])
+    if len(at):
+        after = np.append(content, [0, 0]).astype(np.uint32)
+        three = content[at] >= 0xE0
+        code = (after[at] << 16) | (after[at + 1] << 8) | np.where(three, after[at + 2], 0)
+        found = np.isin(code, _WIDE)
+        at, three = at[found], three[found]
+        blank[at] = blank[at + 1] = True
+        blank[at[three] + 2] = True
+    return blank
+
+
+def _hashes(content: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from eight bytes at a time; long words by the library."""
+    length = ends - starts
+    hashes = _mixed(length.astype(np.uint64) + _A)
+    padded = np.append(content, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(content) + 1, "<u8", padded, strides=(1,))
+    at, left, own = starts, length, None
+    for _ in range(8):
+        chunk = eight[at] & _FIRST[np.minimum(left, 8)]
+        if own is None:
+            hashes = _mixed(hashes ^ chunk)
+        else:
+            hashes[own] = _mixed(hashes[own] ^ chunk)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
             break
-        runs[i, j] = None
-    i = len(split)
-    for j in range(len(split), 0, -1):
-        i = min(i, j)
-        while i > 0 and not full(i, j):
-            i -= 1
-        if not full(i, j):
-            break
-        runs[i, j] = None
-    return [
-        (split[i][0], split[j - 1][0], xxhash.xxh3_128_digest(b"".join(digests[i:j]))) for i, j in runs
-    ]
+        own = more if own is None else own[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length > 64).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(content[starts[i] : ends[i]].tobytes())
+    return hashes
+
+
+class _Block:
+    """The words of some texts: their hashes, and the first of each text."""
+
+    def __init__(self, content: np.ndarray, offsets: np.ndarray):
+        filled = offsets[1:] > offsets[:-1]
+        begins, ends = offsets[:-1][filled], offsets[1:][filled] - 1
+        blank = _blanks(content)
+        ink = ~blank
+        first, last = ink.copy(), ink.copy()
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        first[begins], last[ends] = ink[begins], ink[ends]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.hashes = _hashes(content, starts, ends)
+        self.first = np.searchsorted(starts, offsets)
+        self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self._lines = np.searchsorted(lines := np.flatnonzero(content == 10), starts)
+        self._lines_before = np.searchsorted(lines, offsets)
+        self._stops = _STOPS[content[ends - 1]]
+
+    def spans(self, least: int, words: int, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of each span its text, first and last sentence and digest; see :func:`spans`."""
+        count, lines = len(self.hashes), self._lines
+        if not count:
+            return self.owner, self.owner, self.owner, []
+        begins = np.ones(count, bool)
+        begins[1:] = self._stops[:-1] | (lines[1:] > lines[:-1])
+        texts = self.first[:-1][np.diff(self.first) > 0]
+        begins[texts] = True
+        before = np.append(np.flatnonzero(begins), count)
+        own = self.owner[before[:-1]]
+        at = np.searchsorted(before[:-1], self.first)
+        i = np.arange(len(own))
+        enough_at, words_at = (np.searchsorted(before, before[:-1] + n) for n in (enough, words))
+        to = np.minimum(enough_at, np.maximum(i + least, words_at))
+        good = to <= at[own + 1]
+        enough_at, words_at = (np.searchsorted(before, before[1:] - n, "right") - 1 for n in (enough, words))
+        since = np.maximum(enough_at, np.minimum(i + 1 - least, words_at))
+        other = since >= at[own]
+        other[other] = ~(good[since[other]] & (to[since[other]] == i[other] + 1))
+        first, last = np.concatenate([i[good], since[other]]), np.concatenate([to[good], i[other] + 1])
+        marked = self.hashes.copy()
+        marked[before[1:] - 1] ^= _LAST
+        content = memoryview(marked.tobytes())
+        digests = [xxhash.xxh3_128_digest(content[a:b]) for a, b in zip((8 * before[first]).tolist(), (8 * before[last]).tolist(), strict=True)]
+        owner = own[first]
+        # White space that holds a line's end before the first word is a sentence of its own.
+        blank = np.zeros(len(self.first) - 1, np.int64)
+        blank[own[at[:-1][np.diff(at) > 0]]] = lines[texts] > self._lines_before[:-1][np.diff(at) > 0]
+        lead = blank[owner] - at[owner]
+        return owner, first + lead, last - 1 + lead, digests
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The grams, where a run of ``size`` words begins, and the least hash of the grams of each run.
+
+        A gram is up to 16 words in a row. Equal runs have equal least hashes, whatever is
+        around them.
+        """
+        grams, width = self.hashes, 1
+        if len(grams) < size:
+            return grams[:0], np.zeros(0, np.int64), grams[:0]
+        while width < 16 and width * 2 <= size:
+            grams = grams[:-width] * _A + grams[width:] * _B
+            grams ^= grams >> np.uint64(31)
+            width *= 2
+        least = _least(grams, size - width + 1)
+        end = self.first[1:][self.owner]
+        at = np.flatnonzero(np.arange(len(least)) + size <= end[: len(least)])
+        return grams[np.arange(len(grams)) + width <= end[: len(grams)]], at, least[at]
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,116 +182,263 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - done)], values[width - done :])
 
 
-def runs_of_words(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word and each gram, and for each run of ``size`` words the least hash of its grams.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Block]]:
+    """Slices of batches with about ``_BLOCK`` bytes of texts each, or one text."""
+    for batch in small(batches):
+        column = batch.column("text").cast(pa.large_string())
+        if column.null_count:
+            column = column.fill_null("")
+        buffers = column.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        content = np.frombuffer(buffers[2] or b"", np.uint8)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _BLOCK, "right")) - 1)
+            last = min(last, batch.num_rows)
+            own = offsets[first : last + 1]
+            yield batch.slice(first, last - first), _Block(content[own[0] : own[-1]], own - own[0])
+            first = last
 
-    A gram is up to 16 words in a row. Equal runs have equal least hashes, whatever is
-    around them.
+
+def spans(text: str, least: int, words: int, enough: int) -> list[tuple[int, int, bytes]]:
+    """Runs of consecutive sentences: (first, last, digest of their words).
+
+    A run goes on until it has ``least`` sentences and ``words`` words, or ``enough``
+    words in fewer sentences. There is the shortest such run from every sentence on and
+    the shortest up to every sentence, so in a shared passage no sentence at either end
+    is left out. White space between words does not count.
     """
-    words = text.split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) < size:
-        return hashes, hashes[:0], hashes[:0]
-    grams, width = hashes, 1
-    while width < 16 and width * 2 <= size:
-        grams = grams[:-width] * np.uint64(0x9E3779B97F4A7C15) + grams[width:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        grams ^= grams >> np.uint64(31)
-        width *= 2
-    return hashes, grams, _least(grams, size - width + 1)
+    content = np.frombuffer(text.encode(), np.uint8)
+    _, first, last, digests = _Block(content, np.array([0, len(content)])).spans(least, words, enough)
+    return list(zip(first.tolist(), last.tolist(), digests, strict=True))
 
 
-def repeated_runs(docs: DataFrame, size: int) -> DataFrame:
-    """Words of each document that a repeated run of ``size`` words covers, but for its first place.
+def _repeated(docs: DataFrame, by: tuple[int, int, int] | None, size: int | None) -> DataFrame:
+    """What of each document repeated spans and runs cover, but for their first places.
 
-    Like :func:`repeated_spans`, the ranges being of word numbers. A run begins and ends
-    at any word. Of a run that overlaps its own first place, only what lies behind that
-    place counts. First the places of the least grams are counted; then only runs whose least gram repeats are hashed and shuffled.
+    ``by`` is what a span needs, ``size`` the words of a run. Returns ``doc_id, tie, ranges,
+    runs``, null where there is none. The mark of a span is half of its digest of 128 bits, that
+    of a run the least of its grams, beside a digest of 64 bits. First the places of the marks are counted; then only what has a
+    repeated mark is shuffled, all runs around one gram as one row. Rows of a mark are put
+    in order and a task sees which are not the first. A mark with many places is dealt out
+    by documents; what a task cannot tell of it alone, the first places it has and what
+    repeats in their documents, is compared once more.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept(("passages",), dict)
-        for batch in small(batches):
-            found = []
-            for text in texts(batch):
-                _, grams, least = runs_of_words(text, size)
-                if len(least):
-                    distinct, n = np.unique(grams, return_counts=True)
-                    at = np.searchsorted(distinct, np.unique(least))
-                    found.append((distinct[at], n[at]))
-            if not found:
-                continue
-            marks, places = (np.concatenate(part) for part in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(places.astype(np.int64))], names=["mark", "n"])
+        kept(("passages",), dict)  # nothing, in the place of what another stage has kept
+        for _, block in _blocks(batches):
+            marks, places = [], []
+            if by:
+                digests = np.frombuffer(b"".join(block.spans(*by)[3]), "<i8")[::2]
+                distinct, n = np.unique(digests, return_counts=True)
+                marks.append(distinct)
+                places.append(n)
+            if size:
+                grams, _, least = block.runs(size)
+                distinct, n = np.unique(grams, return_counts=True)
+                at = np.searchsorted(distinct, np.unique(least))
+                marks.append(distinct[at].view(np.int64))
+                places.append(n[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(marks)), pa.array(np.concatenate(places).astype(np.int64))], names=["mark", "n"]
+            )
 
     def table(group: pa.Table) -> pa.Table:
         bits = np.zeros(_PIECE, np.uint8)
         bits[group.column("bit").to_numpy() % _PIECE] = 1
         return pa.table({"piece": group.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()])})
 
-    wanted = _wanted(docs)
+    wanted = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), tie_of(F.col("text")).alias("tie"), F.col("text").cast("string").alias("text")
+    )
     marks = materialize(
         wanted.mapInArrow(mark, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1"), "passages-marks"
     )
-    bit = F.pmod("mark", F.lit(_BITS))
-    placed_at = marks.select(bit.alias("bit"), F.expr(f"pmod(mark, {_BITS}L) div {_PIECE}").alias("piece")).distinct()
-    pieces = placed_at.groupBy("piece").applyInArrow(table, "piece long, bits binary").collect()
-    repeats = np.zeros(_BITS // 8, np.uint8)
-    for piece, bits in pieces:
+    distinct, total = marks.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size_of_table = min(_MOST, max(_FEWEST, 1 << (32 * distinct).bit_length()))
+    bit = F.pmod("mark", F.lit(size_of_table))
+    placed_at = marks.select(bit.alias("bit"), F.expr(f"pmod(mark, {size_of_table}L) div {_PIECE}").alias("piece")).distinct()
+    repeats = np.zeros(size_of_table // 8, np.uint8)
+    for piece, bits in placed_at.groupBy("piece").applyInArrow(table, "piece long, bits binary").collect():
         repeats[piece * _PIECE // 8 : (piece + 1) * _PIECE // 8] = np.frombuffer(bits, np.uint8)
-    least = max(_COLD, (marks.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = [row[0] for row in marks.where(F.col("n") > least).select("mark").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast((repeats, np.array(hot, np.int64).view(np.uint64)))
-
-    def cut(asked: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept(("passages",), dict)
-            repeats, hot = sent.value
-            for batch in small(batches, 256):
-                owner, first, digests = [], [], []
-                for row, text in enumerate(texts(batch)):
-                    hashes, _, least = runs_of_words(text, size)
-                    at = (least.view(np.int64) % _BITS).astype(np.int64)
-                    chosen = (repeats[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                    if len(hot):
-                        chosen &= np.isin(least, hot) == asked
-                    starts = np.flatnonzero(chosen)
-                    content = hashes.tobytes()
-                    digests += [xxhash.xxh3_128_digest(content[8 * i : 8 * (i + size)]) for i in starts.tolist()]
-                    owner.append(np.full(len(starts), row))
-                    first.append(starts)
-                yield _placed(batch, owner, digests, first, [f + (size - 1) for f in first])
-
-        return wanted.mapInArrow(run, _SPANS)
-
-    start = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tie", "first")
-    cold = cut(False).withColumn("kept", F.min(start).over(Window.partitionBy("h1", "h2")))
-    again = cold.where(start != F.col("kept")).select("doc_id", "tie", "first", "last", "kept")
-    if hot:
-        again = again.unionByName(_again(materialize(cut(True), "passages-hot")).select(*again.columns))
-    own = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tie") == F.col("kept.tie"))
-    behind = F.when(own, F.greatest("first", F.col("kept.first") + size)).otherwise(F.col("first")).cast("int")
-    return _ranges(again.withColumn("first", behind).where("first <= last"), "passages-runs")
-
+    # Fewer than a million, and a task holds what differs of one.
+    hot = [row[0] for row in marks.where(F.col("n") > max(_COLD, total // 1_000_000)).select("mark").collect()]
+    sent = docs.sparkSession.sparkContext.broadcast((repeats, np.sort(np.array(hot, np.int64))))
+    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _wanted(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), tie_of(F.col("text")).alias("tie"), F.col("text").cast("string").alias("text")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("passages",), dict)
+        repeats, hot = sent.value
+
+        def again(marks: np.ndarray) -> np.ndarray:
+            at = marks % size_of_table
+            return (repeats[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+        for batch, block in _blocks(batches):
+            if by:
+                owner, first, last, digests = block.spans(*by)
+                digests = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                chosen = again(digests[:, 0])
+                digests = digests[chosen]
+                each = np.arange(len(digests) + 1)
+                yield _placed(batch, hot, shares, digests[:, 0], owner[chosen], first[chosen], last[chosen], each, digests[:, 1].tobytes())
+            if size:
+                _, at, least = block.runs(size)
+                least = least.view(np.int64)
+                chosen = again(least)
+                at, least = at[chosen], least[chosen]
+                content = memoryview(block.hashes.tobytes())
+                digests = [xxhash.xxh3_64_intdigest(content[i : i + 8 * size]) for i in (8 * at).tolist()]
+                digests = np.array(digests, np.uint64).tobytes()
+                owner = block.owner[at]
+                breaks = np.ones(len(at), bool)
+                breaks[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+                heads = np.flatnonzero(breaks)
+                behind = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+                heads = np.flatnonzero(behind % _TOGETHER == 0)
+                owner, first = owner[heads], at[heads] - block.first[owner[heads]]
+                yield _placed(batch, hot, shares, least[heads], owner, first, np.full(len(heads), -1), np.append(heads, len(at)), digests)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("passages",), dict)
+        known = None
+        for batch in batches:
+            if batch.num_rows:
+                known, decided = _decided(known, batch, size or 0)
+                yield decided
+
+    order = ["mark", "share", F.col("doc_id").asc_nulls_last(), "tie", "first"]
+    placed = spread(wanted.mapInArrow(cut, _PLACES), "mark", "share").sortWithinPartitions(*order)
+    found = placed.mapInArrow(decide, _DECIDED)
+    names = ["doc_id", "tie", "first", "last", "span"]
+    if hot:
+        found = materialize(found, "passages-found")
+        more = _again(found.where("h1 IS NOT NULL"))
+        own = ~F.col("span") & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("tie") == F.col("kept.tie"))
+        behind = F.when(own, F.greatest("first", F.col("kept.first") + (size or 0))).otherwise(F.col("first")).cast("int")
+        more = more.withColumn("first", behind).where("first <= last")
+        found = found.where("h1 IS NULL").select(*names).unionByName(more.select(*names))
+    one = F.struct("first", "last")
+    ranges = found.groupBy("doc_id", "tie").agg(
+        F.collect_set(F.when(F.col("span"), one)).alias("ranges"), F.collect_set(F.when(~F.col("span"), one)).alias("runs")
     )
-
-
-def _placed(batch: pa.RecordBatch, owner: list, digests: list[bytes], first: list, last: list) -> pa.RecordBatch:
-    """Rows of ``_SPANS``, ``owner`` being their rows in the batch."""
-    owner, first, last = (np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64) for part in (owner, first, last))
-    halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    merged = [F.when(F.size(name) > 0, _merged(F.array_sort(name))).alias(name) for name in ("ranges", "runs")]
+    return materialize(ranges.select("doc_id", "tie", *merged), "passages-repeated")
+
+
+def _placed(
+    batch: pa.RecordBatch,
+    hot: np.ndarray,
+    shares: int,
+    marks: np.ndarray,
+    owner: np.ndarray,
+    first: np.ndarray,
+    last: np.ndarray,
+    bounds: np.ndarray,
+    digests: bytes,
+) -> pa.RecordBatch:
+    """Rows of ``_PLACES``, ``owner`` being their rows in the batch and ``bounds`` those of their digests."""
+    doc_ids, ties = (batch.column(name).take(pa.array(owner)) for name in ("doc_id", "tie"))
+    share = np.full(len(marks), -1, np.int32)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, marks), len(hot) - 1)
+        document = doc_ids.fill_null(0).to_numpy().view(np.uint64) * _A ^ ties.to_numpy().view(np.uint64)
+        share = np.where(hot[at] == marks, (_mixed(document) % np.uint64(shares)).astype(np.int32), share)
+    bounds = pa.py_buffer((8 * bounds).astype(np.int32).tobytes())
     columns = [
-        batch.column("doc_id").take(pa.array(owner)),
-        batch.column("tie").take(pa.array(owner)),
-        pa.array(np.ascontiguousarray(halves[:, 0])),
-        pa.array(np.ascontiguousarray(halves[:, 1])),
+        pa.array(np.ascontiguousarray(marks)),
+        pa.array(share),
+        doc_ids,
+        ties,
         pa.array(first.astype(np.int32)),
         pa.array(last.astype(np.int32)),
+        pa.Array.from_buffers(pa.binary(), len(marks), [None, bounds, pa.py_buffer(digests)]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "h1", "h2", "first", "last"])
+    return pa.RecordBatch.from_arrays(columns, names=["mark", "share", "doc_id", "tie", "first", "last", "digests"])
+
+
+def _decided(known: dict | None, batch: pa.RecordBatch, size: int) -> tuple[dict, pa.RecordBatch]:
+    """Rows of ``_DECIDED`` from sorted rows of ``_PLACES``: what is not the first of its digest.
+
+    With a digest are rows of hot marks of which this task cannot tell. ``known`` has the
+    first places of the last mark of the rows before; what is returned has those of this
+    batch's last mark, one for each digest, which are all that a later batch may need.
+    """
+    mark, share, tie, first, last = (batch.column(name).to_numpy() for name in ("mark", "share", "tie", "first", "last"))
+    doc_id = batch.column("doc_id").fill_null(0).to_numpy()
+    missing = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+    column = batch.column("digests")
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    digests = np.frombuffer(column.buffers()[2], "<i8", (bounds[-1] - bounds[0]) // 8, bounds[0])
+    count = np.diff(bounds) // 8
+    row = np.repeat(np.arange(len(mark)), count)
+    group = np.append(0, np.cumsum((mark[1:] != mark[:-1]) | (share[1:] != share[:-1])))
+    span = last >= 0
+    columns = {
+        "digest": digests,
+        "group": group[row],
+        "doc_id": doc_id[row],
+        "missing": missing[row],
+        "tie": tie[row],
+        "first": first[row].astype(np.int64) + np.arange(len(row)) - (bounds[:-1] - bounds[0])[row] // 8,
+    }
+    old = 0
+    if known is not None and known["of"] == (mark[0], share[0]):
+        old = len(known["group"])
+        columns = {name: np.concatenate([known[name], values]) for name, values in columns.items()}
+    digest, group = columns["digest"], columns["group"]
+    order = np.argsort(digest, kind="stable")
+    equal = digest[order][1:] == digest[order][:-1]
+    same = equal & (group[order][1:] == group[order][:-1])
+    if (equal != same).any():
+        order = np.lexsort((digest, group))
+        same = (digest[order][1:] == digest[order][:-1]) & (group[order][1:] == group[order][:-1])
+    head = np.append(True, ~same)
+    origin = np.empty(len(order), np.int64)
+    origin[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    leads = origin == np.arange(len(origin))
+    own = np.logical_and.reduce([columns[name] == columns[name][origin] for name in ("doc_id", "missing", "tie")])
+    behind = columns["first"][origin] + size
+    again = ~(own & (columns["first"] == columns["first"][origin]))
+    known = {name: values[leads & (group == group[-1])] for name, values in columns.items()}
+    known = known | {"of": (mark[-1], share[-1]), "group": np.zeros(len(known["group"]), np.int64)}
+    leads, own, behind, again = leads[old:], own[old:], behind[old:], again[old:]
+    begin = columns["first"][old:]
+    span_of, hot = span[row], share[row] >= 0
+    end = np.where(span_of, last[row], begin + size - 1)
+    open_ = np.flatnonzero(hot & (leads | (again & own & ~span_of)))
+    again &= ~(hot & own & ~span_of)
+    begin_behind = np.where(own & ~span_of, np.maximum(begin, behind), begin)
+    told = np.flatnonzero(again & (begin_behind <= end))
+    f, l, r = begin_behind[told], end[told], row[told]
+    breaks = np.ones(len(told), bool)
+    breaks[1:] = (r[1:] != r[:-1]) | (f[1:] > l[:-1] + 1)
+    heads = np.flatnonzero(breaks)
+    if len(heads):
+        f, l, r = np.minimum.reduceat(f, heads), np.maximum.reduceat(l, heads), r[heads]
+    rows = pa.array(np.concatenate([r, row[open_]]))
+    none = pa.nulls(len(r), pa.int64())
+    halves = [pa.concat_arrays([none, pa.array(values)]) for values in (mark[row[open_]], digests[open_])]
+    columns = [
+        batch.column("doc_id").take(rows),
+        batch.column("tie").take(rows),
+        pa.array(np.concatenate([f, begin[open_]]).astype(np.int32)),
+        pa.array(np.concatenate([l, end[open_]]).astype(np.int32)),
+        pa.array(span).take(rows),
+        *halves,
+    ]
+    return known, pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "first", "last", "span", "h1", "h2"])
+
+
+def repeated_runs(docs: DataFrame, size: int) -> DataFrame:
+    """Words of each document that a repeated run of ``size`` words covers, but for its first place.
+
+    Like :func:`repeated_spans`, the ranges being of word numbers. A run begins and ends
+    at any word. Of a run that overlaps its own first place, only what lies behind that
+    place counts.
+    """
+    return _repeated(docs, None, size).select("doc_id", "tie", F.col("runs").alias("ranges"))
 
 
 def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int = 50) -> DataFrame:
@@ -207,26 +450,7 @@ def repeated_spans(docs: DataFrame, least: int = 3, words: int = 15, enough: int
     smallest ``doc_id`` (a missing one comes last), then the smallest ``tie``, then the
     first in the text; repeated rows are one document here.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept(("passages",), dict)  # nothing, in the place of what another stage has kept
-        for batch in small(batches):
-            found = [spans(text, least, words, enough) for text in texts(batch)]
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            digests = np.frombuffer(b"".join(s[2] for f in found for s in f), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(owner)),
-                    batch.column("tie").take(pa.array(owner)),
-                    pa.array(np.ascontiguousarray(digests[:, 0])),
-                    pa.array(np.ascontiguousarray(digests[:, 1])),
-                    pa.array([s[0] for f in found for s in f], pa.int32()),
-                    pa.array([s[1] for f in found for s in f], pa.int32()),
-                ],
-                names=["doc_id", "tie", "h1", "h2", "first", "last"],
-            )
-
-    return _ranges(_again(materialize(_wanted(docs).mapInArrow(cut, _SPANS), "passages-spans")), "passages-repeated")
+    return _repeated(docs, (least, words, enough), None).select("doc_id", "tie", "ranges")
 
 
 def _again(placed: DataFrame) -> DataFrame:
@@ -243,11 +467,6 @@ def _again(placed: DataFrame) -> DataFrame:
     ).where(place != F.col("kept"))
 
 
-def _ranges(again: DataFrame, name: str) -> DataFrame:
-    ranges = again.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    return materialize(ranges.withColumn("ranges", _merged(F.array_sort("ranges"))), name)
-
-
 def _merged(ranges: Column) -> Column:
     """Sorted ranges, those that overlap or follow one another as one."""
 
@@ -308,17 +527,7 @@ def drop_repeated_passages(
     sentences and ``words`` words, or of ``enough`` words, count. With ``anywhere``, runs
     of that many words count as well, wherever in a sentence they begin and end.
     """
-    ranges = repeated_spans(docs, least, words, enough)
-    if anywhere:
-        runs = repeated_runs(docs, anywhere).withColumnRenamed("ranges", "runs")
-        # Each has a document once; by union, since a missing number equals none in a join.
-        both = ranges.withColumn("runs", F.lit(None).cast(_RANGES)).unionByName(
-            runs.withColumn("ranges", F.lit(None).cast(_RANGES))
-        )
-        ranges = both.groupBy("doc_id", "tie").agg(F.first("ranges", True).alias("ranges"), F.first("runs", True).alias("runs"))
-        ranges = materialize(ranges, "passages-both")
-    else:
-        ranges = ranges.withColumn("runs", F.lit(None).cast(_RANGES))
+    ranges = _repeated(docs, (least, words, enough), anywhere)
     names = ["_id", "_tie"]
     ranges = ranges.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("tie").alias("_tie"),

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedloom.llm.components import components
@@ -215,3 +217,85 @@ def test_long_sentences_count_alone():
     assert [s[:2] for s in spans("Short. " + one + " Short.", 3, 15, 50)] == [(0, 1), (1, 1), (1, 2)]
     assert spans("Of. The. And.", 3, 15, 50) == []
     assert "".join("a. b\n\nc! "[a:b] for a, b in sentences("a. b\n\nc! ")) == "a. b\n\nc! "
+
+
+@pytest.mark.parametrize("cold", [4_000, 1])
+def test_places_of_a_common_passage_are_not_joined_one_by_one(spark, monkeypatch, cold):
+    """What a task can tell alone is told there; only the first places of each task meet again."""
+    monkeypatch.setattr(passages, "_COLD", cold)
+    compared = []
+    again = passages._again
+
+    def counted(placed):
+        found = again(placed)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(passages, "_again", counted)
+    passage = " ".join(f"word{i}{'.' if i % 6 == 5 else ''}" for i in range(90))
+    rows = [(i, f"Own{i} start{i}. {passage} Own{i} end{i}.") for i in range(400)] + [(None, passage), (7, "loop " * 150), (7, "loop " * 150)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in drop_repeated_passages(given, anywhere=50).collect())
+    left = [(False, i, f"Own{i} start{i}. Own{i} end{i}.") for i in range(400)] + [(False, 7, "loop " * 50)] * 2 + [(True, 0, "")]
+    left[0] = (False, 0, rows[0][1])
+    assert out == sorted(left)
+    spans_and_runs = 30 + 41
+    assert sum(compared) <= 8 * spans_and_runs + 2 * 101
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_places_are_told_across_batches(rows):
+    """Sorted places, some of them twice, in batches of any size give what all at once give."""
+    rng = random.Random(3)
+    places = []
+    for mark in range(6):
+        for doc_id in sorted(rng.choices(range(9), k=12)):
+            places.append((mark, mark % 3 - 1, doc_id, 5, rng.randrange(40), -1, [rng.randrange(4) for _ in range(rng.randint(1, 5))]))
+    places += [(6, 0, 1, 5, 2, 4, [9]), (6, 0, 2, 5, 2, 4, [9]), (6, 0, 2, 5, 2, 4, [9]), (6, 0, None, 5, 0, 2, [9])]
+    places.sort(key=lambda p: (p[0], p[1], p[2] is None, p[2] or 0, p[4]))
+    schema = pa.schema([("mark", pa.int64()), ("share", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("digests", pa.binary())])
+    columns = [list(c) for c in zip(*places, strict=True)]
+    columns[6] = [np.array(d, "<i8").tobytes() for d in columns[6]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    seen, expected, open_ = {}, set(), set()
+    for mark, share, doc_id, _, first, last, digests in places:
+        for at, digest in enumerate(digests, first):
+            lead = seen.setdefault((mark, digest), (doc_id, at))
+            if lead == (doc_id, at):
+                if share >= 0:
+                    open_.add((doc_id, at, mark, digest))
+            elif last >= 0:
+                expected.add((doc_id, mark, at, last))
+            elif share >= 0 and lead[0] == doc_id:
+                open_.add((doc_id, at, mark, digest))
+            else:
+                start = max(at, lead[1] + 3) if lead[0] == doc_id else at
+                expected |= {(doc_id, mark, w, w) for w in range(start, at + 3)}
+    known, found, left = None, set(), set()
+    for at in range(0, len(places), rows):
+        batch = whole.slice(at, rows)
+        known, decided = passages._decided(known, batch, 3)
+        for r in decided.to_pylist():
+            if r["h1"] is not None:
+                left.add((r["doc_id"], r["first"], r["h1"], r["h2"]))
+            elif r["span"]:
+                found.add((r["doc_id"], r["first"], r["last"]))
+            else:
+                found |= {(r["doc_id"], w, w) for w in range(r["first"], r["last"] + 1)}
+    assert left == open_
+    assert found == {(d, a, b) for d, _, a, b in expected}
+
+
+def test_words_and_sentences_are_those_of_python():
+    """Cut from bytes, texts have the words of str.split and the sentences of the regular expression."""
+    texts = ["", " \n\t ", "\n\n a b. c\n", "a.b  c! d e　f\x85g\x1ch", "日本語。 x. é​q\n y", "w" * 300 + " " + "w" * 301 + "é" * 40]
+    contents = [text.encode() for text in texts]
+    block = passages._Block(np.frombuffer(b"".join(contents), np.uint8), np.append(0, np.cumsum([len(c) for c in contents])))
+    words = [text.split() for text in texts]
+    assert np.diff(block.first).tolist() == [len(own) for own in words]
+    hashes = dict(zip([w for own in words for w in own], block.hashes.tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes)
+    for row, text in enumerate(texts):
+        held = [k for k, (a, b) in enumerate(sentences(text)) if text[a:b].split()]
+        owner, first, last, _ = block.spans(1, 1, 1)
+        assert first[owner == row].tolist() == last[owner == row].tolist() == held
