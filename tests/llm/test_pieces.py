@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from feedloom.llm import pieces as module
 from feedloom.llm.pieces import SPACE, NBest, alternative, decode_pieces, encode_pieces
 from feedloom.llm.queries import PIECES
 
@@ -51,3 +53,23 @@ def test_texts_come_back(cases):
 def test_a_text_without_spaces_is_bounded():
     ids, count, scores, _ = NBest(PIECES, 4).encode("abcde" * 4000)
     assert count == len(ids) // 4 and len(scores) == 4 and scores == sorted(scores, reverse=True)
+
+
+def test_words_of_a_block_are_solved_together(monkeypatch):
+    rng, alone = random.Random(2), []
+    words = ["".join(rng.choice(["the", "ing", "ou", "er", "a", "n", ".", "日", "aa"]) for _ in range(rng.randrange(1, 6))) for _ in range(3000)]
+    texts = [" ".join(words[at : at + 60]) for at in range(0, len(words), 60)] + [None, "", "  ", " a  b ", "x" * 65]
+    solve = module.n_best
+    monkeypatch.setattr(module, "n_best", lambda word, *more: alone.append(word) or solve(word, *more))
+    encoder = NBest(PIECES, 4)
+    done = list(encoder.encode_all(pa.array(texts, pa.large_string())))
+    assert len(alone) < len(set(words)) / 3
+    assert done == [encoder.encode(text or "") for text in texts]
+    assert done[-5] == done[-4] == (b"", 0, [0.0], [])
+    trie = module._Trie(encoder.pieces)
+    for word in sorted({SPACE + word.replace("日", "n") for word in words}):
+        scores, ids, number = trie.solve(np.array([[ord(c) for c in word]]))
+        ways = solve(word, encoder.pieces, 3)
+        assert np.allclose(scores[: len(ways), 0], [way[0] for way in ways], rtol=0, atol=1e-9)
+        if len(ways) < 2 or ways[0][0] - ways[1][0] > 1e-9:
+            assert scores[0, 0] == ways[0][0] and ids[0, : number[0]].tobytes() == ways[0][1]
