@@ -220,9 +220,10 @@ def _repeated(docs: DataFrame, by: tuple[int, int, int] | None, size: int | None
     runs``, null where there is none. The mark of a span is half of its digest of 128 bits, that
     of a run the least of its grams, beside a digest of 64 bits. First the places of the marks are counted; then only what has a
     repeated mark is shuffled, all runs around one gram as one row. Rows of a mark are put
-    in order and a task sees which are not the first. A mark with many places is dealt out
-    by documents; what a task cannot tell of it alone, the first places it has and what
-    repeats in their documents, is compared once more.
+    in order and a task sees which are not the first; of a mark and a document it tells the
+    stretches that these cover, not each place. A mark with many places is dealt out by
+    documents; what a task cannot tell of it alone, the first places it has and what repeats
+    in their documents, is compared once more.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +362,9 @@ def _placed(
 def _decided(known: dict | None, batch: pa.RecordBatch, size: int) -> tuple[dict, pa.RecordBatch]:
     """Rows of ``_DECIDED`` from sorted rows of ``_PLACES``: what is not the first of its digest.
 
-    With a digest are rows of hot marks of which this task cannot tell. ``known`` has the
-    first places of the last mark of the rows before; what is returned has those of this
+    Places of a mark that overlap or follow one another in a document are one row. With a
+    digest are rows of hot marks of which this task cannot tell. ``known`` has the first
+    places of the last mark of the rows before; what is returned has those of this
     batch's last mark, one for each digest, which are all that a later batch may need.
     """
     mark, share, tie, first, last = (batch.column(name).to_numpy() for name in ("mark", "share", "tie", "first", "last"))
@@ -412,8 +414,10 @@ def _decided(known: dict | None, batch: pa.RecordBatch, size: int) -> tuple[dict
     begin_behind = np.where(own & ~span_of, np.maximum(begin, behind), begin)
     told = np.flatnonzero(again & (begin_behind <= end))
     f, l, r = begin_behind[told], end[told], row[told]
+    turns = [values[1:] != values[:-1] for values in (mark, share, doc_id, missing, tie, span)]
+    stretch = np.append(0, np.cumsum(np.logical_or.reduce(turns)))[r]
     breaks = np.ones(len(told), bool)
-    breaks[1:] = (r[1:] != r[:-1]) | (f[1:] > l[:-1] + 1)
+    breaks[1:] = (stretch[1:] != stretch[:-1]) | (f[1:] > l[:-1] + 1)
     heads = np.flatnonzero(breaks)
     if len(heads):
         f, l, r = np.minimum.reduceat(f, heads), np.maximum.reduceat(l, heads), r[heads]

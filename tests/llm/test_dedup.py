@@ -286,6 +286,17 @@ def test_places_are_told_across_batches(rows):
     assert found == {(d, a, b) for d, _, a, b in expected}
 
 
+@pytest.mark.parametrize("share", [-1, 0])
+def test_overlapping_places_of_a_document_are_told_as_one(share):
+    """A line that a document repeats makes a span at each line, and one row for them all."""
+    schema = pa.schema([("mark", pa.int64()), ("share", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("digests", pa.binary())])
+    places = [(1, share, doc_id, 5, at, at + 2, b"\1" * 8) for doc_id in (1, 2) for at in range(50)] + [(1, share, 2, 5, 70, 72, b"\1" * 8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*places, strict=True), schema, strict=True)], schema=schema)
+    _, decided = passages._decided(None, batch, 0)
+    told = [(r["doc_id"], r["first"], r["last"]) for r in decided.to_pylist() if r["h1"] is None]
+    assert told == [(1, 1, 51), (2, 0, 51), (2, 70, 72)]
+
+
 def test_words_and_sentences_are_those_of_python():
     """Cut from bytes, texts have the words of str.split and the sentences of the regular expression."""
     texts = ["", " \n\t ", "\n\n a b. c\n", "a.b  c! d e　f\x85g\x1ch", "日本語。 x. é​q\n y", "w" * 300 + " " + "w" * 301 + "é" * 40]
