@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from feedloom.schema import ARTICLE
-from feedloom.sources.arrays import read_array_payload
+from feedloom.sources.arrays import _scanner, read_array_payload
 from feedloom.sources.payload import CORRUPT, read_payload
 
 
@@ -54,3 +55,49 @@ def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
     assert df.count() == 2000
     assert df.select("payload_block").distinct().count() > 5
     assert df.selectExpr("spark_partition_id() AS task").distinct().count() > 1
+
+
+def test_a_split_reads_little_beyond_its_end(tmp_path, monkeypatch):
+    path = tmp_path / "a.json"
+    path.write_text(" \n" + json.dumps([article(i, "word " * 100) for i in range(4000)]))
+    size, split, read = path.stat().st_size, 1 << 16, []
+
+    class Counted:
+        @classmethod
+        def from_uri(cls, place):
+            return cls(), place
+
+        def open_input_file(self, place):
+            return self
+
+        def read_at(self, n, at):
+            read.append(n)
+            return path.read_bytes()[at : at + n]
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setattr("pyarrow.fs.FileSystem", Counted)
+    transitions, chained, elements = _scanner()
+    starts = range(0, size, split)
+    splits = pa.RecordBatch.from_pydict(
+        {
+            "payload_time": pa.array([0] * len(starts), pa.timestamp("us", "UTC")),
+            "payload_file": [str(path)] * len(starts),
+            "size": [size] * len(starts),
+            "first": list(starts),
+            "end": [min(size, first + split) for first in starts],
+        }
+    )
+    states = chained(pa.Table.from_batches(transitions(iter([splits]))))
+    assert sum(read) == size
+    read.clear()
+    found = pa.Table.from_batches(elements(iter(states.to_batches()))).to_pylist()
+    assert [json.loads(row["text"])["source_url"] for row in found] == [str(i) for i in range(4000)]
+    assert [row["payload_block"] for row in found] == sorted(row["payload_block"] for row in found)
+    assert {row["payload_block"] for row in found} == set(starts)
+    # Before, a split read the first MiB of the file and a MiB from where it begins.
+    assert sum(read) < 1.5 * size
